@@ -54,11 +54,11 @@ def _walk(tokens: str) -> str:
   FROM (SELECT token, unnest(range(length(token))) AS s FROM {tokens})),
 best AS MATERIALIZED (SELECT token, s, max(e) AS e FROM spans JOIN vocab
   ON vocab.piece = (CASE WHEN s > 0 THEN '##' ELSE '' END) || substr(token, s + 1, e - s) GROUP BY token, s),
-step AS (SELECT token, 0 AS i, 0::BIGINT AS s, 0::BIGINT AS at FROM {tokens}
-  UNION ALL SELECT step.token, step.i + 1, step.at, best.e FROM step JOIN best ON best.token = step.token AND best.s = step.at),
-done AS (SELECT token, max(at) = length(token) AS ok FROM step GROUP BY token),
+step AS (SELECT token, 0 AS i, 0::BIGINT AS s, 0::BIGINT AS ends FROM {tokens}
+  UNION ALL SELECT step.token, step.i + 1, step.ends, best.e FROM step JOIN best ON best.token = step.token AND best.s = step.ends),
+done AS (SELECT token, max(ends) = length(token) AS ok FROM step GROUP BY token),
 tp AS MATERIALIZED (SELECT step.token, step.i - 1 AS i,
-    (CASE WHEN step.s > 0 THEN '##' ELSE '' END) || substr(step.token, step.s + 1, step.at - step.s) AS piece
+    (CASE WHEN step.s > 0 THEN '##' ELSE '' END) || substr(step.token, step.s + 1, step.ends - step.s) AS piece
   FROM step JOIN done USING (token) WHERE ok AND step.i > 0
   UNION ALL SELECT token, 0, '[UNK]' FROM done WHERE NOT ok)"""
 
@@ -74,12 +74,12 @@ DICT = (
     VOCAB
     + f""",
 dw AS (SELECT DISTINCT word FROM tok),
-bt AS MATERIALIZED (SELECT word, unnest(t) AS token, unnest(range(len(t))) AS at FROM (SELECT word, {_basic('word')} AS t FROM dw)),
+bt AS MATERIALIZED (SELECT word, unnest(t) AS token, unnest(range(len(t))) AS ord FROM (SELECT word, {_basic('word')} AS t FROM dw)),
 dt AS (SELECT DISTINCT token FROM bt),
 """
     + _walk("dt")
     + """,
-wp0 AS (SELECT bt.word, row_number() OVER (PARTITION BY bt.word ORDER BY bt.at, tp.i) - 1 AS piece_idx, tp.piece,
+wp0 AS (SELECT bt.word, row_number() OVER (PARTITION BY bt.word ORDER BY bt.ord, tp.i) - 1 AS piece_idx, tp.piece,
   length(replace(tp.piece, '##', '')) AS len FROM bt JOIN tp USING (token)),
 wp AS MATERIALIZED (SELECT word, piece_idx, wp0.piece, vocab.id, (piece_idx = 0)::INT AS is_start, len / length(word) AS weight,
   (row_number() OVER (PARTITION BY word ORDER BY len DESC, piece_idx) = 1)::INT AS focus FROM wp0 JOIN vocab ON vocab.piece = wp0.piece)"""
@@ -138,7 +138,7 @@ pn AS (SELECT keys.doc_id, keys.pack_id, count(pk.i) AS n, coalesce(sum(is_start
 
 
 def _preds(max_len: int = 128) -> str:
-    key = "(doc_id*31 + pack_id*17 + i*7)"
+    key = "(a.doc_id*31 + a.pack_id*17 + a.i*7)"
     return (
         _packs(max_len)
         + f""",
@@ -311,7 +311,7 @@ _SEQ_EMB = """vr AS (SELECT doc_id, id % (SELECT count(*) FROM embeddings) AS ve
 _WM = """cells AS (SELECT doc_id, pack_id, 0 AS word_idx, 0 AS piece_pos, 1.0::DOUBLE AS w FROM pn
   UNION ALL SELECT * FROM (SELECT doc_id, pack_id, (sum(is_start) OVER (PARTITION BY doc_id, pack_id ORDER BY i)) AS word_idx, i, weight FROM pk) WHERE word_idx > 0)"""
 
-_WM_OUT = """SELECT doc_id, pack_id, count(*) AS n, sum(word_idx * piece_pos)::BIGINT AS at, round(sum(w), 4) AS w FROM cells GROUP BY 1, 2"""
+_WM_OUT = """SELECT doc_id, pack_id, count(*) AS n, sum(word_idx * piece_pos)::BIGINT AS place, round(sum(w), 4) AS w FROM cells GROUP BY 1, 2"""
 
 # Rows of the matrix as the sequential rule forms them: a piece of weight 1 that
 # opens a row closes it at once, otherwise the row runs to the next word start.

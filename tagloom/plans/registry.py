@@ -415,7 +415,7 @@ def weight_matrix(spark, sf_dir):
     cells = features.weight_matrix(corpus.packs(spark, sf_dir, CFG), PACK)
     done = cells.groupBy(*PACK).agg(
         F.count("*").alias("n"),
-        F.sum(F.col("word_idx") * F.col("piece_pos")).alias("at"),
+        F.sum(F.col("word_idx") * F.col("piece_pos")).alias("place"),
         F.sum("w").alias("w"),
     )
     return _rounded(done, 4, "w")
@@ -426,7 +426,7 @@ def weight_matrix_parity(spark, sf_dir):
     cells = features.weight_matrix(corpus.packs(spark, sf_dir, CFG), PACK, parity=True)
     done = cells.groupBy(*PACK).agg(
         F.count("*").alias("n"),
-        F.sum(F.col("word_idx") * F.col("piece_pos")).alias("at"),
+        F.sum(F.col("word_idx") * F.col("piece_pos")).alias("place"),
         F.sum("w").alias("w"),
     )
     return _rounded(done, 4, "w")
