@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    An expression used inside a lambda is otherwise evaluated again for every
+    element the lambda visits.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pad_to(values: Column, size: int, filler: Column) -> Column:
     """Right-pad an array to ``size`` with ``filler``."""
     return F.concat(values, F.array_repeat(filler, F.greatest(F.lit(0), F.lit(size) - F.size(values))))
@@ -17,15 +28,15 @@ def ones_then_zeros(ones: Column, size: int) -> Column:
 
 
 def log_sum_exp(scores: Column) -> Column:
-    top = F.array_max(scores)
-    return top + F.log(
-        F.aggregate(scores, F.lit(0.0).cast("double"), lambda acc, x: acc + F.exp(x - top))
+    zero = F.lit(0.0).cast("double")
+    return let(
+        F.array_max(scores),
+        lambda top: top + F.log(F.aggregate(scores, zero, lambda acc, x: acc + F.exp(x - top))),
     )
 
 
 def softmax(scores: Column) -> Column:
-    norm = log_sum_exp(scores)
-    return F.transform(scores, lambda x: F.exp(x - norm))
+    return let(log_sum_exp(scores), lambda norm: F.transform(scores, lambda x: F.exp(x - norm)))
 
 
 def argmax(scores: Column) -> Column:
@@ -46,8 +57,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def invert_map(mapping: Column) -> Column:
-    """Swap keys and values; the last key wins where values repeat is not needed
-    because ids are unique."""
+    """Swap keys and values; values must be unique, as ids are."""
     return F.map_from_arrays(F.map_values(mapping), F.map_keys(mapping))
 
 

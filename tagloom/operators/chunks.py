@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagloom.functions.tags import chunk_ends, chunk_starts, tag_prefix, tag_type
-from tagloom.operators.scan import prior_values
+from tagloom.operators.scan import BLOCK, prior_values
+from tagloom.workspace import broadcast_if_small, store
 
 COUNTS = ("gold", "guessed", "correct")
 
@@ -82,21 +83,13 @@ def chunk_rows(
         rows = rows.withColumn("inside", F.last("effect", ignorenulls=True).over(before))
         ends = F.lead(F.lit(1)).over(order).isNull()
     elif boundary == "none":
-        streams = list(streams)
-        keys = [c for c in seq if c not in streams] + [pos]
-        rows = _with_events(prior_values(rows, keys, {"prev": ("last", _parts())}, streams))
-        rows = prior_values(rows, keys, {"inside": ("last", F.col("effect"))}, streams)
-        # One row per stream: a stream is a whole run or file, so there are few.
-        last = tagged.groupBy(*streams).agg(F.max(F.struct(*keys)).alias("last_key"))
-        on_last = F.struct(*keys) == F.col("last_key")
-        for c in streams:
-            last = last.withColumnRenamed(c, f"_{c}")
-            on_last = on_last & (F.col(c) == F.col(f"_{c}"))
-        rows = rows.join(F.broadcast(last), on_last, "left").drop(*[f"_{c}" for c in streams])
-        ends = F.col("last_key").isNotNull()
+        return _stream_rows(rows, [c for c in seq if c not in streams] + [pos], list(streams))
     else:
         raise ValueError(f"unknown boundary {boundary!r}")
-    rows = rows.withColumns({"inside": F.coalesce("inside", F.lit(0)), "is_last": ends})
+    return _with_closings(rows.withColumns({"inside": F.coalesce("inside", F.lit(0)), "is_last": ends}))
+
+
+def _with_closings(rows: DataFrame) -> DataFrame:
     return rows.withColumns(
         {
             "closed": (F.col("inside") == 1) & F.col("closes"),
@@ -105,6 +98,41 @@ def chunk_rows(
     )
 
 
+def _stream_rows(rows: DataFrame, keys: list[str], streams: list[str]) -> DataFrame:
+    """Scoring facts of whole streams.
+
+    A block of rows is summed up by its first and last tags and its last effect, not
+    counting the first row, whose effect depends on the block before. Scanning those
+    summaries gives every block the tags and the state it starts from.
+    """
+    *outer, pos = keys
+    rows = rows.withColumn("blk", F.expr(f"`{pos}` div {BLOCK}"))
+    block = [*streams, *outer, "blk"]
+    order = W.partitionBy(*block).orderBy(pos)
+    rows = rows.withColumn("prev", F.lag(_parts()).over(order))
+    known = _with_events(rows).withColumn("effect", F.when(F.col("prev").isNotNull(), F.col("effect")))
+    summary = known.groupBy(*block).agg(
+        F.min_by(_parts(), pos).alias("head"),
+        F.max_by(_parts(), pos).alias("tail"),
+        F.max_by("effect", F.when(F.col("effect").isNotNull(), F.col(pos))).alias("effect"),
+    )
+    at = [*outer, "blk"]
+    summary = prior_values(store(summary, "summary"), at, {"prev": ("last", F.col("tail"))}, streams)
+    heads = _with_events(summary.withColumnRenamed("effect", "later").select("*", "head.*"))
+    heads = heads.select(*block, "prev", F.coalesce("later", "effect").alias("effect"))
+    starts = prior_values(store(heads, "heads"), at, {"state": ("last", F.col("effect"))}, streams)
+    last = starts.groupBy(*streams).agg(F.max(F.struct(*at)).alias("k")).select(*streams, "k.*")
+    starts = starts.join(last.withColumn("is_tail", F.lit(True)), block, "left")
+    starts = store(starts.select(*block, F.col("prev").alias("before"), "state", "is_tail"), "starts")
+
+    rows = rows.join(broadcast_if_small(starts), block)
+    rows = _with_events(rows.withColumn("prev", F.coalesce("prev", "before")))
+    ahead = order.rowsBetween(W.unboundedPreceding, -1)
+    inside = F.coalesce(F.last("effect", ignorenulls=True).over(ahead), F.col("state"), F.lit(0))
+    is_last = F.coalesce("is_tail", F.lit(False)) & F.lead(F.lit(1)).over(order).isNull()
+    return _with_closings(rows.withColumns({"inside": inside, "is_last": is_last}))
+
+
 def _one(cond: Column) -> Column:
     return F.sum(cond.cast("long"))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.functions.arrays import let
 from tagloom.functions.text import basic_tokens
 from tagloom.operators.lookup import lookup
 from tagloom.workspace import is_small, spread, store
@@ -102,18 +103,20 @@ def shape_pieces(pieces: Column, word: Column, unk: str = UNK, unk_as_word: bool
         plain = F.length(F.replace(p["piece"], F.lit("##"), F.lit("")))
         return F.when(p["piece"] == unk, F.length(word)).otherwise(plain) if unk_as_word else plain
 
-    sizes = F.transform(pieces, chars)
-    focus = F.array_position(sizes, F.array_max(sizes)) - 1
-    return F.transform(
-        pieces,
-        lambda p, i: F.struct(
-            p["piece"].alias("piece"),
-            p["id"].alias("id"),
-            (i == 0).cast("int").alias("start"),
-            (i == focus).cast("int").alias("focus"),
-            (chars(p) / F.length(word)).alias("weight"),
-        ),
-    )
+    def shaped(focus: Column) -> Column:
+        return F.transform(
+            pieces,
+            lambda p, i: F.struct(
+                p["piece"].alias("piece"),
+                p["id"].alias("id"),
+                (i == 0).cast("int").alias("start"),
+                (i == focus).cast("int").alias("focus"),
+                (chars(p) / F.length(word)).alias("weight"),
+            ),
+        )
+
+    longest = let(F.transform(pieces, chars), lambda n: F.array_position(n, F.array_max(n)) - 1)
+    return let(longest, shaped)
 
 
 def word_dictionary(

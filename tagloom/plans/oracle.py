@@ -311,7 +311,7 @@ _SEQ_EMB = """vr AS (SELECT doc_id, id % (SELECT count(*) FROM embeddings) AS ve
 _WM = """cells AS (SELECT doc_id, pack_id, 0 AS word_idx, 0 AS piece_pos, 1.0::DOUBLE AS w FROM pn
   UNION ALL SELECT * FROM (SELECT doc_id, pack_id, (sum(is_start) OVER (PARTITION BY doc_id, pack_id ORDER BY i)) AS word_idx, i, weight FROM pk) WHERE word_idx > 0)"""
 
-_WM_OUT = """SELECT doc_id, pack_id, count(*) AS n, sum(word_idx * piece_pos)::BIGINT AS place, round(sum(w), 4) AS w FROM cells GROUP BY 1, 2"""
+_WM_OUT = """SELECT doc_id, pack_id, count(*) AS n, sum(word_idx * piece_pos)::BIGINT AS place, round(sum(w), 8) AS w FROM cells GROUP BY 1, 2"""
 
 # Rows of the matrix as the sequential rule forms them: a piece of weight 1 that
 # opens a row closes it at once, otherwise the row runs to the next word start.
@@ -427,7 +427,7 @@ def oracle_sql() -> dict[str, str]:
         """SELECT doc_id, sent_id, count(*) AS n, sum(is_start)::BIGINT AS starts, sum(label * (word_pos + 1))::BIGINT AS label_sum,
         sum((CASE WHEN is_start = 1 THEN label ELSE 9 END) * (word_pos + 1) * (piece_idx + 1))::BIGINT AS label_x_sum FROM pieces GROUP BY 1, 2""",
     )
-    q["piece_weights"] = _with(PIECES, "SELECT piece, count(*) AS n, round(sum(weight), 4) AS weight FROM pieces GROUP BY 1")
+    q["piece_weights"] = _with(PIECES, "SELECT piece, count(*) AS n, round(sum(weight), 8) AS weight FROM pieces GROUP BY 1")
     q["focus_piece"] = _with(
         PIECES,
         """SELECT doc_id, sent_id, sum(focus)::BIGINT AS n_focus, sum(focus * (piece_idx + 1) * (word_pos + 1))::BIGINT AS focus_at,
@@ -543,7 +543,7 @@ sz AS (SELECT split, row_number() OVER (PARTITION BY split ORDER BY doc_id, sent
     q["linear_tanh"] = _linear("tanh({0})")
     q["word_pool"] = _with(
         _packs(128) + ",\n" + _POOL,
-        "SELECT doc_id, class_id::INT AS class_id, count(*) AS n, round(sum(score), 3) AS score FROM pooled GROUP BY 1, 2",
+        "SELECT doc_id, class_id::INT AS class_id, count(*) AS n, round(sum(score), 8) AS score FROM pooled GROUP BY 1, 2",
     )
     q["pooled_labels"] = _with(
         _packs(128)

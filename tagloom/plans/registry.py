@@ -252,7 +252,7 @@ def align_first_piece(spark, sf_dir):
 def piece_weights(spark, sf_dir):
     rows = corpus.pieces(spark, sf_dir)
     done = rows.groupBy("piece").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
-    return _rounded(done, 4, "weight")
+    return _rounded(done, 8, "weight")
 
 
 @query
@@ -418,7 +418,7 @@ def weight_matrix(spark, sf_dir):
         F.sum(F.col("word_idx") * F.col("piece_pos")).alias("place"),
         F.sum("w").alias("w"),
     )
-    return _rounded(done, 4, "w")
+    return _rounded(done, 8, "w")
 
 
 @query
@@ -429,7 +429,7 @@ def weight_matrix_parity(spark, sf_dir):
         F.sum(F.col("word_idx") * F.col("piece_pos")).alias("place"),
         F.sum("w").alias("w"),
     )
-    return _rounded(done, 4, "w")
+    return _rounded(done, 8, "w")
 
 
 @query
@@ -536,7 +536,7 @@ def word_pool(spark, sf_dir):
     packs = corpus.packs(spark, sf_dir, CFG)
     pooled = decode.pool_words(features.weight_matrix(packs, PACK), _piece_emissions(packs), PACK)
     done = pooled.groupBy("doc_id", "class_id").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
-    return _rounded(done, 3, "score")
+    return _rounded(done, 8, "score")
 
 
 @query
@@ -627,8 +627,8 @@ def conll_file_score(spark, sf_dir):
     )
     path = _new_path(spark, "tagged")
     writers.write_lines(rows, "lines", path, ["doc_id"], SEQ)
-    stream = readers.read_tagged(spark, path)
-    return _metrics(chunks.score(stream, [], "line_no", boundary="none", streams=["file"]))
+    stream = readers.read_tagged(spark, path, with_number=False)
+    return _metrics(chunks.score(stream, ["block"], "mark", boundary="none", streams=["file"]))
 
 
 @query
