@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}
 
 # Largest table, in rows, that is ever sent whole to every executor.
 BROADCAST_ROWS = 250_000
@@ -24,11 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError(f"set {_CONF} to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="tagloom-")
-    spark.conf.set(_CONF, made)
-    return made
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="tagloom-")
+    return _LOCAL[context.applicationId]
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
