@@ -68,8 +68,9 @@ def chunk_rows(
 ) -> DataFrame:
     """Row-level scoring facts for ``tagged(seq…, pos, gold, pred)``.
 
-    ``boundary="sequence"`` scores every sequence on its own (a sequence comes from
-    one text line or one padded record, so it is bounded). ``boundary="none"`` reads
+    ``boundary="sequence"`` scores every sequence on its own, one window each (a
+    sequence comes from one text line or one padded record); ``"long_sequence"`` does
+    the same in blocks, for sequences without a length limit. ``boundary="none"`` reads
     all rows as one stream ordered by ``seq + pos`` with no breaks (one per
     ``streams`` group, e.g. per file); rows are then scanned in blocks, so no task
     holds a stream.
@@ -82,6 +83,8 @@ def chunk_rows(
         before = order.rowsBetween(W.unboundedPreceding, -1)
         rows = rows.withColumn("inside", F.last("effect", ignorenulls=True).over(before))
         ends = F.lead(F.lit(1)).over(order).isNull()
+    elif boundary == "long_sequence":
+        return _stream_rows(rows, [pos], seq)
     elif boundary == "none":
         return _stream_rows(rows, [c for c in seq if c not in streams] + [pos], list(streams))
     else:
@@ -222,22 +225,41 @@ def score(
 def chunk_spans(tagged: DataFrame, seq: Sequence[str], pos: str = "pos", tag: str = "gold") -> DataFrame:
     """One row per chunk: sequence, first and last position, type.
 
-    Starts and ends are found per sequence; the end belonging to a start is the
-    position before the next end mark (or the sequence's last position).
+    Chunks are numbered by their starts. An end mark closes the chunk numbered last
+    before it, at the position before the mark; the sequence's last position closes
+    a chunk that is still open.
     """
     order = W.partitionBy(*seq).orderBy(pos)
     rows = tagged.withColumns({"gp": tag_prefix(F.col(tag)), "gt": tag_type(F.col(tag))})
-    rows = rows.withColumn("prev", F.lag(F.struct("gp", "gt")).over(order))
-    prev_p = F.coalesce(F.col("prev.gp"), F.lit("O"))
-    prev_t = F.coalesce(F.col("prev.gt"), F.lit(""))
-    after = order.rowsBetween(1, W.unboundedFollowing)
+    rows = rows.withColumns({"prev": F.lag(F.struct("gp", "gt")).over(order), "before": F.lag(pos).over(order)})
+    prev_p, prev_t = F.coalesce(F.col("prev.gp"), F.lit("O")), F.coalesce(F.col("prev.gt"), F.lit(""))
     rows = rows.withColumns(
         {
             "starts": chunk_starts(prev_p, prev_t, F.col("gp"), F.col("gt")),
-            "ended_at": F.when(
-                chunk_ends(prev_p, prev_t, F.col("gp"), F.col("gt")), F.lag(pos).over(order)
-            ),
-            "seq_end": F.max(pos).over(W.partitionBy(*seq)),
+            "ends": chunk_ends(prev_p, prev_t, F.col("gp"), F.col("gt")),
         }
-    ).withColumn("end", F.coalesce(F.first("ended_at", ignorenulls=True).over(after), F.col("seq_end")))
-    return rows.where("starts").select(*seq, F.col(pos).alias("start"), "end", F.col("gt").alias("type"))
+    )
+    rows = rows.withColumns(
+        {
+            "no": F.sum(F.col("starts").cast("int")).over(order),
+            "is_last": F.lead(F.lit(1)).over(order).isNull(),
+        }
+    )
+
+    def mark(when: Column, no: Column, start: Column, end: Column, kind: Column) -> Column:
+        return F.when(
+            when, F.struct(no.alias("no"), start.alias("start"), end.alias("end"), kind.alias("type"))
+        )
+
+    none, at = F.lit(None), F.col(pos)
+    nothing, no_kind = none.cast("int"), none.cast("string")
+    marks = F.array(
+        mark(F.col("starts"), F.col("no"), at, nothing, F.col("gt")),
+        mark(F.col("ends"), F.col("no") - F.col("starts").cast("int"), nothing, F.col("before"), no_kind),
+        mark(F.col("is_last"), F.col("no"), nothing, at, no_kind),
+    )
+    found = rows.select(*seq, F.inline(F.filter(marks, lambda m: m.isNotNull())))
+    chunks = found.groupBy(*seq, "no").agg(
+        F.min("start").alias("start"), F.min("end").alias("end"), F.max("type").alias("type")
+    )
+    return chunks.where("start IS NOT NULL").drop("no")

@@ -10,7 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagloom.functions.arrays import as_ints, ones_then_zeros, pad_to
-from tagloom.operators.packing import oversize_chunks, pack_sentences
+from tagloom.operators.packing import pack_sentences
+
+# Words of one sentence kept in one row.
+PART_WORDS = 4096
 
 
 @dataclass(frozen=True)
@@ -47,9 +50,12 @@ ARRAYS = (
 
 
 def sentence_pieces(tokenized: DataFrame, sentence: Sequence[str], label: str = "label") -> DataFrame:
-    """Gather ``(sentence…, word_pos, label, pieces)`` word rows into one row per
-    sentence with ``ps``, its pieces in order, and ``n``. A sentence is bounded by
-    the text line it came from; words without pieces drop out."""
+    """Gather ``(sentence…, word_pos, label, pieces)`` word rows into ``(sentence…,
+    part, ps, n, n_words)``: the pieces of each run of ``PART_WORDS`` words, in order.
+
+    A file without blank lines is one sentence; parts keep every group small however
+    long it gets. Words without pieces drop out.
+    """
     words = F.array_sort(F.collect_list(F.struct("word_pos", F.col(label).alias("label"), "pieces")))
     with_label = F.transform(
         words,
@@ -62,40 +68,81 @@ def sentence_pieces(tokenized: DataFrame, sentence: Sequence[str], label: str =
                 p["start"].alias("start"),
                 p["focus"].alias("focus"),
                 p["weight"].alias("weight"),
-                w["word_pos"].alias("word_pos"),
             ),
         ),
     )
-    rows = tokenized.where(F.size("pieces") > 0).groupBy(*sentence).agg(F.flatten(with_label).alias("ps"))
-    return rows.withColumn("n", F.size("ps").cast("long"))
+    rows = tokenized.where(F.size("pieces") > 0).withColumn("part", F.expr(f"word_pos div {PART_WORDS}"))
+    parts = rows.groupBy(*sentence, "part").agg(
+        F.flatten(with_label).alias("ps"), F.count("*").alias("n_words")
+    )
+    return parts.withColumn("n", F.size("ps").cast("long"))
+
+
+def _part_offsets(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Pieces and words before each part of its sentence, without the pieces themselves."""
+    before = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    return parts.select(
+        *keys,
+        "part",
+        F.col("n").alias("part_n"),
+        F.coalesce(F.sum("n").over(before), zero).alias("first_piece"),
+        F.coalesce(F.sum("n_words").over(before), zero).alias("first_word"),
+    )
 
 
 def pack_combined(sentences: DataFrame, cfg: FeatureConfig, shard: Sequence[str]) -> DataFrame:
-    """Several sentences per sequence: ``(shard…, pack_id, ps)``."""
+    """Several sentences per sequence: ``(shard…, pack_id, ps, word_labels)``.
+
+    Placement works on counts alone; pieces travel once to their sentence's place and
+    once to their sequence.
+    """
     keys = [*shard, "sent_id"]
-    placed = pack_sentences(sentences.select(*keys, "n"), cfg.limit, shard, cfg.keep_empty)
-    pieces = oversize_chunks(placed, cfg.limit).join(sentences.select(*keys, "ps"), keys)
-    cut = F.slice("ps", F.col("first") + 1, F.lit(cfg.limit))
-    chunk = F.when(F.col("n") > cfg.limit, cut).otherwise(F.col("ps"))
-    parts = pieces.select(*shard, "pack_id", F.struct("offset", chunk.alias("ps")).alias("part"))
+    limit = cfg.limit
+    sizes = sentences.groupBy(*keys).agg(F.sum("n").alias("n"))
+    placed = pack_sentences(sizes, limit, shard, cfg.keep_empty)
+    places = _part_offsets(sentences, keys).join(placed, keys)
+    rows = places.join(sentences.select(*keys, "part", "ps"), [*keys, "part"])
+
+    # A part of an oversize sentence spans one or more full-length chunks.
+    oversize = F.col("n") > limit
+    chunk = F.when(
+        oversize, F.sequence(F.expr(f"first_piece div {limit}"), F.expr(f"(first_piece + part_n - 1) div {limit}"))
+    ).otherwise(F.array(F.lit(0).cast("long")))
+    rows = rows.withColumn("chunk", F.explode(chunk))
+    lo = F.greatest(F.lit(0).cast("long"), F.col("chunk") * limit - F.col("first_piece"))
+    hi = F.least(F.col("part_n"), (F.col("chunk") + 1) * limit - F.col("first_piece"))
+    cut = F.when(oversize, F.slice("ps", (lo + 1).cast("int"), (hi - lo).cast("int"))).otherwise(F.col("ps"))
+    place = F.when(oversize, F.col("first_piece") + lo).otherwise(F.col("offset") + F.col("first_piece"))
+    parts = rows.select(
+        *shard,
+        (F.col("pack_id") + F.col("chunk")).alias("pack_id"),
+        F.struct(place.alias("place"), cut.alias("ps")).alias("piece_run"),
+    )
     if cfg.keep_empty:
         none = F.filter("ps", lambda _: F.lit(False))
-        flushed = (
-            pieces.where("empty_before AND chunk = 0")
-            .withColumn("pack_id", F.col("pack_id") - 1)
-            .select(*shard, "pack_id", F.struct("offset", none.alias("ps")).alias("part"))
+        flushed = rows.where("empty_before AND chunk = 0 AND first_piece = 0").select(
+            *shard,
+            (F.col("pack_id") - 1).alias("pack_id"),
+            F.struct(F.lit(0).cast("long").alias("place"), none.alias("ps")).alias("piece_run"),
         )
         parts = parts.unionByName(flushed)
-    joined = F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["ps"]))
-    packs = parts.groupBy(*shard, "pack_id").agg(joined.alias("ps"))
-    return packs.withColumn("word_labels", _start_labels(F.col("ps")))
+    return _gather(parts, [*shard, "pack_id"]).withColumn("word_labels", _start_labels(F.col("ps")))
+
+
+def _gather(runs: DataFrame, keys: list[str]) -> DataFrame:
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list("piece_run")), lambda x: x["ps"]))
+    return runs.groupBy(*keys).agg(joined.alias("ps"))
 
 
 def pack_simple(sentences: DataFrame, cfg: FeatureConfig, shard: Sequence[str]) -> DataFrame:
     """One sentence per sequence, cut at the limit; ``pack_id`` is the sentence id.
     Word labels are those of the whole sentence, cut at the same number."""
-    limit = F.lit(cfg.limit)
-    return sentences.select(
+    keys, limit = [*shard, "sent_id"], F.lit(cfg.limit)
+    heads = _part_offsets(sentences, keys).where(F.col("first_word") < limit)
+    rows = heads.join(sentences.select(*keys, "part", "ps"), [*keys, "part"])
+    runs = rows.select(*keys, F.struct(F.col("first_piece").alias("place"), "ps").alias("piece_run"))
+    return _gather(runs, keys).select(
         *shard,
         F.col("sent_id").alias("pack_id"),
         F.slice("ps", F.lit(1), limit).alias("ps"),

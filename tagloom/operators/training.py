@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagloom.operators.scan import row_index
+from tagloom.operators.scan import BLOCK, row_index
 
 
 def training_union(train: DataFrame, devel: DataFrame) -> DataFrame:
@@ -66,26 +66,34 @@ def last_run(runs: DataFrame) -> DataFrame:
 
 
 def context_features(
-    rows: DataFrame, value: Column, widths: Sequence[int], seq: Sequence[str], pos: str
+    rows: DataFrame,
+    value: Column,
+    widths: Sequence[int],
+    seq: Sequence[str],
+    pos: str,
+    block: int = BLOCK,
 ) -> DataFrame:
     """For each odd or even width, the values around a position ("same" padding).
 
     Width ``k`` sees ``(k - 1) // 2`` positions before and ``k // 2`` after; positions
-    outside the sequence count as 0. Adds one array ``ctx_k`` per width.
+    outside the sequence count as 0. Adds one array ``ctx_k`` per width. Positions are
+    dense; a sequence is cut into blocks, and rows near a cut are copied to the
+    neighbouring block, so a sequence of any length spreads over many tasks.
     """
-    order = W.partitionBy(*seq).orderBy(pos)
     lo = max((k - 1) // 2 for k in widths)
     hi = max(k // 2 for k in widths)
+    home = F.expr(f"`{pos}` div {block}")
+    wanted_from, wanted_to = F.expr(f"greatest(0, `{pos}` - {hi}) div {block}"), F.expr(f"(`{pos}` + {lo}) div {block}")
+    copies = rows.withColumn("_v", value).withColumn("_blk", F.explode(F.sequence(wanted_from, wanted_to)))
+    order = W.partitionBy(*seq, "_blk").orderBy(pos)
+    zero = F.lit(0).cast(copies.schema["_v"].dataType)
     near = {}
-    rows = rows.withColumn("_v", value)
     for d in range(-lo, hi + 1):
         shifted = F.lead("_v", d) if d >= 0 else F.lag("_v", -d)
-        near[d] = F.coalesce(shifted.over(order), F.lit(0).cast(rows.schema["_v"].dataType))
-    rows = rows.withColumns({f"_near_{d + lo}": c for d, c in near.items()})
+        near[d] = F.coalesce(shifted.over(order), zero)
+    copies = copies.withColumns({f"_near_{d + lo}": c for d, c in near.items()}).where(F.col("_blk") == home)
     picked = {
         f"ctx_{k}": F.array(*[F.col(f"_near_{d + lo}") for d in range(-((k - 1) // 2), k // 2 + 1)])
         for k in widths
     }
-    return rows.withColumns(picked).drop("_v", *[f"_near_{d + lo}" for d in near])
-
-
+    return copies.withColumns(picked).drop("_v", "_blk", *[f"_near_{d + lo}" for d in near])

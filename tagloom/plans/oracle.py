@@ -584,6 +584,7 @@ g3 AS (SELECT *, sum(s::INT) OVER (PARTITION BY doc_id, sent_id ORDER BY word_po
     seq = _score("tagged", "doc_id, sent_id", "word_pos")
     q["conll_score"] = _with(TAGGED + ",\n" + seq, _out(), False)
     q["conll_file_score"] = q["conll_score"]
+    q["conll_score_long"] = q["conll_score"]
     q["conll_score_stream"] = _with(TAGGED + ",\n" + _score("tagged", None, "doc_id, sent_id, word_pos"), _out(), False)
     q["score_report"] = _with(
         TAGGED + ",\n" + seq + ",\n" + _REPORT,
@@ -611,6 +612,13 @@ sc AS (SELECT f4.doc_id, f4.pack_id, f4.i, {_name('f4.label')} AS gold, {_name('
     focus = "CASE WHEN i = 0 OR i > n THEN 0 WHEN focus = 1 THEN label ELSE 9 END"
     first_x = f"sc AS (SELECT doc_id, pack_id, i, {_name(label_x)} AS gold, {_name('logit')} AS pred FROM pr WHERE i BETWEEN 1 AND n AND is_start = 1)"
     q["vote_words"] = _eval(voted)
+    by_word = f"""f1 AS (SELECT doc_id, sent_id, word_pos, piece_idx, label, (doc_id*31 + sent_id*17 + word_pos*7 + piece_idx // 2) % 5 AS logit FROM pieces),
+f2 AS (SELECT doc_id, sent_id, word_pos, logit, count(*) AS n, min(piece_idx) AS seen, min(label) AS label FROM f1 GROUP BY 1, 2, 3, 4),
+sc AS (SELECT doc_id, sent_id, word_pos, {_name('label')} AS gold, {_name('logit')} AS pred FROM f2
+  QUALIFY row_number() OVER (PARTITION BY doc_id, sent_id, word_pos ORDER BY n DESC, seen) = 1)"""
+    q["vote_source_words"] = _with(
+        PIECES + ",\n" + by_word + ",\n" + _score("sc", "doc_id, sent_id", "word_pos"), _out()
+    )
     q["eval_x"] = _eval(first_x)
     q["eval_focus"] = _eval(
         f"sc AS (SELECT doc_id, pack_id, i, {_name(focus)} AS gold, {_name('logit')} AS pred FROM pr WHERE i BETWEEN 1 AND n AND {focus} <> 9)"

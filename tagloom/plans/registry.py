@@ -606,7 +606,13 @@ def conll_score(spark, sf_dir):
 
 @query
 def conll_score_stream(spark, sf_dir):
-    return _metrics(chunks.score(corpus.tagged(spark, sf_dir, by_doc=False), SEQ, boundary="none"))
+    return _metrics(chunks.score(corpus.tagged(spark, sf_dir), SEQ, boundary="none"))
+
+
+@query
+def conll_score_long(spark, sf_dir):
+    """Sequence scoring in blocks, as for sequences without a length limit."""
+    return _metrics(chunks.score(corpus.tagged(spark, sf_dir), SEQ, boundary="long_sequence"))
 
 
 @query
@@ -677,6 +683,21 @@ def vote_words(spark, sf_dir):
     return _evaluated(spark, sf_dir, "normal")
 
 
+@query
+def vote_source_words(spark, sf_dir):
+    """Votes per source word over the pieces of the corpus, decoded and scored."""
+    rows = corpus.pieces(spark, sf_dir).select(
+        *SEQ,
+        "word_pos",
+        "piece_idx",
+        F.col("label").alias("gold"),
+        F.expr("cast((doc_id * 31 + sent_id * 17 + word_pos * 7 + piece_idx div 2) % 5 as int)").alias("pred"),
+    )
+    words = evaluate.vote_source_words(rows, [*SEQ, "word_pos"], "piece_idx")
+    tagged = labels.decode_labels(words, corpus.labels(spark), ["gold", "pred"])
+    return _metrics(chunks.score(tagged, SEQ, "word_pos"))
+
+
 @query
 def eval_x(spark, sf_dir):
     return _evaluated(spark, sf_dir, "X")

@@ -124,3 +124,12 @@ def test_partition_invariance(spark):
 def test_unknown_boundary(spark):
     with pytest.raises(ValueError):
         chunks.score(frame(spark, [[("O", "O")]]), ["seq_id"], boundary="line")
+
+
+def test_long_sequences_in_blocks(spark, monkeypatch):
+    rnd = random.Random(8)
+    seqs = [[(t, t if rnd.random() < 0.7 else "O") for t in random_tags(rnd, "BIES", n)] for n in (300, 1, 40, 7)]
+    df = frame(spark, seqs)
+    want = overall(chunks.score(df, ["seq_id"]))
+    monkeypatch.setattr(chunks, "BLOCK", 16)
+    assert overall(chunks.score(df, ["seq_id"], boundary="long_sequence")) == want

@@ -151,3 +151,18 @@ def test_weight_matrix(spark):
     assert matrix(spark, [(1, [1.0])], True)[0] == [(0, 0, 1.0), (1, 1, 1.0)]
     flat = features.dense_matrix(cells, ["shard", "pack_id"], 8).first()["weight_matrix"]
     assert len(flat) == 64 and {(i // 8, i % 8, v) for i, v in enumerate(flat) if v} == set(plain)
+
+
+def test_sentence_longer_than_a_part(spark, monkeypatch):
+    """Parts of three words give the same sequences as whole sentences."""
+    rnd = random.Random(6)
+    sentences = [[(rnd.randint(0, 3), [0.5] * rnd.randint(1, 3)) for _ in range(n)] for n in (40, 2, 1, 17, 5)]
+    df = tokenized(spark, sentences)
+
+    def built(mode):
+        rows = features.build_features(df, CFG, ["shard"], mode).drop("piece_weights")
+        return sorted(map(str, rows.collect()))
+
+    whole = [built("combine"), built("simple")]
+    monkeypatch.setattr(features, "PART_WORDS", 3)
+    assert [built("combine"), built("simple")] == whole

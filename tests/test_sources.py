@@ -148,3 +148,10 @@ def test_stream_tokens(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(r["token"] for r in spark.table("tokens_out").collect()) == sorted(["hello", ",", "you", "x"])
+
+
+def test_context_across_blocks(spark):
+    df = spark.createDataFrame([(s, i, i * 3 % 7) for s in (0, 1) for i in range(50)], "s int, pos int, v int")
+    whole = training.context_features(df, F.col("v"), (3, 7, 2), ["s"], "pos")
+    cut = training.context_features(df, F.col("v"), (3, 7, 2), ["s"], "pos", block=5)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
