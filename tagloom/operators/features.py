@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.arrays import as_ints, ones_then_zeros, pad_to
 from tagloom.operators.packing import pack_sentences
+from tagloom.operators.scan import BLOCK, prior_values
+from tagloom.workspace import is_small, store
 
 # Words of one sentence kept in one row.
 PART_WORDS = 4096
@@ -80,12 +82,16 @@ def sentence_pieces(tokenized: DataFrame, sentence: Sequence[str], label: str =
 
 def _part_offsets(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Pieces and words before each part of its sentence, without the pieces themselves."""
+    counts = parts.select(*keys, "part", F.col("n").alias("part_n"), "n", "n_words")
+    if not is_small(parts.where(F.col("part") >= BLOCK), 0):
+        sums = {"first_piece": ("sum", F.col("n")), "first_word": ("sum", F.col("n_words"))}
+        return prior_values(counts, ["part"], sums, keys).drop("n", "n_words")
     before = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    return parts.select(
+    return counts.select(
         *keys,
         "part",
-        F.col("n").alias("part_n"),
+        "part_n",
         F.coalesce(F.sum("n").over(before), zero).alias("first_piece"),
         F.coalesce(F.sum("n_words").over(before), zero).alias("first_word"),
     )
@@ -104,30 +110,26 @@ def pack_combined(sentences: DataFrame, cfg: FeatureConfig, shard: Sequence[str]
     places = _part_offsets(sentences, keys).join(placed, keys)
     rows = places.join(sentences.select(*keys, "part", "ps"), [*keys, "part"])
 
-    # A part of an oversize sentence spans one or more full-length chunks.
+    # A part of an oversize sentence spans one or more full-length chunks. Chunk -1
+    # stands for the empty sequence that such a sentence flushed before it.
     oversize = F.col("n") > limit
-    chunk = F.when(
-        oversize, F.sequence(F.expr(f"first_piece div {limit}"), F.expr(f"(first_piece + part_n - 1) div {limit}"))
-    ).otherwise(F.array(F.lit(0).cast("long")))
-    rows = rows.withColumn("chunk", F.explode(chunk))
+    spanned = F.sequence(F.expr(f"first_piece div {limit}"), F.expr(f"(first_piece + part_n - 1) div {limit}"))
+    chunks = F.when(oversize, spanned).otherwise(F.array(F.lit(0).cast("long")))
+    if cfg.keep_empty:
+        flushed = F.col("empty_before") & (F.col("first_piece") == 0)
+        chunks = F.when(flushed, F.array_prepend(chunks, F.lit(-1).cast("long"))).otherwise(chunks)
+    rows = rows.withColumn("chunk", F.explode(chunks))
     lo = F.greatest(F.lit(0).cast("long"), F.col("chunk") * limit - F.col("first_piece"))
     hi = F.least(F.col("part_n"), (F.col("chunk") + 1) * limit - F.col("first_piece"))
-    cut = F.when(oversize, F.slice("ps", (lo + 1).cast("int"), (hi - lo).cast("int"))).otherwise(F.col("ps"))
+    size = F.when(F.col("chunk") < 0, 0).otherwise(hi - lo).cast("int")
+    cut = F.when(oversize, F.slice("ps", (lo + 1).cast("int"), size)).otherwise(F.col("ps"))
     place = F.when(oversize, F.col("first_piece") + lo).otherwise(F.col("offset") + F.col("first_piece"))
-    parts = rows.select(
+    runs = rows.select(
         *shard,
         (F.col("pack_id") + F.col("chunk")).alias("pack_id"),
         F.struct(place.alias("place"), cut.alias("ps")).alias("piece_run"),
     )
-    if cfg.keep_empty:
-        none = F.filter("ps", lambda _: F.lit(False))
-        flushed = rows.where("empty_before AND chunk = 0 AND first_piece = 0").select(
-            *shard,
-            (F.col("pack_id") - 1).alias("pack_id"),
-            F.struct(F.lit(0).cast("long").alias("place"), none.alias("ps")).alias("piece_run"),
-        )
-        parts = parts.unionByName(flushed)
-    return _gather(parts, [*shard, "pack_id"]).withColumn("word_labels", _start_labels(F.col("ps")))
+    return _gather(runs, [*shard, "pack_id"]).withColumn("word_labels", _start_labels(F.col("ps")))
 
 
 def _gather(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -195,7 +197,7 @@ def build_features(
     tokenized: DataFrame, cfg: FeatureConfig, shard: Sequence[str], mode: str = "combine"
 ) -> DataFrame:
     """Word rows ``(shard…, sent_id, word_pos, label, pieces)`` to feature rows."""
-    sentences = sentence_pieces(tokenized, [*shard, "sent_id"])
+    sentences = store(sentence_pieces(tokenized, [*shard, "sent_id"]), "sentence_pieces")
     if mode == "combine":
         packs = pack_combined(sentences, cfg, shard)
     elif mode == "simple":
@@ -214,31 +216,27 @@ def weight_matrix(packs: DataFrame, seq: Sequence[str], parity: bool = False) ->
     continuations form a row, and the last row is kept only if it is such a piece.
     """
     seq = list(seq)
-    rows = packs.select(*seq, F.posexplode_outer("ps").alias("i", "p"))
-    marks = rows.where("i IS NULL OR i = 0").select(
-        *seq, F.lit(0).alias("word_idx"), F.lit(0).alias("piece_pos"), F.lit(1.0).alias("w")
-    )
-    rows = rows.where("i IS NOT NULL").select(
-        *seq, (F.col("i") + 1).alias("piece_pos"), "p.start", F.col("p.weight").alias("w")
-    )
+    opening = F.struct(F.lit(0).alias("start"), F.lit(1.0).alias("weight"))
+    cells = F.transform("ps", lambda p: F.struct(p["start"].alias("start"), p["weight"].alias("weight")))
+    rows = packs.select(*seq, F.posexplode(F.array_prepend(cells, opening)).alias("piece_pos", "p"))
+    rows = rows.select(*seq, "piece_pos", "p.start", F.col("p.weight").alias("w"))
     order = W.partitionBy(*seq).orderBy("piece_pos")
     rows = rows.withColumn("word_no", F.sum("start").over(order).cast("int"))
     if not parity:
-        rows = rows.where("word_no > 0").withColumn("word_idx", F.col("word_no"))
-        return marks.unionByName(rows.select(*seq, "word_idx", "piece_pos", "w"))
+        kept = rows.where("word_no > 0 OR piece_pos = 0")
+        return kept.select(*seq, F.col("word_no").alias("word_idx"), "piece_pos", "w")
     in_word = W.partitionBy(*seq, "word_no").orderBy("piece_pos").rowsBetween(W.unboundedPreceding, -1)
     broken = F.coalesce(F.max((F.col("w") != 1.0).cast("int")).over(in_word), F.lit(0))
-    opens = (F.col("start") == 1) | (broken == 0)
-    rows = rows.withColumn("opens", opens.cast("int"))
-    rows = rows.withColumn("word_idx", F.sum("opens").over(order).cast("int"))
+    rows = rows.withColumn("opens", ((F.col("start") == 1) | (broken == 0)).cast("int"))
+    rows = rows.withColumn("word_idx", (F.sum("opens").over(order) - 1).cast("int"))
     group = W.partitionBy(*seq, "word_idx")
     rows = rows.withColumns(
         {
             "whole": F.max(F.when(F.col("opens") == 1, (F.col("w") == 1.0).cast("int"))).over(group),
             "last": F.max("word_idx").over(W.partitionBy(*seq)),
         }
-    ).where("word_idx < last OR whole = 1")
-    return marks.unionByName(rows.select(*seq, "word_idx", "piece_pos", "w"))
+    )
+    return rows.where("word_idx < last OR whole = 1").select(*seq, "word_idx", "piece_pos", "w")
 
 
 def dense_matrix(weights: DataFrame, seq: Sequence[str], size: int) -> DataFrame:

@@ -166,3 +166,5 @@ def test_sentence_longer_than_a_part(spark, monkeypatch):
     whole = [built("combine"), built("simple")]
     monkeypatch.setattr(features, "PART_WORDS", 3)
     assert [built("combine"), built("simple")] == whole
+    monkeypatch.setattr(features, "BLOCK", 2)  # the scan in blocks instead of one window
+    assert [built("combine"), built("simple")] == whole
