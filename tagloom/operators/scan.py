@@ -98,7 +98,8 @@ def rank_ids(df: DataFrame, order: Sequence[Column | str], name: str = "id") ->
     plus the number of rows in the partitions before it.
     """
     mark = F.monotonically_increasing_id()
-    placed = store(df.orderBy(*order).withColumn("_mark", mark), "ranked").withColumns(
+    # A range sort reads its input twice, once to sample it.
+    placed = store(store(df, "unranked").orderBy(*order).withColumn("_mark", mark), "ranked").withColumns(
         {"_part": F.expr("shiftright(_mark, 33)"), "_at": F.expr("_mark & ((1L << 33) - 1)")}
     )
     parts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
