@@ -43,8 +43,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 def is_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True when ``table`` has at most ``rows`` rows; meant for written tables,
-    where the count comes from the file footers."""
-    return table.limit(rows + 1).count() <= rows
+    where counting reads no columns."""
+    return table.count() <= rows
 
 
 def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
