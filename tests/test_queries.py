@@ -2,9 +2,10 @@ import pytest
 from check_queries import compare
 
 import __spark_entry__ as entry
+from tagloom.plans import oracle, registry
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = registry.QUERIES
+SQL = oracle.oracle_sql()
 
 
 def test_sql_names_exist():
