@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import near_dups
+from tagloom.llm import near_dups, repeats
 from tagloom.workspace import store
 
 
@@ -17,8 +17,14 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     )
 
 
+def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes that occur more than once are cut out; every document stays."""
+    return repeats.remove_repeats(docs, "doc_id", "text").withColumn("n_chars", F.length("text").cast("long"))
+
+
 STAGES = [
     ("minhash_near_dedup", near_dup_stage),
+    ("repeat_removal", repeat_stage),
 ]
 
 ORACLE_SQL = None

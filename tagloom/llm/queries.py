@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import near_dups
+from tagloom.llm import near_dups, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that belong to 400-byte strings found elsewhere too."""
+    return repeats.removal_report(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 @query
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicates of every document; the least id of a class is kept."""
