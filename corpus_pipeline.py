@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import near_dups, repeats
+from tagloom.llm import language, near_dups, queries, repeats
 from tagloom.workspace import store
 
 
+#: Least mean probability of a document's language over its words.
+CONFIDENT = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a clear language stay, and ``lang`` becomes the predicted one.
+
+    Those without letters and those with no language above half of their words go.
+    """
+    model = language.train(language.training_sample(docs, "doc_id", "text", "lang", ~queries.held_out()))
+    kept = language.predict(docs, "doc_id", "text", model, carry=docs.columns)
+    kept = kept.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= CONFIDENT))
+    return kept.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays: the one with the least id."""
     classes = near_dups.near_groups(docs, "doc_id", "text")
@@ -23,6 +38,7 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("language_id", language_stage),
     ("minhash_near_dedup", near_dup_stage),
     ("repeat_removal", repeat_stage),
 ]

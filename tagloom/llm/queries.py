@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import near_dups, repeats
+from tagloom.llm import language, near_dups, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,6 +28,22 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_report(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def held_out() -> Column:
+    """Documents that no classifier learns from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+
+
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(language.training_sample(docs, "doc_id", "text", "lang", ~held_out()))
+    found = language.predict(docs, "doc_id", "text", model)
+    return found.withColumnRenamed("id", "doc_id").select(
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "n_words", "n_switches"
+    )
+
+
 @query
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicates of every document; the least id of a class is kept."""
