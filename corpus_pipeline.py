@@ -19,9 +19,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Those without letters and those with no language above half of their words go.
     """
     model = language.train(language.training_sample(docs, "doc_id", "text", "lang", ~queries.held_out()))
-    kept = language.predict(docs, "doc_id", "text", model, carry=docs.columns)
+    kept = language.predict(docs, "doc_id", "text", model, whole_rows=True)
     kept = kept.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= CONFIDENT))
-    return kept.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    columns = [F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns]
+    return kept.select(columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

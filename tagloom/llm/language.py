@@ -343,10 +343,12 @@ def label(model: Model, data: np.ndarray, offsets: np.ndarray):
     return sums, counts, row, gamma.argmax(axis=1)
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
+def _predict(
+    columns: Iterator[tuple[pa.Array, pa.Array]], model: Model | None, name: str
+) -> Iterator[pa.RecordBatch]:
     names = np.array([*(model.languages if model else ()), UNKNOWN], dtype=object)
-    for batch in batches:
-        data, offsets = column_bytes(batch.column("_text"))
+    for carried, texts in columns:
+        data, offsets = column_bytes(texts)
         for i, j in slices(offsets):
             n = j - i
             best, score, words, switches = np.full(n, -1), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -359,7 +361,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
                 switches = np.bincount(row[changed], minlength=n)
             yield pa.record_batch(
                 {
-                    **{name: batch.column(name)[i:j] for name in batch.schema.names if name != "_text"},
+                    name: carried[i:j],
                     "lang_pred": pa.array(names[best], pa.string()),
                     "score": pa.array(score),
                     "n_words": pa.array(words.astype(np.int64)),
@@ -368,23 +370,29 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
             )
 
 
-def predict(docs: DataFrame, id_col: str, text_col: str, model: Model | None, carry: list[str] | None = None) -> DataFrame:
-    """(id, lang_pred, score, n_words, n_switches) of every row; with ``carry`` those columns instead of id.
+def predict(docs: DataFrame, id_col: str, text_col: str, model: Model | None, whole_rows: bool = False) -> DataFrame:
+    """(id, lang_pred, score, n_words, n_switches) of every row; ``whole_rows``: (row, ...), a struct of all columns.
 
     ``lang_pred`` is the language with the largest sum of word probabilities (of equal
     ones the first by name), ``score`` its mean probability over the words,
     ``n_switches`` how often the most probable language changes from word to word. A
     text that is null or has no letter, and any text under a model of None, gets
     ``und``, 0, 0, 0. Rows with null or repeated ids are rows like any other; an empty
-    table gives no rows. Carried columns must not have the names of the four others.
+    table gives no rows; further columns, whatever their names, do not matter.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded: hashed features and lexicons
-    kept = [F.col(id_col).cast("long").alias("id")] if carry is None else [F.col(f"`{c}`") for c in carry]
-    rows = docs.select(*kept, F.col(text_col).cast("string").alias("_text"))
-    fields = [f for f in rows.schema.fields if f.name != "_text"]
-    added = ("lang_pred string", "score double", "n_words long", "n_switches long")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *added])
-    return rows.mapInArrow(lambda it: _predict(it, held.value), schema)
+    added = "lang_pred string, score double, n_words long, n_switches long"
+    if whole_rows:
+        rows = docs.select(F.struct(*docs.columns).alias("row"))
+        place, kind = docs.columns.index(text_col), rows.schema["row"].dataType.simpleString()
+        return rows.mapInArrow(
+            lambda it: _predict(((b.column(0), b.column(0).field(place)) for b in it), held.value, "row"),
+            f"row {kind}, {added}",
+        )
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(
+        lambda it: _predict(((b.column(0), b.column(1)) for b in it), held.value, "id"), f"id long, {added}"
+    )
 
 
 def _segments(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
