@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import language, near_dups, queries, repeats
+from tagloom.llm import language, near_dups, packing, queries, repeats
 from tagloom.workspace import store
 
 
@@ -38,10 +38,16 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return repeats.remove_repeats(docs, "doc_id", "text").withColumn("n_chars", F.length("text").cast("long"))
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 2048 tokens."""
+    return packing.pack(docs, "doc_id", "text", queries.TOKENIZER).withColumnRenamed("id", "doc_id")
+
+
 STAGES = [
     ("language_id", language_stage),
     ("minhash_near_dedup", near_dup_stage),
     ("repeat_removal", repeat_stage),
+    ("best_fit_packing", packing_stage),
 ]
 
 ORACLE_SQL = None

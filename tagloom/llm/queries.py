@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import language, near_dups, repeats
+from tagloom.llm import language, near_dups, packing, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in as few sequences of 2048 tokens as can be."""
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that belong to 400-byte strings found elsewhere too."""
