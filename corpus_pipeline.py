@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import language, near_dups, packing, queries, repeats
+from tagloom.llm import decontaminate, language, near_dups, packing, queries, repeats
 from tagloom.workspace import store
 
 
@@ -28,9 +28,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays: the one with the least id."""
     classes = near_dups.near_groups(docs, "doc_id", "text")
-    return docs.join(classes.where("id = class_id").select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(
-        docs.columns
-    )
+    surplus = store(classes.where("id <> class_id").select(F.col("id").alias("doc_id")), "surplus")
+    kept = docs.join(surplus, "doc_id", "left_anti")
+    # Rows that repeat both id and text are one document.
+    kept = kept.withColumn("_t", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return kept.dropDuplicates(["doc_id", "_t"]).select(docs.columns)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,6 +40,13 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return repeats.remove_repeats(docs, "doc_id", "text").withColumn("n_chars", F.length("text").cast("long"))
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of the words of a benchmark item go."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaked = decontaminate.leaks(docs, "doc_id", "text", bench).select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(store(leaked, "leaked"), "doc_id", "left_anti").select(docs.columns)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 2048 tokens."""
     return packing.pack(docs, "doc_id", "text", queries.TOKENIZER).withColumnRenamed("id", "doc_id")
@@ -47,6 +56,7 @@ STAGES = [
     ("language_id", language_stage),
     ("minhash_near_dedup", near_dup_stage),
     ("repeat_removal", repeat_stage),
+    ("benchmark_decontamination", decontamination_stage),
     ("best_fit_packing", packing_stage),
 ]
 

@@ -55,9 +55,14 @@ POWERS = Powers()
 
 def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums ``s`` and factors ``f``: ``(s[j] - s[i]) * f[i]`` depends on bytes i..j-1 only."""
-    up, down = POWERS.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
+    return prefix_sums(_TABLE[data])
+
+
+def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a sequence of 64-bit numbers."""
+    up, down = POWERS.upto(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
     return sums, down
 
 

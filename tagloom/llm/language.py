@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagloom.llm.buffers import U64, column_bytes, mix, slices
+from tagloom.llm.letters import code_points, word_bounds
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -43,57 +43,6 @@ class Model:
     lexicon: np.ndarray  # sorted word hashes
 
 
-@cache
-def _characters() -> tuple[np.ndarray, np.ndarray]:
-    """Of every code point: 1 letter, 2 mark, 0 other; and its lower case."""
-    import unicodedata
-
-    kind, lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
-    for c in range(0x110000):
-        x = chr(c)
-        if x.isalpha():
-            kind[c] = 1
-            low = x.lower()
-            if len(low) == 1:
-                lower[c] = ord(low)
-        elif unicodedata.category(x)[0] == "M":
-            kind[c] = 2
-    return kind, lower
-
-
-def _code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of UTF-8 rows and the offsets of rows among them."""
-    raw = data.tobytes()
-    try:
-        flat = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
-        count = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        return flat, count[offsets]
-    except UnicodeDecodeError:
-        rows = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
-        return (
-            np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32),
-            np.concatenate([[0], np.cumsum([len(x) for x in rows])]),
-        )
-
-
-def _words(points: np.ndarray, offsets: np.ndarray):
-    """Lower-case letters of all words: (first letter, end, row) of runs of letters and their marks."""
-    kind, lower = _characters()
-    own = kind[points]
-    begins = np.zeros(len(points), bool)
-    begins[offsets[:-1][offsets[:-1] < len(points)]] = True
-    solid = own > 0
-    # A mark belongs to a word only after a letter or another mark of it.
-    joined = np.zeros(len(points), bool)
-    joined[1:] = solid[1:] & solid[:-1] & ~begins[1:]
-    first = np.flatnonzero(solid & ~joined)
-    last = np.flatnonzero(solid & ~np.append(joined[1:], False)) + 1
-    letters = np.concatenate([[0], np.cumsum(own == 1)])
-    real = letters[last] > letters[first]
-    first, last = first[real], last[real]
-    return lower[points], first, last, np.searchsorted(offsets, first, "right") - 1
-
-
 def _padded(points: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words one after the other, each between two marks; and their offsets."""
     size = last - first + 2
@@ -223,10 +172,10 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
     languages = tuple(sorted(set(langs)))
     raw = [x.encode() for x in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
-    points, offsets = _code_points(data, np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
+    points, offsets = code_points(data, np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
     if not len(points):
         return None
-    points, first, last, row = _words(points, offsets)
+    points, first, last, row = word_bounds(points, offsets)
     if not len(first):
         return None
     flat, ends = _padded(points, first, last)
@@ -325,10 +274,10 @@ def train(sample: DataFrame) -> Model | None:
 def label(model: Model, data: np.ndarray, offsets: np.ndarray):
     """Posterior sums by row, words by row, and each word's row and best language."""
     states = len(model.languages)
-    points, ends = _code_points(data, offsets)
+    points, ends = code_points(data, offsets)
     rows = len(offsets) - 1
     if len(points):
-        points, first, last, row = _words(points, ends)
+        points, first, last, row = word_bounds(points, ends)
     if not len(points) or not len(first):
         return np.zeros((rows, states)), np.zeros(rows, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     flat, marks = _padded(points, first, last)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import language, near_dups, packing, repeats
+from tagloom.llm import decontaminate, language, near_dups, packing, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -54,6 +54,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of the words of a benchmark item, in any order of its parts."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicates of every document; the least id of a class is kept."""
