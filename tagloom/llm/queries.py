@@ -10,7 +10,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import chat, decontaminate, language, near_dups, neighbours, packing, repeats, shards
+from tagloom.llm import (
+    chat,
+    decontaminate,
+    html_text,
+    language,
+    near_dups,
+    neighbours,
+    packing,
+    repeats,
+    shards,
+    token_counts,
+)
 from tagloom.workspace import shared_dir, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +83,27 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@query
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after three batches: all documents come in, toxic ones go, repeated lines are cut out.
+
+    The second batch is sent twice and counts once.
+    """
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    files = {"byte_bpe_50k": Path(TOKENIZER).read_text()}
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    gone = docs.join(toxic, "doc_id", "left_semi")
+    stay = docs.join(toxic, "doc_id", "left_anti")
+    shorter = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
+    changed = stay.where(F.col("text") != shorter)
+    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
+    rollup.commit("1-insert", token_counts.inserts(docs, files))
+    for _ in range(2):
+        rollup.commit("2-delete", token_counts.deletes(gone, files))
+    rollup.commit("3-revise", token_counts.revisions(changed, files, F.col("text"), shorter))
+    return rollup.totals()
+
+
 @query
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that belong to 400-byte strings found elsewhere too."""
@@ -126,6 +158,30 @@ FROM turns GROUP BY conv_id
 """
 
 
+@query
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+# The same for pages with one plain article element: its blocks, line by line.
+ORACLE_SQL["op10_main_text"] = r"""
+WITH inside AS (
+    SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '\s+', ' ', 'g') AS t
+    FROM pages),
+cut AS (
+    SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(t,
+        '<br>', ' ', 'g'), '</?(p|h[1-6]|div|section|ul|ol|li|blockquote|pre|table|tr|td)\b[^>]*>', chr(10), 'g'),
+        '</?[a-zA-Z][^>]*>', '', 'g'), chr(10)) AS lines FROM inside),
+decoded AS (
+    SELECT page_id, url, [y FOR y IN [trim(regexp_replace(regexp_replace(regexp_replace(
+        regexp_replace(regexp_replace(x, '&quot;', '"', 'g'), '&lt;', '<', 'g'), '&gt;', '>', 'g'), '&amp;?', '&', 'g'),
+        ' +', ' ', 'g')) FOR x IN lines] IF y <> ''] AS lines FROM cut)
+SELECT page_id, url, array_to_string(lines, chr(10)) AS text,
+    CAST(length(array_to_string(lines, chr(10))) AS BIGINT) AS n_chars FROM decoded
+"""
+
+
 @query
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicates of every document; the least id of a class is kept."""
