@@ -1,0 +1,109 @@
+import random
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from tagloom.llm import packing, tokens
+from tagloom.llm.configurations import _best_fit, configurations
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+EXACT = Tokenizer.from_file(PATH)
+EXACT.encode_special_tokens = True
+ENCODER = tokens.Encoder(Path(PATH).read_text())
+
+
+def ids(text):
+    return EXACT.encode(text, add_special_tokens=False).ids
+
+
+def mine(text):
+    return np.frombuffer(ENCODER.encode(text), np.uint32).tolist()
+
+
+BITS = [" ", "  ", "\n", "\t", "　", "a", "foo", "'s", "'", "don't", "é", "12", "!?", "<|endoftext|>", "日本", " x", "\x1c"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.lists(st.sampled_from(BITS), max_size=30).map("".join)))
+def test_ids_equal_the_library(text):
+    assert mine(text) == ids(text)
+
+
+def test_long_texts_are_cut_where_tokens_are(monkeypatch):
+    monkeypatch.setattr(tokens, "PART", 16)
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice(BITS) for _ in range(60))
+        assert mine(text) == ids(text)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 200), max_size=30))
+def test_configurations_hold_every_piece_once(counts):
+    histogram = np.zeros(65, np.int64)
+    for n, c in counts.items():
+        histogram[n] = c
+    made = configurations(histogram, 64)
+    seen = Counter()
+    for lengths, times in made:
+        assert sum(lengths) <= 64 and times > 0
+        for n in lengths:
+            seen[n] += times
+    assert seen == Counter({n: c for n, c in counts.items()})
+    plain = sum(times for _, times in _best_fit(Counter(), histogram.copy(), 64))
+    assert sum(times for _, times in made) <= plain + 1
+
+
+def test_configurations_reach_the_volume_bound():
+    rng = np.random.default_rng(0)
+    histogram = np.bincount(np.clip(rng.gamma(1.5, 300, 20_000).astype(int), 1, 2048), minlength=2049)
+    bins = sum(times for _, times in configurations(histogram, 2048))
+    assert bins <= -(-int((histogram * np.arange(2049)).sum()) // 2048) + 1
+
+
+def check(rows, docs, capacity):
+    """Pieces rebuild every document, places are gapless and within the capacity."""
+    by_sequence, by_doc = {}, Counter()
+    for r in rows:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        by_doc[r.id, r.piece, r.start, r.length, r.ids_crc32] += 1
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    expected = Counter()
+    for i, text in docs:
+        whole = [*ids(text or ""), 0]
+        cuts = list(range(len(whole), 0, -capacity))[::-1]
+        for piece, end in enumerate(cuts):
+            start = max(0, end - capacity)
+            start = 0 if piece == 0 else start
+            crc = zlib.crc32(np.array(whole[start:end], "<u4").tobytes())
+            expected[i, piece, start, end - start, crc] += 1
+    assert by_doc == expected
+
+
+@pytest.mark.parametrize("ranked", [100_000, 3])
+def test_pack(spark, monkeypatch, ranked):
+    monkeypatch.setattr(packing, "RANKED", ranked)
+    rng = random.Random(1)
+    docs = [(n, " ".join(rng.choice(["alpha", "beta", "x", "yy\n"]) for _ in range(rng.randint(0, 80)))) for n in range(80)]
+    docs += [(1000, None), (1001, ""), (1002, "word " * 3000), (7, docs[7][1]), (7, "other"), (None, "no id"), (None, None)]
+    df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, piece int")
+    check(packing.pack(df, "doc_id", "text", PATH, 64).collect(), docs, 64)
+    assert packing.pack(df.limit(0), "doc_id", "text", PATH, 64).count() == 0
+
+
+def test_ids_are_kept_on_demand(spark):
+    df = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    (row,) = packing.pack(df, "doc_id", "text", PATH, keep_ids=True).collect()
+    assert np.frombuffer(row.ids, "<u4").tolist() == [*ids("one two three"), 0]
