@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from tagloom.llm import neighbours as nb
 from tagloom.llm import queries
 
-ASKS = F.col("vec_id") % 100 == 0
+
+def asks():
+    return F.col("vec_id") % 100 == 0
 
 
 def brute(rows, k=10):
@@ -54,7 +56,7 @@ def test_edge_rows_and_hot_vector(spark, monkeypatch, block):
     ]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, rank int")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
-    found = lists(nb.nearest(df, ASKS))
+    found = lists(nb.nearest(df, asks()))
     expected = brute(rows)
     assert found.keys() == expected.keys()
     for q, near in expected.items():
@@ -62,7 +64,7 @@ def test_edge_rows_and_hot_vector(spark, monkeypatch, block):
             assert found[q] == near
         else:
             assert len(found[q]) == 10
-    assert nb.nearest(df.limit(0), ASKS).count() == 0
+    assert nb.nearest(df.limit(0), asks()).count() == 0
 
 
 def test_recall_and_scores(spark, sf_dir):
