@@ -19,9 +19,15 @@ PUNCTUATION = r"!-/:-@\[-`{-~\p{P}"
 ANY_SPACE = r"\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}"
 
 
+# Two noncharacters, which no text holds, stand for a replacement character of the input.
+_HELD = "\U0010ffff\U0010fffe"
+
+
 def utf8_text(raw: Column) -> Column:
-    """Bytes to text, dropping invalid sequences."""
-    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
+    """Bytes to text, dropping invalid sequences; replacement characters of the input stay."""
+    held = F.replace(raw.cast("string"), F.lit("\ufffd"), F.lit(_HELD))
+    valid = F.replace(F.make_valid_utf8(held), F.lit("\ufffd"), F.lit(""))
+    return F.replace(valid, F.lit(_HELD), F.lit("\ufffd"))
 
 
 def clean_text(text: Column) -> Column:

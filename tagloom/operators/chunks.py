@@ -172,6 +172,9 @@ def chunk_counts(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         ]
     )
     flat = cells.selectExpr(*by, f"inline(array({parts}))")
+    if not by:  # an empty stream has an overall row as well
+        none = [F.lit("").alias("type"), *[F.lit(0).cast("long").alias(c) for c in (*COUNTS, "tokens", "hits")]]
+        flat = flat.unionByName(flat.sparkSession.range(1).select(*none))
     sums = [F.sum(c).alias(c) for c in (*COUNTS, "tokens", "hits")]
     whole = F.grouping("type") == 1
     return (
@@ -203,7 +206,7 @@ def add_metrics(counts: DataFrame) -> DataFrame:
                 "fn": F.col("gold") - F.col("correct"),
                 "precision": ratio(F.col("correct"), F.col("guessed")),
                 "recall": ratio(F.col("correct"), F.col("gold")),
-                "accuracy": F.when(F.col("tokens") > 0, F.col("hits") / F.col("tokens")),
+                "accuracy": F.when(F.col("tokens").isNotNull(), ratio(F.col("hits"), F.col("tokens"))),
             }
         )
         .withColumn("f1", ratio(2 * p * r, p + r))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagloom.workspace import store
+from tagloom.operators.scan import rank_ids
+from tagloom.workspace import broadcast_if_small, is_small, store
 
 OUTSIDE = "O"
 IGNORED = "X"
@@ -22,10 +23,11 @@ def first_seen(rows: DataFrame, value: str, order: Sequence[str]) -> DataFrame:
 def label_dictionary(rows: DataFrame, order: Sequence[str], label: str = "label") -> DataFrame:
     """Written ``(label, id)``: outside label 0, the rest as first seen, ``X`` last.
 
-    Only the label set (a tag scheme, a handful of rows) is ranked in one place.
+    The outside label and ``X`` have these places whether or not the rows hold them.
     """
-    others = first_seen(rows, label, order).where(F.col(label) != OUTSIDE)
-    ranked = others.select(F.col(label).alias("label"), F.row_number().over(W.orderBy("seen")).alias("id"))
+    others = first_seen(rows, label, order).where(~F.col(label).isin(OUTSIDE, IGNORED))
+    others = others.select(F.col(label).alias("label"), "seen")
+    ranked = rank_ids(others, ["seen"]).select("label", (F.col("id") + 1).cast("int").alias("id"))
     spark = rows.sparkSession
     ends = spark.range(1).select(F.lit(OUTSIDE).alias("label"), F.lit(0).alias("id"))
     last = ranked.agg((F.count("*") + 1).cast("int").alias("id")).select(F.lit(IGNORED).alias("label"), "id")
@@ -37,8 +39,8 @@ def class_count(labels: DataFrame) -> DataFrame:
 
 
 def encode_labels(rows: DataFrame, labels: DataFrame, label: str = "label", to: str = "label_id") -> DataFrame:
-    """Label to id; an unknown label gets the outside id."""
-    known = F.broadcast(labels.select(F.col("label").alias(label), F.col("id").alias("_id")))
+    """Label to id; an unknown label gets the outside id. Labels occur once in ``labels``."""
+    known = broadcast_if_small(labels.select(F.col("label").alias(label), F.col("id").alias("_id")))
     outside = labels.where(F.col("label") == OUTSIDE).first()["id"]
     return (
         rows.join(known, label, "left")
@@ -51,8 +53,9 @@ def decode_labels(rows: DataFrame, labels: DataFrame, ids: Sequence[str]) -> Dat
     """Replace id columns by labels. The highest id (``X``) and unknown ids read ``O``."""
     top = labels.agg(F.max("id")).first()[0]
     known = labels.where(F.col("id") < top)
+    small = is_small(known)
     for name in ids:
-        names = F.broadcast(known.select(F.col("id").alias(name), F.col("label").alias("_label")))
+        names = (F.broadcast if small else lambda x: x)(known.select(F.col("id").alias(name), F.col("label").alias("_label")))
         rows = rows.join(names, name, "left").withColumn(name, F.coalesce("_label", F.lit(OUTSIDE)))
         rows = rows.drop("_label")
     return rows
@@ -79,13 +82,13 @@ def align(tokenized: DataFrame, x_id: int, label: str = "label") -> DataFrame:
     )
 
 
-def piece_histogram(tokenized: DataFrame) -> DataFrame:
-    """Number of words by number of pieces: ``(n_pieces, n_words)``."""
-    return (
-        tokenized.where(F.size("pieces") > 0)
-        .groupBy(F.size("pieces").alias("n_pieces"))
-        .agg(F.count("*").alias("n_words"))
-    )
+def piece_histogram(tokenized: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Number of words by number of pieces: ``(n_pieces, n_words)``.
+
+    With ``order``, also ``seen``: the least of these columns among the words of each row.
+    """
+    counts = [F.count("*").alias("n_words")] + ([F.min(F.struct(*order)).alias("seen")] if order else [])
+    return tokenized.where(F.size("pieces") > 0).groupBy(F.size("pieces").alias("n_pieces")).agg(*counts)
 
 
 def top_widths(histogram: DataFrame, first_seen: str | None = None, top: int = 4, fixed: bool = False):
@@ -94,6 +97,7 @@ def top_widths(histogram: DataFrame, first_seen: str | None = None, top: int = 4
     Ties go to the count seen first when that column is given, else to the smaller
     one. ``fixed`` returns the constant widths instead.
     """
+    # The constant widths.
     if fixed:
         return histogram.sparkSession.createDataFrame(
             [(i + 1, w) for i, w in enumerate((1, 3, 5, 7))], "rank int, width int"

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.workspace import BROADCAST_ROWS, is_small
+from tagloom.workspace import BROADCAST_ROWS, is_small, store
 
-HOT_KEYS = 20_000
+# Rows of one key that a task may get; a key with more is spread over several tasks.
+TASK_ROWS = 1_000_000
 
 
 def lookup(
@@ -19,29 +20,41 @@ def lookup(
     how: str = "left",
     weight: str | None = None,
     small: int = BROADCAST_ROWS,
-    hot_keys: int = HOT_KEYS,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Join ``rows`` to a written ``table`` holding each ``key`` once.
 
-    A small table goes to every executor and nothing is shuffled. A larger table
-    with a ``weight`` column (how many rows carry the key) is cut in two: keys that
-    hold at least 1/``hot_keys`` of all rows, of which there can be at most
-    ``hot_keys``, are broadcast; the other rows are shuffled, and none of their
-    keys is big enough to overload a task. Without weights the engine's own skew
-    handling applies.
+    A table that is small in rows and bytes goes to every executor and nothing is
+    shuffled. With a larger one, a key that more than ``task_rows`` rows carry is
+    spread: its entry is repeated once for every ``task_rows`` of them, and its rows
+    choose one of the copies by a hash of all their columns. The number of rows of a
+    key is ``weight`` where the table has such a column; else it is counted, which
+    moves one row for each key and task. No more than one key in ``task_rows`` rows can
+    be so heavy, so the list of such keys is broadcast if it is small itself.
     """
     value_columns = [c for c in table.columns if c not in (key, weight)]
     values = table.select(key, *value_columns)
     if is_small(table, small):
         return rows.join(F.broadcast(values), key, how)
-    if weight is None:
+    uses = (
+        rows.groupBy(key).agg(F.count("*").alias("_uses"))
+        if weight is None
+        else table.select(key, F.col(weight).alias("_uses"))
+    )
+    heavy = store(
+        uses.where(f"_uses > {task_rows} AND `{key}` IS NOT NULL").select(
+            key, F.ceil(F.col("_uses") / task_rows).cast("int").alias("_copies")
+        ),
+        "heavy",
+    )
+    if heavy.isEmpty():
         return rows.join(values, key, how)
-    total = table.agg(F.sum(weight)).first()[0]
-    is_hot = F.col(weight) * hot_keys >= F.lit(total)
-    hot = F.broadcast(table.where(is_hot).select(key, *value_columns))
-    cold = table.where(~is_hot).select(key, *value_columns)
-    rest = rows.join(hot, key, "left_anti").join(cold, key, how)
-    return rows.join(hot, key, "inner").unionByName(rest)
+    heavy = F.broadcast(heavy) if is_small(heavy, small) else heavy
+    one = F.coalesce("_copies", F.lit(1))
+    copies = values.join(heavy, key, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), one - 1)))
+    mark = F.pmod(F.xxhash64(*rows.columns), one).cast("int")  # the same when a task is run again
+    spread = rows.join(heavy, key, "left").withColumn("_copy", mark).drop("_copies")
+    return spread.join(copies.drop("_copies"), [key, "_copy"], how).drop("_copy")
 
 
 def lookup_ids(items: DataFrame, vocab: DataFrame, strict: bool = False) -> DataFrame:
@@ -57,26 +70,26 @@ def lookup_pieces(items: DataFrame, vocab: DataFrame, strict: bool = False) -> D
 def _checked(joined: DataFrame, found: str, key: str, strict: bool) -> DataFrame:
     if not strict:
         return joined
-    missing = F.raise_error(F.concat(F.lit(f"unknown {key}: "), F.col(key).cast("string")))
+    named = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    missing = F.raise_error(F.concat(F.lit(f"unknown {key}: "), named))
     kind = joined.schema[found].dataType
     return joined.withColumn(found, F.coalesce(found, missing.cast(kind)))
 
 
-def gather_vectors(
-    items: DataFrame, vectors: DataFrame, key: str = "vec_id", weight_rows: bool = True
-) -> DataFrame:
-    """Attach to every item the vector with its id."""
-    return lookup(items, vectors, key, "inner")
+def gather_vectors(items: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Attach to every item the vector with its id; an id without one is an error."""
+    return _checked(lookup(items, vectors, key), vector, key, strict=True)
 
 
 def add_vectors(items: DataFrame, others: Sequence[tuple[DataFrame, str]], vector: str = "embedding") -> DataFrame:
     """Add further vectors, each found by its own key column, to ``vector``.
 
     ``others`` are ``(table(key, vec), key)`` pairs, e.g. token-type and position
-    vectors; their size is fixed by the number of types and the longest sequence.
+    vectors; their size is fixed by the number of types and the longest sequence. A
+    key without a vector is an error.
     """
     for n, (table, key) in enumerate(others):
         extra = f"_vec{n}"
-        joined = lookup(items, table.withColumnRenamed("vec", extra), key, "inner")
+        joined = _checked(lookup(items, table.withColumnRenamed("vec", extra), key), extra, key, strict=True)
         items = joined.withColumn(vector, F.zip_with(vector, extra, lambda a, b: a + b)).drop(extra)
     return items

@@ -20,11 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.operators.lookup import HOT_KEYS
+from tagloom.operators.scan import rank_ids
 from tagloom.workspace import broadcast_if_small, is_small, store
 
 BLOCK = 8192
 FAN = 1024
+# Ids that leave out more than so many for each one they use are numbered anew.
+SPARSE = 64
 
 
 def _block_table(sizes: np.ndarray, limit: int, keep_empty: bool):
@@ -42,13 +44,13 @@ def _block_table(sizes: np.ndarray, limit: int, keep_empty: bool):
     return fill, used
 
 
-def _walk(tables: pd.DataFrame, fill: int, pack: int):
-    """Starting fill and pack id of each table in order, and the final pair."""
+def _walk(tables: pd.DataFrame, fill: int, pack: int) -> list[tuple[int, int]]:
+    """Starting fill and pack id of each table in order."""
     starts = []
     for out, used in zip(tables["fill_out"], tables["used"]):
         starts.append((fill, pack))
         fill, pack = int(out[fill]), pack + int(used[fill])
-    return starts, (fill, pack)
+    return starts
 
 
 def _compose(tables: pd.DataFrame):
@@ -64,43 +66,73 @@ def _compose(tables: pd.DataFrame):
 
 
 def _block_starts(rows: DataFrame, shard: list[str], limit: int, keep_empty: bool, fan: int) -> DataFrame:
-    """``(shard…, block, fill_in, pack_in)`` for every block of ``rows``."""
+    """``(shard…, block, fill_in, pack_in)`` for every block of ``rows``.
+
+    Tables are composed ``fan`` at a time until one level has no more than ``fan`` of
+    them in any shard; starts then go down the levels again.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    keys = ", ".join(f"{c} {kinds[c]}" for c in shard)
-    lead = f"{keys}, " if keys else ""
+    keys = "".join(f"{c} {kinds[c]}, " for c in shard)
     table = "fill_out array<int>, used array<bigint>"
 
     def to_table(key, pdf):
-        sizes = pdf.sort_values("sent_id")["n"].to_numpy()
+        sizes = pdf.sort_values("idx")["n"].to_numpy()
         return pd.DataFrame([[*key, *_block_table(sizes, limit, keep_empty)]])
 
-    blocks = store(
-        rows.groupBy(*shard, "block").applyInPandas(to_table, f"{lead}block bigint, {table}"), "blocks"
-    )
-    grouped = blocks.withColumn("grp", F.expr(f"block div {fan}"))
-
     def to_group(key, pdf):
         return pd.DataFrame([[*key, *_compose(pdf.sort_values("block"))]])
 
-    groups = grouped.groupBy(*shard, "grp").applyInPandas(to_group, f"{lead}grp bigint, {table}")
-
-    def group_starts(key, pdf):
-        pdf = pdf.sort_values("grp")
-        starts, _ = _walk(pdf, 0, 0)
-        return pd.DataFrame([[*key, g, f, p] for g, (f, p) in zip(pdf["grp"], starts)])
-
-    tops = groups.groupBy(*shard).applyInPandas(
-        group_starts, f"{lead}grp bigint, fill_in int, pack_in bigint"
-    )
-
     def starts_in_group(key, pdf):
         pdf = pdf.sort_values("block")
-        starts, _ = _walk(pdf, int(pdf["fill_in"].iloc[0]), int(pdf["pack_in"].iloc[0]))
-        return pd.DataFrame([[*key[:-1], b, f, p] for b, (f, p) in zip(pdf["block"], starts)])
+        fill, pack = int(pdf["fill_in"].iloc[0]), int(pdf["pack_in"].iloc[0])
+        rows = zip(pdf["block"], _walk(pdf, fill, pack))
+        return pd.DataFrame([[*key[:-1], b, f, p] for b, (f, p) in rows])
+
+    level = rows.groupBy(*shard, "block").applyInPandas(to_table, f"{keys}block bigint, {table}")
+    levels = [store(level, "blocks")]
+    while (levels[-1].agg(F.max("block")).first()[0] or 0) >= fan:
+        grouped = levels[-1].withColumn("grp", F.expr(f"block div {fan}")).groupBy(*shard, "grp")
+        level = grouped.applyInPandas(to_group, f"{keys}grp bigint, {table}")
+        levels.append(store(level.withColumnRenamed("grp", "block"), "blocks"))
+    starts = None
+    for level in reversed(levels):
+        level = level.withColumn("grp", F.expr(f"block div {fan}"))
+        if starts is None:
+            level = level.withColumns({"fill_in": F.lit(0), "pack_in": F.lit(0).cast("long")})
+        else:
+            level = level.join(starts.withColumnRenamed("block", "grp"), [*shard, "grp"])
+        starts = level.groupBy(*shard, "grp").applyInPandas(
+            starts_in_group, f"{keys}block bigint, fill_in int, pack_in bigint"
+        )
+    return starts
 
-    return grouped.join(tops, [*shard, "grp"]).groupBy(*shard, "grp").applyInPandas(
-        starts_in_group, f"{lead}block bigint, fill_in int, pack_in bigint"
-    )
+
+def _fill(sizes: np.ndarray, fill: int, pack: int, limit: int, keep_empty: bool):
+    """Pack, offset and empty-buffer flag of consecutive sentences, and the state after them.
+
+    One step for each pack or oversize sentence: the sentences that still fit are
+    found in the running total by binary search.
+    """
+    packs, offsets = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+    empties = np.zeros(len(sizes), bool)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    # A sentence above the limit makes the total jump too far to be passed over.
+    at = 0
+    while at < len(sizes):
+        n = int(sizes[at])
+        if n > limit:
+            empties[at] = fill == 0
+            pack += 1 if keep_empty or fill else 0
+            packs[at], offsets[at] = pack, 0
+            pack, fill, at = pack - (-n // limit), 0, at + 1
+            continue
+        if fill + n > limit:
+            pack, fill = pack + 1, 0
+        to = int(np.searchsorted(total, total[at] + limit - fill, "right")) - 1
+        packs[at:to] = pack
+        offsets[at:to] = fill + total[at:to] - total[at]
+        fill, at = fill + int(total[to] - total[at]), to
+    return packs, offsets, empties, fill, pack
 
 
 def pack_sentences(
@@ -117,17 +149,29 @@ def pack_sentences(
     and ``empty_before``. A sentence with ``n > limit`` fills the packs ``pack_id``,
     ``pack_id + 1``, … on its own; ``empty_before`` marks that it flushed an empty
     buffer, which with ``keep_empty`` is a pack of its own, numbered one lower.
+
+    ``sent_id`` is any integer; ids with wide gaps are numbered densely first.
     """
     shard = list(shard)
-    rows = sizes.select(*shard, "sent_id", "n").where("n > 0")
-    rows = rows.withColumn("block", F.expr(f"sent_id div {block}"))
+    rows = store(sizes.select(*shard, "sent_id", F.col("n").cast("long").alias("n")).where("n > 0"), "sizes")
+    span = rows.groupBy(*shard).agg(F.max("sent_id").alias("most"), F.min("sent_id").alias("least"), F.count("*").alias("rows"))
+    wide = span.where(f"least < 0 OR most >= {SPARSE} * rows + {block}")
+    if wide.isEmpty():
+        rows = rows.withColumn("idx", F.col("sent_id"))
+    else:
+        ranked = rank_ids(rows, [*shard, "sent_id"], "rank")
+        if shard:
+            ranked = ranked.join(ranked.groupBy(*shard).agg(F.min("rank").alias("low")), shard)
+            ranked = ranked.withColumn("rank", F.col("rank") - F.col("low")).drop("low")
+        rows = store(ranked.withColumnRenamed("rank", "idx"), "sizes")
+    rows = rows.withColumn("block", F.expr(f"idx div {block}"))
     later = store(rows.where("block > 0").select(*shard).distinct(), "long_shards") if shard else None
     if later is None:
         starts = _block_starts(rows, shard, limit, keep_empty, fan)
     elif is_small(later, 0):
         starts = None
     else:
-        long_rows = rows.join(broadcast_if_small(later, HOT_KEYS * 10), shard, "left_semi")
+        long_rows = rows.join(broadcast_if_small(later), shard, "left_semi")
         starts = _block_starts(long_rows, shard, limit, keep_empty, fan)
     if starts is not None:
         starts = broadcast_if_small(store(starts, "starts"))
@@ -135,33 +179,25 @@ def pack_sentences(
     else:
         rows = rows.withColumns({"fill_in": F.lit(0), "pack_in": F.lit(0).cast("long")})
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("fill_in", "pack_in")})
-    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(parts, *shard, "block").sortWithinPartitions(*shard, "block", "sent_id")
+    ordered = rows.repartition(*shard, "block").sortWithinPartitions(*shard, "block", "idx")
 
     def fill_packs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, fill, pack = None, 0, 0
         for pdf in batches:
-            packs, offsets, empties = [], [], []
-            here = zip(*[pdf[c] for c in [*shard, "block"]])
-            for key, n, f0, p0 in zip(here, pdf["n"], pdf["fill_in"], pdf["pack_in"]):
+            if pdf.empty:
+                continue
+            keys = pdf[[*shard, "block"]]
+            new = np.flatnonzero(np.append(True, (keys.iloc[1:].to_numpy() != keys.iloc[:-1].to_numpy()).any(axis=1)))
+            parts = []
+            for a, b in zip(new, np.append(new[1:], len(pdf))):
+                key = tuple(keys.iloc[a])
                 if key != at:
-                    at, fill, pack = key, f0, p0
-                empties.append(n > limit and fill == 0)
-                if n > limit:
-                    pack += 1 if keep_empty or fill else 0
-                    packs.append(pack)
-                    offsets.append(0)
-                    pack, fill = pack - (-n // limit), 0
-                elif fill + n > limit:
-                    pack, fill = pack + 1, n
-                    packs.append(pack)
-                    offsets.append(0)
-                else:
-                    packs.append(pack)
-                    offsets.append(fill)
-                    fill += n
+                    at, fill, pack = key, int(pdf["fill_in"].iloc[a]), int(pdf["pack_in"].iloc[a])
+                *found, fill, pack = _fill(pdf["n"].to_numpy()[a:b], fill, pack, limit, keep_empty)
+                parts.append(found)
+            packs, offsets, empties = (np.concatenate(x) for x in zip(*parts))
             out = pdf[[*shard, "sent_id", "n"]].copy()
-            yield out.assign(pack_id=packs, offset=offsets, empty_before=empties)
+            yield out.assign(pack_id=packs, offset=offsets.astype(np.int32), empty_before=empties)
 
     kinds = ordered.select(*shard, "sent_id", "n").schema
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds.fields)

@@ -3,7 +3,9 @@
 A window ordered over a whole table (or over one very large group) runs in one
 task. Here rows are cut into blocks by integer division of their order keys; each
 block is scanned on its own, and the block totals are scanned the same way one
-level up, so only a short list of totals ever meets in one place.
+level up, so only a short list of totals ever meets in one place. Keys with wide gaps
+make many nearly empty blocks; then the totals get dense numbers by a range sort
+and go through the same steps under these.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from tagloom.workspace import store
 
 BLOCK = 1 << 16
+# Totals that one window may hold.
+TOP = 1 << 18
 
 
 def prior_values(
@@ -25,11 +29,13 @@ def prior_values(
     values: Mapping[str, tuple[str, Column]],
     within: Sequence[str] = (),
     block: int = BLOCK,
+    top: int = TOP,
 ) -> DataFrame:
     """Add, for every row, a value over all rows strictly before it.
 
     ``keys`` are non-negative integer columns giving the order (first key most
-    significant) inside each ``within`` group; together they identify a row.
+    significant) inside each ``within`` group; together they identify a row. They may
+    have gaps of any width.
     ``values`` maps a new column to ``("sum", expr)`` (running total, 0 at the
     start) or ``("last", expr)`` (latest non-null value, null at the start).
     """
@@ -47,9 +53,17 @@ def prior_values(
         if not levels[1:]:
             table = store(table, "totals")
         order = [keys[depth - 2], cut] if depth > 1 else [cut]
-    levels.append((table, within, order))
-
-    carried = None
+    sizes = table.groupBy(*within).agg(F.count("*").alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= top:
+        levels.append((table, within, order))
+        carried = None
+    else:
+        ranked = rank_ids(table, [*within, *order], "_rank")
+        cuts = {c: f"_of{c}" for c in ranked.columns if c.startswith("_cut")}
+        ranked = ranked.withColumnsRenamed({f"_v_{n}": f"_total_{n}" for n in kinds} | cuts)
+        again = {n: (kind, F.col(f"_total_{n}")) for n, kind in kinds.items()}
+        carried = prior_values(ranked, ["_rank"], again, within, block, top).drop("_rank")
+        carried = carried.withColumnsRenamed({new: old for old, new in cuts.items()})
     for table, group, order in reversed(levels):
         before = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
         table = table.withColumns(

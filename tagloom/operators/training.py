@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagloom.operators.scan import BLOCK, row_index
+from tagloom.operators.scan import BLOCK, rank_ids, row_index
 
 
 def training_union(train: DataFrame, devel: DataFrame) -> DataFrame:
@@ -21,9 +21,17 @@ def repeat_epochs(rows: DataFrame, epochs: int) -> DataFrame:
     return rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
 
 
-def shuffle_order(rows: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
-    """Full deterministic shuffle: rows sorted by a seeded hash of their key."""
-    return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)
+def shuffle_order(
+    rows: DataFrame, keys: Sequence[str], seed: int, key: Column | None = None, rank: str | None = None
+) -> DataFrame:
+    """Full deterministic shuffle: rows sorted by a seeded hash of their key, or by ``key``.
+
+    With ``rank`` the place of each row, from 0, is added under this name.
+    """
+    key = F.xxhash64(*keys, F.lit(seed)) if key is None else key
+    if rank is None:
+        return rows.orderBy(key, *keys)
+    return rank_ids(rows.withColumn("_key", key), ["_key", *keys], rank).drop("_key")
 
 
 def assign_batches(
@@ -32,9 +40,10 @@ def assign_batches(
     """Batch number in ``keys`` order, optionally without a short last batch."""
     within = list(within)
     placed = row_index(rows, keys, within).withColumn("batch", F.expr(f"idx div {size}"))
+    # Whole batches are known from the number of rows alone.
     if not drop_last:
         return placed
-    totals = placed.groupBy(*within).agg(F.count("*").alias("_all"))
+    totals = rows.groupBy(*within).agg(F.count("*").alias("_all"))
     kept = F.col("batch") < F.expr(f"_all div {size}")
     if within:
         return placed.join(totals, within).where(kept).drop("_all")

@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 from tagloom.functions.arrays import let
 from tagloom.functions.text import basic_tokens
 from tagloom.operators.lookup import lookup
-from tagloom.workspace import is_small, spread, store
+from tagloom.workspace import store
 
 UNK = "[UNK]"
 MAX_CHARS = 200
-SALTS = 16
 NO_PIECES = "cast(array() as array<struct<piece:string,id:bigint>>)"
 
 
@@ -37,7 +36,7 @@ def wordpiece(tokens: DataFrame, vocab: DataFrame, unk: str = UNK, max_chars: in
         F.max(F.length("piece")).alias("m"), F.max(F.when(F.col("piece") == unk, F.col("id"))).alias("u")
     ).first()
     size = F.length("token")
-    spans = spread(tokens).where((size > 0) & (size <= max_chars)).select("token", size.alias("n"))
+    spans = tokens.where((size > 0) & (size <= max_chars)).select("token", size.alias("n"))
     spans = spans.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
     last = F.least(F.col("n"), F.col("s") + longest["m"])
     spans = spans.select("*", F.explode(F.sequence(F.col("s") + 1, last)).alias("e"))
@@ -77,18 +76,14 @@ def wordpiece(tokens: DataFrame, vocab: DataFrame, unk: str = UNK, max_chars: in
 
 
 def _match(spans: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Spans found in the vocabulary. Short pieces match in very many words, so a
-    vocabulary too big to broadcast is repeated under a few salts."""
-    if is_small(vocab):
-        return spans.join(F.broadcast(vocab), "piece")
-    salted = vocab.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spans = spans.withColumn("salt", F.pmod(F.hash("token", "s"), F.lit(SALTS)))
-    return spans.join(salted, ["piece", "salt"]).drop("salt")
+    """Spans found in the vocabulary. Short pieces match in very many words; with a
+    vocabulary too big to broadcast they are spread as their number asks."""
+    return lookup(spans, vocab, "piece", "inner")
 
 
 def basic_dictionary(words: DataFrame, lower: bool = True) -> DataFrame:
     """``(word, …)`` distinct -> ``(word, …, tokens array<string>)``."""
-    return spread(words).withColumn("tokens", basic_tokens(F.col("word"), lower))
+    return words.withColumn("tokens", basic_tokens(F.col("word"), lower))
 
 
 def shape_pieces(pieces: Column, word: Column, unk: str = UNK, unk_as_word: bool = False) -> Column:
@@ -144,11 +139,31 @@ def word_dictionary(
     return store(full.withColumn("pieces", pieces).withColumn("pieces", shaped), "dictionary")
 
 
-def tokenize(words: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Attach ``pieces`` to every word row."""
-    return lookup(words, dictionary, "word", weight="n")
-
+def tokenize(
+    words: DataFrame,
+    dictionary: DataFrame,
+    vocab: DataFrame | None = None,
+    lower: bool = True,
+    unk_as_word: bool = False,
+) -> DataFrame:
+    """Attach ``pieces`` to every word row; a null word has none.
 
-def words_without_pieces(words: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Word rows that clean to nothing, set aside for inspection."""
-    return tokenize(words, dictionary).where(F.size("pieces") == 0).drop("pieces")
+    Words that are not in the dictionary are tokenised with ``vocab`` (and the options
+    the dictionary was made with) and join it; without ``vocab`` such a word is an
+    error.
+    """
+    if vocab is not None:
+        known = dictionary.select("word")
+        unseen = word_counts(words.where("word IS NOT NULL")).join(known, "word", "left_anti")
+        unseen = word_dictionary(unseen, vocab, lower, unk_as_word)
+        dictionary = store(dictionary.unionByName(unseen), "dictionary")
+    found = lookup(words, dictionary, "word", weight="n")
+    kind = found.schema["pieces"].dataType
+    empty = F.when(F.col("word").isNull(), F.array().cast(kind))
+    missing = F.raise_error(F.concat(F.lit("word not in the dictionary: "), F.col("word"))).cast(kind)
+    return found.withColumn("pieces", F.coalesce("pieces", empty, missing))
+
+
+def words_without_pieces(words: DataFrame, dictionary: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+    """Word rows that are null or clean to nothing, set aside for inspection."""
+    return tokenize(words, dictionary, vocab).where(F.size("pieces") == 0).drop("pieces")

@@ -14,7 +14,7 @@ from tagloom.operators.features import FeatureConfig, assemble, pack_combined, s
 from tagloom.operators.labels import align
 from tagloom.operators.scan import rank_ids
 from tagloom.operators.wordpiece import tokenize, word_counts, word_dictionary
-from tagloom.workspace import by_key, spread, store
+from tagloom.workspace import by_key, once, spread, store
 
 CLASSES = 5
 # The label dictionary of the derived corpus.
@@ -140,15 +140,9 @@ def vocabulary(spark: SparkSession, sf_dir: str, counts: DataFrame) -> DataFrame
     return store(rank_ids(entries, ["class", "ord"]).select("piece", "id"), "vocab")
 
 
-_BUILT: dict = {}
-
-
 def _once(spark: SparkSession, sf_dir: str, name: str, build):
-    """Tables written once per application and input folder, then re-read."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _BUILT:
-        _BUILT[key] = build()
-    return _BUILT[key]
+    """Tables written once per application and state of the documents, then re-read."""
+    return once(spark, [f"{sf_dir}/documents.parquet"], name, build)
 
 
 def counted_words(spark: SparkSession, sf_dir: str) -> DataFrame:

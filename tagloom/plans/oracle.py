@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tagloom.operators.features import ARRAYS
 from tagloom.plans.corpus import CLASSES, LABELS, TRANSITIONS
 from tagloom.plans.registry import BIAS, WEIGHTS
 
@@ -395,6 +396,10 @@ def oracle_sql() -> dict[str, str]:
         PIECES,
         "SELECT doc_id, sent_id, count(*) AS n_pieces, sum((word_pos + 1) * id * (piece_idx + 1))::BIGINT AS checksum FROM pieces GROUP BY 1, 2",
     )
+    q["tokenize_unseen"] = _with(
+        PIECES,
+        "SELECT doc_id, sent_id, count(*) AS n_pieces, sum((word_pos + 1) * id * (piece_idx + 1))::BIGINT AS checksum FROM pieces WHERE split <> 'train' GROUP BY 1, 2",
+    )
     q["piece_ids"] = _with(PIECES, "SELECT piece, id, count(*) AS n FROM pieces GROUP BY 1, 2")
     q["ids_to_pieces"] = _with(PIECES, "SELECT id, piece, count(*) AS n FROM pieces GROUP BY 1, 2")
 
@@ -436,7 +441,11 @@ def oracle_sql() -> dict[str, str]:
     q["pieces_per_word_hist"] = _with(hist, "SELECT n_pieces, n_words FROM hist")
     q["histogram_file"] = q["pieces_per_word_hist"]
     q["top4_widths"] = _with(
-        hist, "SELECT (row_number() OVER (ORDER BY n_words DESC, n_pieces))::INT AS rank, n_pieces AS width FROM hist QUALIFY rank <= 4"
+        PIECES
+        + """,
+wd AS (SELECT doc_id, sent_id, word_pos, count(*)::INT AS n_pieces FROM pieces WHERE split = 'train' GROUP BY 1, 2, 3),
+hs AS (SELECT n_pieces, count(*) AS n_words, min({'d': doc_id, 's': sent_id, 'p': word_pos}) AS seen FROM wd GROUP BY 1)""",
+        "SELECT (row_number() OVER (ORDER BY n_words DESC, seen))::INT AS rank, n_pieces AS width FROM hs QUALIFY rank <= 4",
     )
     q["histogram_json"] = _with(
         hist, """SELECT '{' || string_agg('"' || n_pieces || '":' || n_words, ',' ORDER BY n_pieces) || '}' AS value FROM hist"""
@@ -512,7 +521,28 @@ sz AS (SELECT split, row_number() OVER (PARTITION BY split ORDER BY doc_id, sent
     )
     q["weight_matrix"] = _with(_packs(128) + ",\n" + _WM, _WM_OUT)
     q["weight_matrix_parity"] = _with(_packs(128) + ",\n" + _WM_PARITY, _WM_OUT)
-    q["feature_violations"] = "SELECT doc_id, 0::BIGINT AS pack_id, '' AS field, 0::INT AS size FROM documents WHERE false"
+    fields = ", ".join(f"('{name}')" for name in ARRAYS)
+    q["feature_violations"] = _with(
+        _packs(128), f"SELECT f.field, 128 AS size, count(*) AS n FROM pn, (VALUES {fields}) f(field) GROUP BY 1"
+    )
+    q["dense_matrix"] = _with(
+        _packs(128) + ",\n" + _WM,
+        """SELECT doc_id, pack_id, 16384 AS n, round(sum(w::FLOAT::DOUBLE), 3) AS total,
+        round(sum(w::FLOAT::DOUBLE * ((word_idx * 128 + piece_pos) % 97 + 1)), 3) AS marked FROM cells GROUP BY 1, 2""",
+    )
+    padded = """md5('[CLS] ' || coalesce(string_agg(piece, ' ' ORDER BY i) || ' ', '') || '[SEP]' || repeat(' [PAD]', (126 - n)::INT)) AS piece_list"""
+    held = "FROM pn LEFT JOIN pk k ON k.doc_id = pn.doc_id AND k.pack_id = pn.pack_id"
+    q["read_features"] = _with(
+        _packs(128),
+        f"""SELECT pn.doc_id, pn.pack_id, (3 + coalesce(sum(id * (i + 1)), 0) + 4 * (n + 2))::BIGINT AS input_ids,
+        (1 + coalesce(sum(is_start * (i + 1)), 0) + n + 2)::BIGINT AS is_start_label, {padded}
+        {held} WHERE pn.doc_id % 10 = 9 GROUP BY pn.doc_id, pn.pack_id, n""",
+    )
+    q["preview"] = _with(
+        _packs(128),
+        f"""SELECT pn.doc_id, pn.pack_id, {padded}, coalesce(sum(label * (i + 1)), 0)::BIGINT AS label_ids {held}
+        GROUP BY pn.doc_id, pn.pack_id, n ORDER BY pn.doc_id, pn.pack_id LIMIT 1""",
+    )
     q["length_violations"] = _with(
         LINES,
         """SELECT f.field, n::INT AS size, count(*) AS n FROM sent, (VALUES ('words'), ('gold'), ('pred')) f(field)
@@ -527,15 +557,15 @@ sz AS (SELECT split, row_number() OVER (PARTITION BY split ORDER BY doc_id, sent
     )
     q["sequence_sizes"] = _with(_packs(128), "SELECT doc_id, pack_id, (w + 2)::INT AS words, (n + 2)::INT AS pieces FROM pn")
 
+    weighted = "list_sum(list_transform(range(1, 65), lambda d: {0} * d))"
     q["embedding_gather"] = _with(
         PIECES + ",\n" + _SEQ_EMB,
-        """SELECT doc_id, count(*) AS n, round(sum(embedding[1]::DOUBLE), 3) AS "first", round(sum(embedding[64]::DOUBLE), 3) AS "last"
+        f"""SELECT doc_id, count(*) AS n, round(sum({weighted.format('embedding[d]::DOUBLE')}), 3) AS total
         FROM vr JOIN embeddings e ON e.vec_id = vr.vec_id GROUP BY 1""",
     )
     q["embedding_sum"] = _with(
         PIECES + ",\n" + _SEQ_EMB,
-        """SELECT doc_id, count(*) AS n, round(sum(e.embedding[1]::DOUBLE + t.embedding[1]::DOUBLE + p.embedding[1]::DOUBLE), 3) AS "first",
-        round(sum(e.embedding[64]::DOUBLE + t.embedding[64]::DOUBLE + p.embedding[64]::DOUBLE), 3) AS "last"
+        f"""SELECT doc_id, count(*) AS n, round(sum({weighted.format('(e.embedding[d]::DOUBLE + t.embedding[d]::DOUBLE + p.embedding[d]::DOUBLE)')}), 3) AS total
         FROM vr JOIN embeddings e ON e.vec_id = vr.vec_id JOIN embeddings t ON t.vec_id = vr.is_start
         JOIN embeddings p ON p.vec_id = vr.pos_id GROUP BY 1""",
     )
@@ -658,6 +688,17 @@ sc AS (SELECT doc_id, sent_id, word_pos, {_name('label')} AS gold, {_name('logit
         (row_number() OVER (ORDER BY doc_id, sent_id) - 1) // 16 AS batch FROM rec) GROUP BY 1 HAVING count(*) = 16"""
     )
     q["step_budget"] = _records(_budget("combine") + " UNION ALL " + _budget("simple"))
+    q["shuffled_records"] = _records(
+        """SELECT split, doc_id, sent_id, n::INT AS n, row_number() OVER (ORDER BY
+        ((doc_id * 48271 + sent_id * 69621 + 42) % 2147483647 * 16807) % 2147483647, doc_id, sent_id) - 1 AS place FROM rec"""
+    )
+    q["tagger_scores"] = _with(
+        TAGGED,
+        """SELECT CASE WHEN gold = 'O' THEN 0 WHEN starts_with(gold, 'S-') THEN 1 ELSE 2 END AS tag, count(*) AS n, true AS better
+        FROM tagged WHERE split = 'devel' GROUP BY 1""",
+        False,
+    )
+    q["utf8_text"] = "SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM documents"
     q["context_window_features"] = _with(
         LINES,
         f"""SELECT doc_id, {', '.join(f'sum(x{k})::BIGINT AS ctx_{k}' for k in (1, 3, 5, 7, 2))} FROM (SELECT doc_id, {_CTX_ROWS}

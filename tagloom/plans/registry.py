@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagloom.functions import arrays, tags, text
@@ -13,7 +13,7 @@ from tagloom.operators import chunks, decode, evaluate, features, labels, lookup
 from tagloom.operators import wordpiece as wp
 from tagloom.plans import corpus
 from tagloom.sources import readers, writers
-from tagloom.workspace import shared_dir, spread
+from tagloom.workspace import new_path, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -28,10 +28,6 @@ def query(fn):
     return fn
 
 
-def _new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -113,9 +109,9 @@ def normalize_text(spark, sf_dir):
 
 @query
 def utf8_text(spark, sf_dir):
-    """Texts cut at a byte offset, which may fall inside a character."""
+    """Texts with stray bytes behind them, which must go and leave the whole text."""
     docs = spread(corpus.documents(spark, sf_dir))
-    raw = F.expr("substring(cast(text as binary), 1, length(cast(text as binary)) - cast(doc_id % 5 as int))")
+    raw = F.expr("concat(cast(text as binary), X'C3')")
     done = text.utf8_text(raw)
     return docs.select("doc_id", F.length(done).cast("long").alias("n_chars"), F.md5(done).alias("digest"))
 
@@ -149,8 +145,8 @@ def vocabulary(spark, sf_dir):
 @query
 def vocab_from_file(spark, sf_dir):
     """The vocabulary written as lines in id order and read back by line number."""
-    path = _new_path(spark, "vocab-text")
-    ordered = corpus.vocab(spark, sf_dir).orderBy("id").coalesce(1)
+    path = new_path(spark, "vocab-text")
+    ordered = corpus.vocab(spark, sf_dir).repartition(1).sortWithinPartitions("id")
     ordered.select(F.col("piece").alias("value")).write.text(path)
     return readers.read_vocab(spark, path)
 
@@ -165,6 +161,20 @@ def tokenize_sentences(spark, sf_dir):
     )
 
 
+@query
+def tokenize_unseen(spark, sf_dir):
+    """The devel and test splits tokenised with a dictionary of the train split's words."""
+    rows = corpus.labelled_words(spark, sf_dir)
+    vocab = corpus.vocab(spark, sf_dir)
+    train = wp.word_dictionary(wp.word_counts(rows.where("split = 'train'")), vocab)
+    rows = wp.tokenize(rows.where("split <> 'train'"), train, vocab)
+    ids = F.transform("pieces", lambda p: p["id"])
+    return rows.select(*SEQ, "word_pos", ids.alias("ids")).groupBy(*SEQ).agg(
+        F.sum(F.size("ids")).alias("n_pieces"),
+        F.sum((F.col("word_pos") + 1) * _checksum(F.col("ids"))).alias("checksum"),
+    )
+
+
 @query
 def piece_ids(spark, sf_dir):
     """Ids looked up piece by piece, an unknown piece being an error."""
@@ -207,7 +217,7 @@ def class_count(spark, sf_dir):
 @query
 def label_map_file(spark, sf_dir):
     """The label dictionary written as text and read back, with its inverse."""
-    path = _new_path(spark, "label-map")
+    path = new_path(spark, "label-map")
     writers.write_label_map(_train_labels(spark, sf_dir)[1], path)
     back = readers.read_label_map(spark, path)
     pairs = F.map_from_entries(F.collect_list(F.struct("label", "id")))
@@ -277,7 +287,9 @@ def pieces_per_word_hist(spark, sf_dir):
 
 @query
 def top4_widths(spark, sf_dir):
-    return labels.top_widths(_histogram(spark, sf_dir))
+    """Of equally frequent widths the one seen first in the corpus wins."""
+    train = corpus.tokenized(spark, sf_dir).where("split = 'train'")
+    return labels.top_widths(labels.piece_histogram(train, [*SEQ, "word_pos"]), "seen")
 
 
 @query
@@ -288,7 +300,7 @@ def histogram_json(spark, sf_dir):
 @query
 def histogram_file(spark, sf_dir):
     """The histogram written if absent and read back."""
-    path = _new_path(spark, "histogram")
+    path = new_path(spark, "histogram")
     writers.write_histogram(_histogram(spark, sf_dir), path)
     return readers.read_histogram(spark, path)
 
@@ -309,7 +321,7 @@ def _token_file(spark, sf_dir):
             F.lit("\n"),
         ).alias("lines"),
     )
-    path = _new_path(spark, "tokens")
+    path = new_path(spark, "tokens")
     writers.write_lines(rows, "lines", path, ["doc_id"], SEQ)
     return readers.read_tokens(spark, path)
 
@@ -434,7 +446,25 @@ def weight_matrix_parity(spark, sf_dir):
 
 @query
 def feature_violations(spark, sf_dir):
-    return features.feature_violations(corpus.features(spark, sf_dir, CFG), PACK, CFG)
+    """Features of length 128 checked against 96, counted by field."""
+    found = features.feature_violations(corpus.features(spark, sf_dir, CFG), PACK, features.FeatureConfig(max_len=96))
+    return found.groupBy("field", "size").agg(F.count("*").alias("n"))
+
+
+@query
+def dense_matrix(spark, sf_dir):
+    """The word-by-piece weights as flat 128 x 128 matrices: length, sum and a checksum of each."""
+    cells = features.weight_matrix(corpus.packs(spark, sf_dir, CFG), PACK)
+    rows = features.dense_matrix(cells, PACK, CFG.max_len)
+    marked = F.transform("weight_matrix", lambda x, i: x.cast("double") * (i % 97 + 1))
+    zero = F.lit(0.0)
+    done = rows.select(
+        *PACK,
+        F.size("weight_matrix").alias("n"),
+        F.aggregate("weight_matrix", zero, lambda a, x: a + x).alias("total"),
+        F.aggregate(marked, zero, lambda a, x: a + x).alias("marked"),
+    )
+    return _rounded(done, 3, "total", "marked")
 
 
 @query
@@ -448,7 +478,7 @@ def length_violations(spark, sf_dir):
 @query
 def feature_store(spark, sf_dir):
     """Features written by split, read back with partition pruning."""
-    path = _new_path(spark, "features")
+    path = new_path(spark, "features")
     split = "CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'devel' ELSE 'test' END"
     made = corpus.features(spark, sf_dir, CFG).withColumn("split", F.expr(split))
     stored = writers.features_if_missing(spark, path, lambda: made).where("split = 'devel'")
@@ -457,10 +487,30 @@ def feature_store(spark, sf_dir):
     )
 
 
+@query
+def read_features(spark, sf_dir):
+    """The test split of stored features, read with the declared schema and its pieces."""
+    path = writers.feature_path(new_path(spark, "features"), "BC4CHEMD", CFG.max_len, "combine")
+    split = "CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'devel' ELSE 'test' END"
+    writers.write_features(corpus.features(spark, sf_dir, CFG).withColumn("split", F.expr(split)), path)
+    rows = readers.read_features(spark, path, "test", pieces=True, keys=["doc_id"])
+    return rows.select(
+        *PACK,
+        _checksum(F.col("input_ids")).alias("input_ids"),
+        _checksum(F.col("is_start_label")).alias("is_start_label"),
+        F.md5(F.array_join("piece_list", " ")).alias("piece_list"),
+    )
+
+
 @query
 def preview(spark, sf_dir):
+    """The first record, taken from its JSON."""
     rows = corpus.features(spark, sf_dir, CFG).select(*PACK, "piece_list", "label_ids")
-    return writers.preview(rows, PACK)
+    kind = "doc_id bigint, pack_id bigint, piece_list array<string>, label_ids array<int>"
+    record = writers.preview(rows, PACK).select(F.from_json("value", kind).alias("r")).select("r.*")
+    return record.select(
+        *PACK, F.md5(F.array_join("piece_list", " ")).alias("piece_list"), _checksum(F.col("label_ids")).alias("label_ids")
+    )
 
 
 # --- scores to labels -------------------------------------------------------
@@ -479,16 +529,18 @@ def _vector_rows(spark, sf_dir):
     )
 
 
+def _vector_sums(rows: DataFrame) -> DataFrame:
+    """Sum over a document's vectors, each component weighted by its place."""
+    weighted = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
+    total = F.aggregate(weighted, F.lit(0.0), lambda acc, x: acc + x)
+    done = rows.select("doc_id", total.alias("t")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("t").alias("total"))
+    return _rounded(done, 3, "total")
+
+
 @query
 def embedding_gather(spark, sf_dir):
     vectors = _vectors(spark, sf_dir).select("vec_id", "embedding")
-    rows = lookup.gather_vectors(_vector_rows(spark, sf_dir), vectors)
-    done = rows.groupBy("doc_id").agg(
-        F.count("*").alias("n"),
-        F.sum(F.get("embedding", F.lit(0)).cast("double")).alias("first"),
-        F.sum(F.get("embedding", F.lit(63)).cast("double")).alias("last"),
-    )
-    return _rounded(done, 3, "first", "last")
+    return _vector_sums(lookup.gather_vectors(_vector_rows(spark, sf_dir), vectors))
 
 
 @query
@@ -498,12 +550,7 @@ def embedding_sum(spark, sf_dir):
     types = vectors.where("vec_id < 2").select(F.col("vec_id").cast("int").alias("is_start"), F.col("embedding").alias("vec"))
     positions = vectors.select(F.col("vec_id").alias("pos_id"), F.col("embedding").alias("vec"))
     rows = lookup.add_vectors(rows, [(types, "is_start"), (positions, "pos_id")])
-    done = rows.groupBy("doc_id").agg(
-        F.count("*").alias("n"),
-        F.sum(F.get("embedding", F.lit(0))).alias("first"),
-        F.sum(F.get("embedding", F.lit(63))).alias("last"),
-    )
-    return _rounded(done, 3, "first", "last")
+    return _vector_sums(rows)
 
 
 WEIGHTS = [[((c * 7 + d * 3) % 11 - 5) / 8.0 for d in range(64)] for c in range(corpus.CLASSES)]
@@ -524,17 +571,17 @@ def linear_tanh(spark, sf_dir):
     return _rounded(rows, 4, "score")
 
 
-def _piece_emissions(packs: DataFrame) -> DataFrame:
+def _pooled(spark, sf_dir) -> DataFrame:
+    """Word scores of the packed corpus, pooled inside each record."""
     at = "doc_id * 3 + pack_id * 7 + i * 13"
-    rows = packs.selectExpr(*PACK, "posexplode(ps) AS (i, p)")
     classes = ", ".join(f"cast(({at} + {c * 29}) % 17 / 4.0D AS double)" for c in range(corpus.CLASSES))
-    return rows.selectExpr(*PACK, "i + 1 AS piece_pos", f"array({classes}) AS scores")
+    emissions = F.expr(f"transform(ps, (p, i) -> array({classes}))")
+    return decode.pool_records(corpus.packs(spark, sf_dir, CFG), PACK, emissions, corpus.CLASSES)
 
 
 @query
 def word_pool(spark, sf_dir):
-    packs = corpus.packs(spark, sf_dir, CFG)
-    pooled = decode.pool_words(features.weight_matrix(packs, PACK), _piece_emissions(packs), PACK)
+    pooled = _pooled(spark, sf_dir).select(*PACK, F.posexplode("scores").alias("class_id", "score"))
     done = pooled.groupBy("doc_id", "class_id").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
     return _rounded(done, 8, "score")
 
@@ -542,10 +589,8 @@ def word_pool(spark, sf_dir):
 @query
 def pooled_labels(spark, sf_dir):
     """Pooling, softmax and argmax chained: the most likely class of every word."""
-    packs = corpus.packs(spark, sf_dir, CFG)
-    pooled = decode.pool_words(features.weight_matrix(packs, PACK), _piece_emissions(packs), PACK)
-    cells = pooled.withColumn("score", F.round("score", 6))
-    rows = decode.classify(decode.gather_scores(cells, [*PACK, "word_idx"]))
+    rounded = F.transform("scores", lambda x: F.round(x, 6))
+    rows = decode.classify(_pooled(spark, sf_dir).withColumn("scores", rounded))
     done = rows.groupBy("pred").agg(F.count("*").alias("n"), F.sum(F.array_max("probs")).alias("prob"))
     return _rounded(done, 2, "prob")
 
@@ -631,7 +676,7 @@ def conll_file_score(spark, sf_dir):
             F.lit("\n"),
         ).alias("lines"),
     )
-    path = _new_path(spark, "tagged")
+    path = new_path(spark, "tagged")
     writers.write_lines(rows, "lines", path, ["doc_id"], SEQ)
     stream = readers.read_tagged(spark, path, with_number=False)
     return _metrics(chunks.score(stream, ["block"], "mark", boundary="none", streams=["file"]))
@@ -667,7 +712,7 @@ def last_run(spark, sf_dir):
 @query
 def run_metrics(spark, sf_dir):
     """Run metrics appended as key and value rows and read back."""
-    path = _new_path(spark, "runs")
+    path = new_path(spark, "runs")
     long = _runs(spark, sf_dir).select("step", F.lit("f1").alias("key"), F.col("f1").alias("value"))
     writers.write_run_metrics(long, path)
     return spark.read.parquet(path)
@@ -726,7 +771,7 @@ def eval_stream(spark, sf_dir):
 @query
 def predictions_file(spark, sf_dir):
     """Prediction records written as JSON and read back with the declared schema."""
-    path = _new_path(spark, "predictions")
+    path = new_path(spark, "predictions")
     writers.write_predictions(corpus.predictions(spark, sf_dir, CFG), path)
     rows = readers.read_predictions(spark, path, multi_line=False)
     return rows.agg(
@@ -810,7 +855,9 @@ def step_budget(spark, sf_dir):
 
 @query
 def shuffled_records(spark, sf_dir):
-    return training.shuffle_order(_records(spark, sf_dir), SEQ, 42)
+    """Records in shuffled order, with their places."""
+    key = F.expr("((doc_id * 48271 + sent_id * 69621 + 42) % 2147483647 * 16807) % 2147483647")
+    return training.shuffle_order(_records(spark, sf_dir), SEQ, 42, key, "place")
 
 
 def _context(spark, sf_dir):
@@ -828,11 +875,17 @@ def context_window_features(spark, sf_dir):
 
 @query
 def tagger_scores(spark, sf_dir):
-    """A tagger learnt on the train split, scored on the devel split."""
+    """A tagger learnt on the train split, scored on the devel split: rows of each true
+    tag, and whether more of all rows are right than the commonest tag alone would get."""
     rows = _context(spark, sf_dir).withColumn(
         "tag", F.when(F.col("gold") == "O", 0).otherwise(F.when(F.col("gold").startswith("S-"), 1).otherwise(2))
     )
     names = ["ctx_1", "ctx_3", "ctx_5", "ctx_7"]
     weights, bias = tagger.fit_tagger(rows.where("split = 'train'"), names, "tag")
     scored = tagger.score_tagger(rows.where("split = 'devel'"), names, weights, bias)
-    return decode.classify(scored.drop("pred")).groupBy("tag", "pred").agg(F.count("*").alias("n"))
+    done = decode.classify(scored.drop("pred")).groupBy("tag").agg(
+        F.count("*").alias("n"), F.sum((F.col("pred") == F.col("tag")).cast("long")).alias("hits")
+    )
+    every = W.partitionBy(F.lit(0))  # three rows
+    better = F.sum("hits").over(every) >= F.max("n").over(every)
+    return done.select("tag", "n", better.alias("better"))

@@ -133,3 +133,10 @@ def test_long_sequences_in_blocks(spark, monkeypatch):
     want = overall(chunks.score(df, ["seq_id"]))
     monkeypatch.setattr(chunks, "BLOCK", 16)
     assert overall(chunks.score(df, ["seq_id"], boundary="long_sequence")) == want
+
+
+def test_empty_stream_has_an_overall_row(spark):
+    empty = spark.createDataFrame([], "s long, pos int, gold string, pred string")
+    (row,) = chunks.score(empty, ["s"]).collect()
+    assert (row["level"], row["gold"], row["guessed"], row["tokens"]) == ("overall", 0, 0, 0)
+    assert (row["precision"], row["recall"], row["f1"], row["accuracy"]) == (0, 0, 0, 0)

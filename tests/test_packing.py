@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +170,20 @@ def test_sentence_longer_than_a_part(spark, monkeypatch):
     assert [built("combine"), built("simple")] == whole
     monkeypatch.setattr(features, "BLOCK", 2)  # the scan in blocks instead of one window
     assert [built("combine"), built("simple")] == whole
+
+
+@pytest.mark.parametrize("keep_empty", [True, False])
+@pytest.mark.parametrize("shard", [["d"], []])
+def test_sparse_ids_and_deep_levels(spark, keep_empty, shard):
+    """50-bit ids with gaps, three levels of tables."""
+    rng = np.random.default_rng(6)
+    ids = np.sort(rng.choice(1 << 50, 300, replace=False))
+    sizes = rng.choice([1, 2, 3, 9, 25], 300)
+    df = spark.createDataFrame([(1, int(i), int(n)) for i, n in zip(ids, sizes)], "d long, sent_id long, n long")
+    dense = spark.createDataFrame([(1, k, int(n)) for k, n in enumerate(sizes)], "d long, sent_id long, n long")
+    columns = ["pack_id", "offset", "empty_before"]
+    got, plain = (
+        [tuple(r) for r in packing.pack_sentences(x, 10, shard, keep_empty, block=b, fan=f).orderBy("sent_id").select(columns).collect()]
+        for x, b, f in ((df, 4, 3), (dense, 1000, 1000))
+    )
+    assert got == plain

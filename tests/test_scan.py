@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tagloom.operators import scan
@@ -31,3 +33,18 @@ def test_rank_ids(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string").repartition(9)
     got = {r["w"]: r["id"] for r in scan.rank_ids(df, ["w"]).collect()}
     assert got == {w: i for i, w in enumerate(sorted(words))}
+
+
+@pytest.mark.parametrize("top", [2, 1 << 18])
+def test_keys_with_wide_gaps(spark, top):
+    rng = random.Random(4)
+    keys = sorted(rng.sample(range(1 << 50), 400))
+    rows = [(k % 3, k, rng.randint(0, 9)) for k in keys]
+    df = spark.createDataFrame(rows, "g long, k long, v long")
+    values = {"total": ("sum", F.col("v")), "latest": ("last", F.when(F.col("v") > 6, F.col("k")))}
+    got = {r["k"]: (r["total"], r["latest"]) for r in scan.prior_values(df, ["k"], values, ["g"], block=16, top=top).collect()}
+    state = {}
+    for g, k, v in rows:
+        total, latest = state.get(g, (0, None))
+        assert got[k] == (total, latest)
+        state[g] = (total + v, k if v > 6 else latest)

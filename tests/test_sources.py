@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom.functions import text
 from tagloom.operators import chunks, training
+from tagloom.schemas import FEATURES
 from tagloom.sources import readers, writers
 from tagloom.streaming.rows import stream_tokens
 
@@ -39,7 +41,9 @@ def test_vocab_keeps_last_id(spark, tmp_path):
 
 def test_label_map(spark, tmp_path):
     path = put(tmp_path / "labels.txt", "O 0\nB-X 1\ntwo words 2\n\nX 3\n")
-    assert {r["label"]: r["id"] for r in readers.read_label_map(spark, path).collect()} == {"O": 0, "B-X": 1, "X": 3}
+    assert {r["label"]: r["id"] for r in readers.read_label_map(spark, path).collect()} == {
+        "O": 0, "B-X": 1, "two words": 2, "X": 3
+    }
 
 
 def test_histogram_round_trip(spark, tmp_path):
@@ -80,7 +84,7 @@ def test_feature_store(spark, tmp_path):
     kept = writers.features_if_missing(spark, path, lambda: pytest.fail("built twice"))
     assert {r["split"]: r["piece_list"] for r in kept.collect()} == {"train": None, "test": ["b"]}
     train = readers.read_features(spark, path, "train")
-    assert train.columns == ["pack_id", "split"] and train.count() == 1
+    assert set(train.columns) == set(FEATURES.names) - {"piece_list"} and train.count() == 1
     plan = train._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(split" in plan
 
@@ -155,3 +159,35 @@ def test_context_across_blocks(spark):
     whole = training.context_features(df, F.col("v"), (3, 7, 2), ["s"], "pos")
     cut = training.context_features(df, F.col("v"), (3, 7, 2), ["s"], "pos", block=5)
     assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_label_map_keeps_last_line_and_spaces(spark, tmp_path):
+    path = tmp_path / "labels.txt"
+    path.write_text("O 0\nB-Y 1\nB Z 2\nB-Y 7\nno number\n\n")
+    found = {r["label"]: r["id"] for r in readers.read_label_map(spark, str(path)).collect()}
+    assert found == {"O": 0, "B-Y": 7, "B Z": 2}
+
+
+def test_existing_label_map_wins(spark, tmp_path):
+    path = str(tmp_path / "map")
+    first = spark.createDataFrame([("O", 0), ("B", 1)], "label string, id int")
+    for made in (first, first.withColumn("id", first.id + 5)):
+        found = writers.label_map_if_missing(spark, path, lambda: made)
+        assert {r["label"]: r["id"] for r in found.collect()} == {"O": 0, "B": 1}
+
+
+def test_half_written_features_are_built_again(spark, tmp_path):
+    path = tmp_path / "features"
+    made = spark.createDataFrame([("test", 1, ["a"])], "split string, pack_id long, piece_list array<string>")
+    assert writers.features_if_missing(spark, str(path), lambda: made).count() == 1
+    (path / "_SUCCESS").unlink()
+    built = []
+    writers.features_if_missing(spark, str(path), lambda: built.append(1) or made)
+    writers.features_if_missing(spark, str(path), lambda: built.append(1) or made)
+    assert built == [1]
+
+
+def test_invalid_bytes_go_and_replacement_characters_stay(spark):
+    raw = "a\ufffdé".encode() + b"\xc3" + b"b\xff"
+    df = spark.createDataFrame([(bytearray(raw),)], "raw binary")
+    assert df.select(text.utf8_text(F.col("raw"))).first()[0] == "a\ufffdéb"

@@ -46,8 +46,9 @@ def brute(token, vocab):
 
 @pytest.mark.parametrize("small", [10**6, 0])
 def test_random_words(spark, monkeypatch, small):
-    """Broadcast and salted vocabularies give the same pieces as a plain loop."""
-    monkeypatch.setattr(wp, "is_small", lambda t: small > 0)
+    """Broadcast and spread vocabularies give the same pieces as a plain loop."""
+    monkeypatch.setattr(lookup, "is_small", lambda *a: small > 0)
+    monkeypatch.setattr(lookup.lookup, "__defaults__", ("left", None, small, 20))
     rnd = random.Random(4)
     pieces = {("##" if rnd.random() < 0.5 else "") + "".join(rnd.choices("abc", k=rnd.randint(1, 3))) for _ in range(25)}
     tokens = {"".join(rnd.choices("abc", k=rnd.randint(1, 9))) for _ in range(400)}
@@ -81,7 +82,7 @@ def test_hot_and_cold_lookup(spark, how, lost):
     table = spark.createDataFrame([("hot", 500, 1)] + [(f"k{i}", 1, i) for i in range(1000)], "word string, n long, v long")
     df = spark.createDataFrame(rows, "word string")
     plain = df.join(table.drop("n"), "word", how)
-    cut = lookup.lookup(df, table, "word", how, weight="n", small=10, hot_keys=100)
+    cut = lookup.lookup(df, table, "word", how, weight="n", small=10, task_rows=100)
     assert sorted(map(str, cut.select("word", "v").collect())) == sorted(map(str, plain.select("word", "v").collect()))
 
 
@@ -115,3 +116,47 @@ def test_top_widths(spark):
 def test_mixed_words(spark):
     df = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (1, 0)], "w int, logit int")
     assert {r["w"]: r["consistent"] for r in labels.mixed_words(df, ["w"]).collect()} == {0: False, 1: True}
+
+
+def test_words_outside_the_dictionary(spark):
+    v = vocab_of(spark, "ab", "##cd", "x")
+    known = wp.word_dictionary(words_frame(spark, "ab"), v)
+    rows = spark.createDataFrame([(1, "ab"), (2, "abcd"), (3, "x"), (4, "zz"), (5, None), (6, "x")], "at int, word string")
+    got = {r["at"]: [p["piece"] for p in r["pieces"]] for r in wp.tokenize(rows, known, v).collect()}
+    assert got == {1: ["ab"], 2: ["ab", "##cd"], 3: ["x"], 4: ["[UNK]"], 5: [], 6: ["x"]}
+    with pytest.raises(Exception, match="word not in the dictionary"):
+        wp.tokenize(rows, known).collect()
+    assert [r["at"] for r in wp.words_without_pieces(rows, known, v).collect()] == [5]
+
+
+def test_missing_vectors_are_errors(spark):
+    items = spark.createDataFrame([(1, 0), (2, 7)], "vec_id int, pos int")
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "vec_id int, embedding array<double>")
+    assert lookup.gather_vectors(items, vectors).count() == 2
+    with pytest.raises(Exception, match="unknown vec_id: 2"):
+        lookup.gather_vectors(items, vectors.where("vec_id = 1")).collect()
+    places = spark.createDataFrame([(0, [0.5, 0.5])], "pos int, vec array<double>")
+    with pytest.raises(Exception, match="unknown pos: 7"):
+        lookup.add_vectors(lookup.gather_vectors(items, vectors), [(places, "pos")]).collect()
+
+
+@pytest.mark.parametrize("weight", [None, "n"])
+def test_heavy_keys_are_spread(spark, weight):
+    rows = spark.createDataFrame([(n, "hot" if n % 3 == 0 else f"k{n % 50}") for n in range(900)] + [(901, None)], "at int, word string")
+    counts = rows.where("word IS NOT NULL").groupBy("word").count().collect()
+    table = spark.createDataFrame([(r[0], r[1], i) for i, r in enumerate(counts)], "word string, n long, v int")
+    got = lookup.lookup(rows, table if weight else table.drop("n"), "word", "left", weight, small=3, task_rows=40)
+    expected = {r[0]: i for i, r in enumerate(counts)}
+    assert sorted((r["at"], r["v"]) for r in got.select("at", "v").na.fill(-1).collect()) == sorted(
+        (r["at"], expected.get(r["word"], -1)) for r in rows.collect()
+    )
+
+
+def test_label_x_in_the_data_and_first_seen_ties(spark):
+    rows = spark.createDataFrame([(0, "X"), (1, "B"), (2, "O")], "at int, label string")
+    d = labels.label_dictionary(rows, ["at"])
+    assert sorted((r["label"], r["id"]) for r in d.collect()) == [("B", 1), ("O", 0), ("X", 2)]
+    assert labels.encode_labels(rows, d).count() == 3
+    words = spark.createDataFrame([(0, [1, 2]), (1, [1]), (2, [1]), (3, [1, 2])], "at int, pieces array<int>")
+    top = labels.top_widths(labels.piece_histogram(words, ["at"]), "seen")
+    assert [(r["rank"], r["width"]) for r in top.orderBy("rank").collect()] == [(1, 2), (2, 1)]
