@@ -11,6 +11,7 @@ O(elements + k log k) instead of O(k * elements).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ DARTS = float(np.log(COORDINATES) + 3.0)
 #: Signatures of pairs at the threshold agree in a share of coordinates with a deviation of
 #: sqrt(0.8 * 0.2 / 192) = 0.029; a share lower by seven deviations rules a pair out.
 RULED_OUT = 7.0
-#: Rows of a bucket compared pairwise in one task.
-BLOCK = 256
+#: Rows of a bucket that are joined with each other, and of a block compared in one task.
+FEW, BLOCK = 12, 512
 
 # Rank cells: [0, 1/4), [1/4, 1), [1, 4), ... ; weight cells: [0, 1), [1, 2), [2, 4), ...
 _RANK_EDGES = np.concatenate([[0.0], 0.25 * 4.0 ** np.arange(40)])
@@ -145,7 +146,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], counted: bool) -> Iterator[pa.R
             yield pa.record_batch(
                 {
                     "id": batch.column(0)[i:j],
-                    "size": pa.array(sizes),
+                    "size": pa.array(sizes.astype(np.float64)),
                     "d0": pa.array(digest[:, 0].astype(np.int64)),
                     "d1": pa.array(digest[:, 1].astype(np.int64)),
                     "sig": _binary((signature >> U64(48)).astype(np.uint16)),
@@ -172,14 +173,32 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, counted: bool = False)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], counted: bool) -> Iterator[pa.RecordBatch]:
-    """Sorted shingle hashes, and their counts if they matter, as binary values."""
+    """Sorted shingle hashes as binary values; with ``counted`` each occurrence of a shingle is an element.
+
+    Rows come sorted by id out of a join; repeated rows of an id are left out.
+    """
+    current, seen = None, set()
     for batch in batches:
+        new = []
+        for n, (i, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+            if i != current:
+                current, seen = i, set()
+            digest = hashlib.md5((text.as_py() or "").encode()).digest()
+            if digest not in seen:
+                seen.add(digest)
+                new.append(n)
+        batch = batch.take(pa.array(new, pa.int64()))
         data, offsets = column_bytes(batch.column(1))
         for i, j in slices(offsets):
             rows, items, times = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            if counted:
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                rows, items = np.repeat(rows, times), np.repeat(items, times)
+                items = np.where(nth > 0, mix(items + nth.astype(np.uint64)), items)
+                order = np.lexsort((items, rows))
+                rows, items = rows[order], items[order]
             ends = np.searchsorted(rows, np.arange(j - i + 1)).astype(np.int32)
-            counts = _ragged(times.astype(np.uint32), ends) if counted else _ragged(items[:0], ends * 0)
-            yield pa.record_batch({"id": batch.column(0)[i:j], "items": _ragged(items, ends), "times": counts})
+            yield pa.record_batch({"id": batch.column(0)[i:j], "items": _ragged(items, ends)})
 
 
 def _ragged(values: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -189,16 +208,13 @@ def _ragged(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     )
 
 
-def _similarities(a: pd.Series, at: pd.Series, b: pd.Series, bt: pd.Series) -> pd.Series:
-    """Weighted Jaccard similarity of sorted shingle sets; empty counts stand for ones."""
+def _similarities(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Jaccard similarity of sorted shingle sets."""
     out = np.zeros(len(a))
-    for n, (x, xt, y, yt) in enumerate(zip(a, at, b, bt)):
+    for n, (x, y) in enumerate(zip(a, b)):
         x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        xt = np.frombuffer(xt, np.uint32).astype(float) if len(xt) else np.ones(len(x))
-        yt = np.frombuffer(yt, np.uint32).astype(float) if len(yt) else np.ones(len(y))
-        _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-        both = np.minimum(xt[i], yt[j]).sum()
-        out[n] = both / (xt.sum() + yt.sum() - both) if len(x) + len(y) else 0.0
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        out[n] = both / (len(x) + len(y) - both) if len(x) + len(y) else 0.0
     return pd.Series(out)
 
 
@@ -219,8 +235,15 @@ def _least_agreement(threshold: float) -> float:
     return threshold - RULED_OUT * float(np.sqrt(threshold * (1 - threshold) / COORDINATES))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """Ids in pairs; as many as the input has for all that is known, so they are never broadcast."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return ids.hint("shuffle_merge")
+
+
 def _plausible(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose signatures and sizes do not rule the threshold out."""
+    sigs = sigs.join(_ends(pairs), "id", "left_semi").dropDuplicates(["id", "sig"])
     a = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("size").alias("na"))
     b = sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("size").alias("nb"))
     return (
@@ -229,41 +252,67 @@ def _plausible(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame
         .where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
         .where(_agreement("sa", "sb") >= _least_agreement(threshold))
         .select("a", "b")
+        .distinct()
     )
 
 
+def _shingled(docs: DataFrame, ids: DataFrame, counted: bool) -> DataFrame:
+    """(id, items) of some documents."""
+    return docs.join(ids, "id", "left_semi").mapInArrow(lambda it: _sets(it, counted), "id long, items binary")
+
+
 def _checked(pairs: DataFrame, docs: DataFrame, threshold: float, counted: bool) -> DataFrame:
-    """Pairs whose exact similarity reaches the threshold, with it."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = docs.join(ids, "id", "left_semi").mapInArrow(
-        lambda it: _sets(it, counted), "id long, items binary, times binary"
-    )
-    sets = store(sets, "shingles")
-    a = sets.select(F.col("id").alias("a"), F.col("items").alias("ia"), F.col("times").alias("ta"))
-    b = sets.select(F.col("id").alias("b"), F.col("items").alias("ib"), F.col("times").alias("tb"))
-    return (
-        pairs.join(a, "a")
-        .join(b, "b")
-        .select("a", "b", _jaccard("ia", "ta", "ib", "tb").alias("similarity"))
-        .where(F.col("similarity") >= threshold - 1e-12)
-    )
+    """Pairs whose exact similarity reaches the threshold."""
+    sets = store(_shingled(docs, _ends(pairs), counted), "shingles")
+    a = sets.select(F.col("id").alias("a"), F.col("items").alias("ia"))
+    b = sets.select(F.col("id").alias("b"), F.col("items").alias("ib"))
+    return pairs.join(a, "a").join(b, "b").where(_jaccard("ia", "ib") >= threshold - 1e-12).select("a", "b")
+
 
+def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets: a product of incidence matrices.
 
-def _block_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Plausible pairs of different components between two blocks of one bucket."""
-    table = pa.Table.from_batches(list(batches))
+    Elements of one set alone are left out; the others are taken some at a time.
+    """
+    sizes = [len(x) for x in sets]
+    items, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    place = np.cumsum(counts > 1) - 1
+    shared = counts[inverse] > 1
+    row, column = row[shared], place[inverse[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, (begin, begin + columns))
+        held = np.zeros((len(sets), columns), np.float32)
+        held[row[a:b], column[a:b] - begin] = 1
+        out += held @ held.T
+    return out
+
+
+def _block_links(table: pa.Table, threshold: float) -> pa.Table:
+    """Links that join components between two blocks of one bucket, by exact similarity.
+
+    Of links between the same two components one is enough, so there are fewer links
+    than rows.
+    """
     ids, comps = table["id"].to_numpy(), table["comp"].to_numpy()
-    left, right = table["left"].to_numpy(zero_copy_only=False), table["right"].to_numpy(zero_copy_only=False)
-    sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(ids), -1)
-    rights = np.flatnonzero(right)
-    found_a, found_b = [], []
+    left, right = (table[n].to_numpy(zero_copy_only=False) for n in ("left", "right"))
+    sets = [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()]
+    sizes = np.array([len(x) for x in sets], np.float32)
+    both = intersections(sets)
+    close = both >= (threshold - 1e-6) * (sizes[:, None] + sizes[None, :] - both)
+    _, root = np.unique(comps, return_inverse=True)
+    found: list[tuple[int, int]] = []
     for i in np.flatnonzero(left):
-        other = rights[(comps[rights] != comps[i]) & (ids[rights] != ids[i])]
-        close = other[(sigs[other] == sigs[i]).mean(axis=1) >= least]
-        found_a.append(np.minimum(ids[close], ids[i]))
-        found_b.append(np.maximum(ids[close], ids[i]))
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
-    yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        other = np.flatnonzero(close[i] & right & (root != root[i]))
+        for j in other[np.unique(root[other], return_index=True)[1]]:
+            found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+        if len(other):
+            root[np.isin(root, root[other])] = root[i]
+    a, b = zip(*found) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def near_groups(
@@ -284,8 +333,8 @@ def near_groups(
 
     Copies (equal shingle sets) collapse to one representative first. In every band
     bucket all representatives are compared with two leaders, so a bucket of any
-    size gives two pairs a row; only rows that are left in different components are
-    compared with each other, in blocks.
+    size gives two pairs a row; only buckets that are left with different components
+    are compared row with row, larger ones in blocks that give links and no pairs.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = store(sketches(docs, "id", "text", counted), "sketches")
@@ -294,7 +343,7 @@ def near_groups(
     firsts = filled.groupBy("d0", "d1").agg(F.min("id").alias("rep"))
     members = store(filled.select("id", "d0", "d1").join(firsts, ["d0", "d1"]).select("id", "rep").distinct(), "members")
     reps = filled.join(firsts.select("d0", "d1", F.col("rep").alias("id")), ["d0", "d1", "id"], "left_semi")
-    reps = store(reps.select("id", "size", "sig", "bands").dropDuplicates(["id", "sig"]), "representatives")
+    reps = store(reps.select("id", "size", "sig", "bands"), "representatives")
     sigs = reps.select("id", "size", "sig")
 
     rows = reps.select("id", F.posexplode("bands").alias("band", "key"))
@@ -306,7 +355,7 @@ def near_groups(
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    tried = store(_plausible(pairs, sigs, threshold), "pairs")
+    tried = store(_plausible(store(pairs, "pairs"), sigs, threshold), "pairs")
     links = store(_checked(tried, docs, threshold, counted), "checked")
 
     # Rows of a bucket that the leaders did not bring together.
@@ -323,32 +372,31 @@ def near_groups(
         .select("band", "key", "n")
     )
     apart = store(apart.join(mixed, ["band", "key"]), "apart")
-    small = apart.where(f"n <= {BLOCK}")
+    small = apart.where(f"n <= {FEW}")
     other = small.select("band", "key", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
     rest = (
         small.withColumnRenamed("id", "a").join(other, ["band", "key"]).where("a < b AND comp <> comp_b").select("a", "b")
     )
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    least = _least_agreement(threshold)
-    large = (
-        apart.where(f"n > {BLOCK}")
-        .join(sigs.select("id", "sig"), "id")
-        .withColumn("blocks", blocks)
+    rest = _plausible(store(rest.distinct(), "pairs"), sigs, threshold)
+    rest = store(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(_checked(rest, docs, threshold, counted))
+    # Larger buckets in blocks; a pair inside one block or across two is seen once there.
+    wide = apart.where(f"n > {FEW}")
+    blocks = (
+        wide.join(_shingled(docs, wide.select("id").distinct().hint("shuffle_merge"), counted), "id")
+        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         .withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) AS int)"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "band", "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"),
-            "id", "comp", "sig",
+            "id", "comp", "items",
             (F.col("own") <= F.col("with")).alias("left"), (F.col("own") >= F.col("with")).alias("right"),
         )
     )
-    # A pair inside one block or across two is seen once in its block pair.
-    far = large.groupBy("band", "key", "i", "j").applyInArrow(
-        lambda table: pa.Table.from_batches(_block_pairs(iter(table.to_batches()), least)), "a long, b long"
+    far = blocks.groupBy("band", "key", "i", "j").applyInArrow(
+        lambda table: _block_links(table, threshold), "a long, b long"
     )
-    rest = _plausible(rest.distinct(), sigs, threshold).union(far).distinct()
-    rest = store(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = store(links.union(_checked(rest, docs, threshold, counted)), "checked")
+    links = store(links.union(far.distinct()), "checked")
 
     ends = links.select(F.col("a").alias("rep"), "b").union(links.select(F.col("b").alias("rep"), F.col("a").alias("b")))
     degree = ends.groupBy("rep").agg(F.countDistinct("b").alias("n_links"))
