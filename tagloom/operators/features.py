@@ -70,6 +70,7 @@ def sentence_pieces(tokenized: DataFrame, sentence: Sequence[str], label: str =
                 p["start"].alias("start"),
                 p["focus"].alias("focus"),
                 p["weight"].alias("weight"),
+                w["word_pos"].alias("word_pos"),
             ),
         ),
     )
@@ -97,11 +98,14 @@ def _part_offsets(parts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def pack_combined(sentences: DataFrame, cfg: FeatureConfig, shard: Sequence[str]) -> DataFrame:
+def pack_combined(
+    sentences: DataFrame, cfg: FeatureConfig, shard: Sequence[str], source: bool = False
+) -> DataFrame:
     """Several sentences per sequence: ``(shard…, pack_id, ps, word_labels)``.
 
     Placement works on counts alone; pieces travel once to their sentence's place and
-    once to their sequence.
+    once to their sequence. With ``source`` each piece carries its ``sent_id`` besides
+    its ``word_pos``, so a word that a border cuts can be put together again.
     """
     keys = [*shard, "sent_id"]
     limit = cfg.limit
@@ -123,6 +127,8 @@ def pack_combined(sentences: DataFrame, cfg: FeatureConfig, shard: Sequence[str]
     hi = F.least(F.col("part_n"), (F.col("chunk") + 1) * limit - F.col("first_piece"))
     size = F.when(F.col("chunk") < 0, 0).otherwise(hi - lo).cast("int")
     cut = F.when(oversize, F.slice("ps", (lo + 1).cast("int"), size)).otherwise(F.col("ps"))
+    if source:
+        cut = F.transform(cut, lambda p: p.withField("sent_id", F.col("sent_id")))
     place = F.when(oversize, F.col("first_piece") + lo).otherwise(F.col("offset") + F.col("first_piece"))
     runs = rows.select(
         *shard,

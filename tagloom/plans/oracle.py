@@ -128,7 +128,7 @@ sz AS MATERIALIZED (SELECT doc_id, sent_id, n, row_number() OVER (PARTITION BY d
         + f""",
 ps AS (SELECT placed.doc_id, sz.sent_id, placed.pack_id, "offset", placed.n FROM placed JOIN sz ON sz.doc_id = placed.doc_id AND sz.ord = placed.ord),
 pk AS MATERIALIZED (SELECT doc_id, CASE WHEN n > {limit} THEN pack_id + j // {limit} ELSE pack_id END AS pack_id,
-    1 + CASE WHEN n > {limit} THEN j % {limit} ELSE "offset" + j END AS i, label, piece, id, is_start, focus, weight
+    1 + CASE WHEN n > {limit} THEN j % {limit} ELSE "offset" + j END AS i, label, piece, id, is_start, focus, weight, sent_id, word_pos
   FROM (SELECT p.*, ps.pack_id, ps."offset", ps.n,
       row_number() OVER (PARTITION BY p.doc_id, p.sent_id ORDER BY word_pos, piece_idx) - 1 AS j
     FROM pieces p JOIN ps ON ps.doc_id = p.doc_id AND ps.sent_id = p.sent_id)),
@@ -649,6 +649,14 @@ sc AS (SELECT doc_id, sent_id, word_pos, {_name('label')} AS gold, {_name('logit
     q["vote_source_words"] = _with(
         PIECES + ",\n" + by_word + ",\n" + _score("sc", "doc_id, sent_id", "word_pos"), _out()
     )
+    in_packs = f"""f1 AS (SELECT doc_id, sent_id, word_pos, pack_id * 1000 + i AS place, label, CASE WHEN (doc_id*31 + pack_id*17 + i*7) % 11 = 0 THEN 0
+  WHEN (doc_id*31 + pack_id*17 + i*7) % 13 = 0 THEN 5 ELSE label END AS logit FROM pk),
+f2 AS (SELECT doc_id, sent_id, word_pos, logit, count(*) AS n, min(place) AS seen, min(label) AS label FROM f1 GROUP BY 1, 2, 3, 4),
+sc AS (SELECT doc_id, sent_id, word_pos, {_name('label')} AS gold, {_name('logit')} AS pred FROM f2
+  QUALIFY row_number() OVER (PARTITION BY doc_id, sent_id, word_pos ORDER BY n DESC, seen) = 1)"""
+    q["vote_packed_source_words"] = _with(
+        _packs(128) + ",\n" + in_packs + ",\n" + _score("sc", "doc_id, sent_id", "word_pos"), _out()
+    )
     q["eval_x"] = _eval(first_x)
     q["eval_focus"] = _eval(
         f"sc AS (SELECT doc_id, pack_id, i, {_name(focus)} AS gold, {_name('logit')} AS pred FROM pr WHERE i BETWEEN 1 AND n AND {focus} <> 9)"
