@@ -2,7 +2,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 from test_decontaminate import naive_tiles
 from test_near_dups import brute as near_classes
-from test_packing import check
+from test_sequence_packing import check
 from tagloom.llm import queries
 
 
@@ -40,7 +40,7 @@ def leaks(text, items, least=5):
 def test_stages_equal_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = {r.doc_id: r for r in queries.op6_language(spark, sf_dir).collect()}
-    rows = {r.doc_id: r.text for r in docs.collect() if labels[r.doc_id].lang_pred != "und" and labels[r.doc_id].score >= 0.5}
+    rows = {r.doc_id: r.text for r in docs.collect() if labels[r.doc_id].lang_pred != "und" and labels[r.doc_id].score >= 0.3}
     classes = near_classes(list(rows.items()))
     rows = {i: t for i, t in rows.items() if classes[i] == i}
     rows = dict(zip(rows, cut(list(rows.values()))))
