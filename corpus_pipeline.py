@@ -10,13 +10,13 @@ from tagloom.workspace import store
 
 
 #: Least mean probability of a document's language over its words.
-CONFIDENT = 0.5
+CONFIDENT = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a clear language stay, and ``lang`` becomes the predicted one.
 
-    Those without letters and those with no language above half of their words go.
+    Those without letters and those with no language that reaches this share go.
     """
     model = language.train(language.training_sample(docs, "doc_id", "text", "lang", ~queries.held_out()))
     kept = language.predict(docs, "doc_id", "text", model, whole_rows=True)

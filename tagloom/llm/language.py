@@ -25,11 +25,12 @@ from tagloom.llm.letters import code_points, word_bounds
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 #: Bounds of the training sample: documents of a language, and characters of a document.
-SAMPLE_DOCS, SAMPLE_CHARS = 200, 20_000
+SAMPLE_DOCS, SAMPLE_CHARS = 120, 20_000
 LEXICON = 300  # words of a language
 SEQUENCE = 128  # words of a training sequence
 STEPS = 60
-_BLOCK = 32
+_SLICE = 1 << 19  # bytes of text labelled at once
+_BLOCK = 64
 _FLOOR = -40.0
 
 
@@ -56,8 +57,16 @@ def _padded(points: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np
     return flat, ends
 
 
-def _features(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed features: (word, bucket) pairs sorted by word, and each word's hash.
+def _word_hashes(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of every marked word."""
+    place = (np.arange(len(flat)) - np.repeat(ends[:-1], np.diff(ends)) + 1).astype(np.uint64)
+    place *= U64(0x9E3779B97F4A7C15)
+    place += flat * U64(0xD6E8FEB86659FD93)
+    return mix(np.add.reduceat(mix(place), ends[:-1])) if len(ends) > 1 else flat[:0]
+
+
+def _features(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features: (word, bucket) pairs sorted by word.
 
     All bigrams and trigrams of the marked word (so affixes of one and two letters),
     and affixes of three letters.
@@ -78,9 +87,7 @@ def _features(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
         parts.append((word[i], (mix(h[i] + U64(size)) >> U64(20)) % U64(BUCKETS)))
     words, buckets = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(words, kind="stable")
-    place = (np.arange(n) - np.repeat(ends[:-1], np.diff(ends)) + 1).astype(np.uint64)
-    whole = np.add.reduceat(mix(h1 + place * U64(0x9E3779B97F4A7C15)), ends[:-1]) if count else h1[:0]
-    return words[order], buckets[order].astype(np.int64), mix(whole)
+    return words[order], buckets[order].astype(np.int64)
 
 
 def _lexicon_rows(lexicon: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -179,15 +186,16 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
     if not len(first):
         return None
     flat, ends = _padded(points, first, last)
-    _, _, whole = _features(flat, ends)
+    whole = _word_hashes(flat, ends)
+    del flat, ends
     label = np.searchsorted(np.array(languages), np.array(langs))[row]
     distinct, index, inverse = np.unique(whole, return_index=True, return_inverse=True)
     counts = np.zeros((len(languages), len(distinct)))
     np.add.at(counts, (label, inverse), 1)
     top = np.argsort(-counts, axis=1, kind="stable")[:, :LEXICON]
     lexicon = np.unique(distinct[np.unique(top)])
-    words, buckets, hashes = _features(*_padded(points, first[index], last[index]))
-    lex = _lexicon_rows(lexicon, hashes)
+    words, buckets = _features(*_padded(points, first[index], last[index]))
+    lex = _lexicon_rows(lexicon, distinct)
 
     rng = np.random.default_rng(seed)
     n_states, total = len(languages), len(whole)
@@ -259,7 +267,8 @@ def training_sample(
     )
     rows = rows.where(F.length("text") <= chars)
     share = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(float(4 * most << 40)) / F.col("n")).alias("below"))
-    ranked = rows.join(share, "lang").where("at < below").withColumn(
+    # One row a language, of which the model holds a square.
+    ranked = rows.join(F.broadcast(share), "lang").where("at < below").withColumn(
         "nth", F.row_number().over(W.partitionBy("lang").orderBy("at", "text"))
     )
     return ranked.where(F.col("nth") <= most).select("lang", "text")
@@ -280,11 +289,9 @@ def label(model: Model, data: np.ndarray, offsets: np.ndarray):
         points, first, last, row = word_bounds(points, ends)
     if not len(points) or not len(first):
         return np.zeros((rows, states)), np.zeros(rows, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    flat, marks = _padded(points, first, last)
-    place = (np.arange(len(flat)) - np.repeat(marks[:-1], np.diff(marks)) + 1).astype(np.uint64)
-    whole = np.add.reduceat(mix(flat * U64(0xD6E8FEB86659FD93) + place * U64(0x9E3779B97F4A7C15)), marks[:-1])
-    _, index, inverse = np.unique(whole, return_index=True, return_inverse=True)
-    words, buckets, hashes = _features(*_padded(points, first[index], last[index]))
+    whole = _word_hashes(*_padded(points, first, last))
+    hashes, index, inverse = np.unique(whole, return_index=True, return_inverse=True)
+    words, buckets = _features(*_padded(points, first[index], last[index]))
     scores = _emissions(model.features, words, buckets, _lexicon_rows(model.lexicon, hashes), len(index))
     counts = np.bincount(row, minlength=rows)
     gamma = posteriors(scores[inverse], np.concatenate([[0], np.cumsum(counts)]), model.transitions)
@@ -298,7 +305,7 @@ def _predict(
     names = np.array([*(model.languages if model else ()), UNKNOWN], dtype=object)
     for carried, texts in columns:
         data, offsets = column_bytes(texts)
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, _SLICE):
             n = j - i
             best, score, words, switches = np.full(n, -1), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
             if model:
