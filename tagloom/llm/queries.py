@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -22,7 +21,7 @@ from tagloom.llm import (
     shards,
     token_counts,
 )
-from tagloom.workspace import shared_dir, store
+from tagloom.workspace import new_path, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -60,7 +59,7 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = store(rows.withColumn("virtual_slot", shards.slot_of(["doc_id", "text_crc32"])), "slots")
     sizes = shards.slot_sizes(rows, "virtual_slot", "size")
-    maps = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    maps = new_path(spark, "slot-map")
     held = shards.first_map(SHARDS)
     shards.write_map(spark, maps, 1, held)
     shards.write_map(spark, maps, 2, shards.rebalance(held, sizes, SHARDS))
@@ -89,18 +88,16 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The second batch is sent twice and counts once.
     """
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    files = {"byte_bpe_50k": Path(TOKENIZER).read_text()}
-    toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    gone = docs.join(toxic, "doc_id", "left_semi")
-    stay = docs.join(toxic, "doc_id", "left_anti")
     shorter = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
-    changed = stay.where(F.col("text") != shorter)
-    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
-    rollup.commit("1-insert", token_counts.inserts(docs, files))
+    revised = F.when(F.col("text") != shorter, shorter)
+    files = {"byte_bpe_50k": Path(TOKENIZER).read_text()}
+    counts = store(token_counts.counted(table(spark, sf_dir, "documents"), files, revised), "counts")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")).distinct()
+    rollup = token_counts.Rollup(spark, new_path(spark, "token-rollup"))
+    rollup.commit("1-insert", token_counts.inserts(counts))
     for _ in range(2):
-        rollup.commit("2-delete", token_counts.deletes(gone, files))
-    rollup.commit("3-revise", token_counts.revisions(changed, files, F.col("text"), shorter))
+        rollup.commit("2-delete", token_counts.deletes(counts.join(toxic, "id", "left_semi")))
+    rollup.commit("3-revise", token_counts.revisions(counts.join(toxic, "id", "left_anti")))
     return rollup.totals()
 
 

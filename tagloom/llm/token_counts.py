@@ -20,57 +20,66 @@ KEYS = ("source", "lang", "tokenizer")
 _SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
-def _count(batches: Iterator[pa.RecordBatch], tokenizers: Mapping[str, str], texts: int) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], tokenizers: Mapping[str, str]) -> Iterator[pa.RecordBatch]:
     encoders = {name: Encoder(file) for name, file in tokenizers.items()}
     for batch in batches:
         for begin in range(0, batch.num_rows, 512):
             part = batch.slice(begin, 512)
-            columns = [[x.as_py() for x in part.column(n)] for n in range(texts)]
+            texts, revised = (part.column(n).to_pylist() for n in (3, 4))
             for name, encoder in encoders.items():
-                counts = [[len(encoder.encode(x)) // 4 for x in column] for column in columns]
-                yield pa.record_batch(
-                    [pa.array(c, pa.int64()) for c in counts]
-                    + [pa.array([name] * part.num_rows)]
-                    + [part.column(n) for n in range(texts, part.num_columns)],
-                    names=[f"n{n}" for n in range(texts)] + ["tokenizer", "source", "lang"],
-                )
-
-
-def _counts(rows: DataFrame, texts: list[Column], source: str, lang: str, tokenizers: Mapping[str, str]) -> DataFrame:
-    held = rows.sparkSession.sparkContext.broadcast(dict(tokenizers))  # a few vocabularies
-    n = len(texts)
-    picked = rows.select(
-        *[t.cast("string").alias(f"t{k}") for k, t in enumerate(texts)],
+                old = [len(encoder.encode(x)) // 4 for x in texts]
+                new = [None if x is None else len(encoder.encode(x)) // 4 for x in revised]
+                columns = [*part.columns[:3], pa.array([name] * part.num_rows), pa.array(old, pa.int64()), pa.array(new, pa.int64())]
+                yield pa.record_batch(columns, names=["id", "source", "lang", "tokenizer", "n_tokens", "n_revised"])
+
+
+def counted(
+    docs: DataFrame,
+    tokenizers: Mapping[str, str],
+    revised: Column | None = None,
+    id_col: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    lang: str = "lang",
+) -> DataFrame:
+    """(id, source, lang, tokenizer, n_tokens, n_revised) of every document and tokenizer version.
+
+    ``tokenizers`` maps a version's name to its file's content; ``revised`` is a new text,
+    null where a document stays as it is. A null text counts as empty; null ids,
+    sources and languages are values of their own, and rows that repeat an id are
+    documents of their own. Further columns do not matter; an empty table gives no rows.
+    Texts are read once, here; changes and joins work on counts.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(dict(tokenizers))  # a few vocabularies
+    new = F.lit(None) if revised is None else revised
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"),
         F.col(source).cast("string").alias("source"),
         F.col(lang).cast("string").alias("lang"),
+        F.col(text).cast("string").alias("text"),
+        new.cast("string").alias("revised"),
     )
-    schema = "".join(f"n{k} long, " for k in range(n)) + "tokenizer string, source string, lang string"
-    return picked.mapInArrow(lambda it: _count(it, held.value, n), schema)
+    schema = "id long, source string, lang string, tokenizer string, n_tokens long, n_revised long"
+    return rows.mapInArrow(lambda it: _count(it, held.value), schema)
 
 
-def _summed(rows: DataFrame, docs: Column, tokens: Column) -> DataFrame:
-    return rows.groupBy(*KEYS).agg(F.sum(docs).cast("long").alias("n_docs"), F.sum(tokens).cast("long").alias("n_tokens"))
+def _summed(rows: DataFrame, docs: int, tokens: Column) -> DataFrame:
+    return rows.groupBy(*KEYS).agg(F.sum(F.lit(docs)).cast("long").alias("n_docs"), F.sum(tokens).cast("long").alias("n_tokens"))
 
 
-def inserts(docs: DataFrame, tokenizers: Mapping[str, str], text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """Changes of documents that come in. ``tokenizers`` maps a version's name to its file's content.
-
-    A null text counts as empty; null source and language are values of their own.
-    Every row counts, whether or not its id is null or repeated.
-    """
-    return _summed(_counts(docs, [F.col(text)], source, lang, tokenizers), F.lit(1), F.col("n0"))
+def inserts(counts: DataFrame) -> DataFrame:
+    """Changes of documents that come in."""
+    return _summed(counts, 1, F.col("n_tokens"))
 
 
-def deletes(docs: DataFrame, tokenizers: Mapping[str, str], text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
+def deletes(counts: DataFrame) -> DataFrame:
     """Changes of documents, as they were counted, that go."""
-    return _summed(_counts(docs, [F.col(text)], source, lang, tokenizers), F.lit(-1), -F.col("n0"))
+    return _summed(counts, -1, -F.col("n_tokens"))
 
 
-def revisions(
-    docs: DataFrame, tokenizers: Mapping[str, str], old: Column, new: Column, source: str = "source", lang: str = "lang"
-) -> DataFrame:
-    """Changes of documents whose text turns from ``old`` to ``new`` and that stay where they are."""
-    return _summed(_counts(docs, [old, new], source, lang, tokenizers), F.lit(0), F.col("n1") - F.col("n0"))
+def revisions(counts: DataFrame) -> DataFrame:
+    """Changes of documents that have a revised count; they stay where they are."""
+    return _summed(counts.where("n_revised IS NOT NULL"), 0, F.col("n_revised") - F.col("n_tokens"))
 
 
 class Rollup:

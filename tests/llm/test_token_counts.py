@@ -26,8 +26,8 @@ def test_batches(spark, tmp_path):
     files = {"v1": FILE, "v2": FILE}
     rollup = token_counts.Rollup(spark, str(tmp_path / "rollup"))
     assert totals(rollup) == {} and rollup.committed() == []
-    assert rollup.commit("b1", token_counts.inserts(docs, files))
-    assert not rollup.commit("b1", token_counts.inserts(docs, files))
+    assert rollup.commit("b1", token_counts.inserts(token_counts.counted(docs, files)))
+    assert not rollup.commit("b1", token_counts.inserts(token_counts.counted(docs, files)))
     expected = Counter()
     for v in files:
         for _, text, source, lang in rows:
@@ -37,10 +37,10 @@ def test_batches(spark, tmp_path):
     assert totals(rollup) == want
 
     gone = docs.where("source = 'b'")
-    new = F.concat(F.col("text"), F.lit(" more"))
-    rollup.commit("b2", token_counts.deletes(gone, files))
-    rollup.commit("b3", token_counts.revisions(docs.where("doc_id = 1"), files, F.col("text"), new))
-    rollup.commit("b4", token_counts.inserts(docs.limit(0), files))
+    new = F.when(F.col("doc_id") == 1, F.concat(F.col("text"), F.lit(" more")))
+    rollup.commit("b2", token_counts.deletes(token_counts.counted(gone, files)))
+    rollup.commit("b3", token_counts.revisions(token_counts.counted(docs, files, new)))
+    rollup.commit("b4", token_counts.inserts(token_counts.counted(docs.limit(0), files)))
     for v in files:
         del want["b", "en", v]
         n, tokens = want["a", "en", v]
@@ -51,10 +51,10 @@ def test_batches(spark, tmp_path):
 def test_half_written_batch_counts_for_nothing(spark, tmp_path):
     docs = spark.createDataFrame([(1, "one two", "a", "en")], "doc_id long, text string, source string, lang string")
     rollup = token_counts.Rollup(spark, str(tmp_path / "rollup"))
-    rollup.commit("b1", token_counts.inserts(docs, {"v1": FILE}))
+    rollup.commit("b1", token_counts.inserts(token_counts.counted(docs, {"v1": FILE})))
     (tmp_path / "rollup" / "batch=b1" / "_SUCCESS").unlink()
     assert totals(rollup) == {}
-    assert rollup.commit("b1", token_counts.inserts(docs, {"v1": FILE}))
+    assert rollup.commit("b1", token_counts.inserts(token_counts.counted(docs, {"v1": FILE})))
     assert totals(rollup) == {("a", "en", "v1"): (1, count("one two"))}
 
 
