@@ -5,8 +5,10 @@ melted in. The path of a block is the block-level tags and classes from the root
 it. For each path the length of its texts and their punctuation are summed over the
 page's blocks; the ratios of both to the number of blocks are smoothed over the
 blocks in page order and multiplied. Paths whose score passes a threshold are
-content. What a page marks as something else (menus, adverts, forms and so on) never
-is, and what it marks as the article is what is judged, if it marks one.
+content, on every page. Marks of the page are priors: text that passes counts double
+inside an article or main element, and that element is the main text as long as it
+then has the greater part. What a page marks as something else (menus, adverts, forms
+and so on) never is.
 """
 
 from __future__ import annotations
@@ -55,6 +57,10 @@ LAYOUT_NAMES = frozenset("has with without no".split())
 HEADINGS = frozenset(f"h{n}" for n in range(1, 7))
 #: A path's fused score must reach this share of the mean over the page's blocks, weighted by length.
 THRESHOLD = 0.2
+#: Text inside an article or main element counts this many times.
+INSIDE = 2
+#: Characters outside links, and marks of punctuation among them, of a long text.
+LONG, MARKS = 200, 3
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -186,13 +192,40 @@ def blocks(page: str) -> tuple[list[Block], int]:
     return out, highest
 
 
+def _marks(block: Block) -> int:
+    return len(_PUNCTUATION.findall(block.text)) if block.linked < len(block.text) else 0
+
+
+def _passing(found: list[Block]) -> list[bool]:
+    """Which blocks are content by their path's score alone?"""
+    scores = fused_scores(found)
+    sizes = np.array([len(b.text) for b in found], float)
+    mean = float(np.average([scores[b.path] for b in found], weights=sizes))
+    return [scores[b.path] >= THRESHOLD * mean and b.linked < 0.5 * len(b.text) for b in found]
+
+
+def _chosen_level(found: list[Block], content: list[bool], level: int) -> int:
+    """The innermost kind of marked element with the greater part of the content, else 0."""
+    for n in range(level, 0, -1):
+        own = [0, 0]
+        marks = 0
+        for b, passes in zip(found, content):
+            if passes:
+                own[b.level >= n] += len(b.text) - b.linked
+                marks += _marks(b) if b.level < n else 0
+        if INSIDE * own[1] >= own[0] or own[0] < LONG or marks < MARKS:
+            return n
+    return 0
+
+
 def fused_scores(found: list[Block]) -> dict[str, float]:
     """Smoothed text ratio times smoothed punctuation ratio of every path."""
     paths = [b.path for b in found]
     kinds = sorted(set(paths))
-    index = np.array([kinds.index(p) for p in paths])
+    place = {p: n for n, p in enumerate(kinds)}
+    index = np.array([place[p] for p in paths])
     own = np.array([len(b.text) - b.linked for b in found], float)
-    marks = np.array([len(_PUNCTUATION.findall(b.text)) if b.linked < len(b.text) else 0 for b in found], float)
+    marks = np.array([_marks(b) for b in found], float)
     count = np.bincount(index)
     ratios = [np.bincount(index, x) / count for x in (own, marks)]
     kernel = np.array([0.25, 0.5, 0.25])
@@ -207,12 +240,15 @@ def fused_scores(found: list[Block]) -> dict[str, float]:
 def main_blocks(found: list[Block], level: int) -> list[Block]:
     """The blocks of the main text.
 
-    With an article or main element, its blocks are judged, and only paths that are
-    links through and through go. Else a path needs a share of the mean score;
-    headings stay when a content block follows them before the next heading's level.
+    A path needs a share of the mean score; headings stay when a content block follows
+    them. An article or main element with the greater part of such content is kept
+    whole, up to paths that are links through and through: its short lists and table
+    cells have low ratios.
     """
     if not found:
         return []
+    content = _passing(found)
+    level = _chosen_level(found, content, max(level, *(b.level for b in found), 0))
     if level:
         inside = [b for b in found if b.level >= level]
         linked: dict[str, list[int]] = {}
@@ -220,10 +256,6 @@ def main_blocks(found: list[Block], level: int) -> list[Block]:
             linked.setdefault(b.path, []).append(b.linked >= 0.9 * len(b.text))
         menus = {p for p, x in linked.items() if len(x) > 2 and all(x)}
         return [b for b in inside if b.path not in menus]
-    scores = fused_scores(found)
-    sizes = np.array([len(b.text) for b in found], float)
-    mean = float(np.average([scores[b.path] for b in found], weights=sizes))
-    content = [scores[b.path] >= THRESHOLD * mean and b.linked < 0.5 * len(b.text) for b in found]
     keep = list(content)
     for n, b in enumerate(found[:-1]):
         if b.path.rpartition("/")[2].partition(".")[0] in HEADINGS and b.linked < len(b.text):

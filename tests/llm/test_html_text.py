@@ -38,6 +38,17 @@ def test_page_without_article():
     assert main_text(page) == "\n".join(["Title of it", long.strip(), long.strip()])
 
 
+STORY = "This sentence has words, and marks. " * 8
+
+
+@pytest.mark.parametrize("around", ["<main>{}</main>", "<div class=story>{}</div>"])
+def test_story_outside_of_a_small_article(around):
+    story = around.format(f"<h2>Title of it</h2><p>{STORY}</p><p>{STORY}</p>")
+    lines = main_text(f"{story}<div class=more><article><a href=1>Another story</a></article></div>").split("\n")
+    assert lines[:3] == ["Title of it", STORY.strip(), STORY.strip()]
+    assert main_text(f"<article><h1>T</h1><p>{STORY}</p><ul><li>a</ul></article><div><p>Short, not it.</p></div>") == f"T\n{STORY.strip()}\na"
+
+
 def test_very_long_page():
     words = "word, " * 300_000
     assert main_text(f"<article><p>{words}</p></article>") == words.strip()
