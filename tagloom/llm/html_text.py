@@ -7,8 +7,9 @@ page's blocks; the ratios of both to the number of blocks are smoothed over the
 blocks in page order and multiplied. Paths whose score passes a threshold are
 content, on every page. Marks of the page are priors: text that passes counts double
 inside an article or main element, and that element is the main text as long as it
-then has the greater part. What a page marks as something else (menus, adverts, forms
-and so on) never is.
+then has the greater part. A name like "related" speaks against a subtree unless its
+paths pass with long, punctuated text of few links. Elements for menus, forms and so
+on, adverts, comments and consent texts never are content: their ratios look like it.
 """
 
 from __future__ import annotations
@@ -52,6 +53,16 @@ OTHER_NAMES = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay toast newsletter subscribe subscription signup "
     "share sharing social related recommended recommendations pagination pager search login form toolbar hidden".split()
 )
+#: Of these, names of running text by others; its ratios cannot tell it from the main text.
+FIRM_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted comment comments commentlist "
+    "disqus reply replies respond cookie cookies consent gdpr newsletter subscribe hidden".split()
+)
+#: Last words of a name that leave its meaning to the first one ("share-buttons").
+SHELL_NAMES = frozenset(
+    "area bar block box button buttons container content group holder icon icons inner items link links list outer panel post posts "
+    "row section slot unit wrap wrapper".split()
+)
 #: A name with one of these speaks of the layout around it ("has-sidebar").
 LAYOUT_NAMES = frozenset("has with without no".split())
 HEADINGS = frozenset(f"h{n}" for n in range(1, 7))
@@ -62,7 +73,7 @@ INSIDE = 2
 #: Characters outside links, and marks of punctuation among them, of a long text.
 LONG, MARKS = 200, 3
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMES = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
@@ -76,24 +87,48 @@ class Block:
     text: str
     linked: int  # characters inside links
     level: int  # 2 inside an article, 1 inside main, 0 elsewhere
+    doubt: int = 0  # number of the outermost element around it whose name speaks against it
+
+
+def _value(m: re.Match) -> str:
+    return (m[2] or m[3] or m[4] or "").lower()
+
 
+def _named(name: str) -> str | None:
+    """The word of OTHER_NAMES that a name is, ends with or wraps."""
+    parts = _WORD.findall(name)
+    if not parts or not LAYOUT_NAMES.isdisjoint(parts):
+        return None
+    if parts[-1] in OTHER_NAMES:
+        return parts[-1]
+    shell = len(parts) > 1 and all(x in SHELL_NAMES for x in parts[1:])
+    return parts[0] if shell and parts[0] in OTHER_NAMES else None
 
-def _other(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Does this element hold something other than the main text?"""
-    if tag in OTHER_TAGS or (tag == "header" and not inside_article):
-        return True
+
+def _other(tag: str, attributes: str, level: int) -> tuple[bool, bool]:
+    """Does this element hold something other than the main text: surely, or by its name?"""
+    if tag in OTHER_TAGS or (tag == "header" and level < 2):
+        return True, False
     if not attributes:
-        return False
+        return False, False
     if _HIDDEN.search(attributes):
-        return True
+        return True, False
     if tag in ("html", "body", "main") or tag in HEADINGS:
-        return False
+        return False, False
+    doubt = False
     for m in _NAMES.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
-            parts = set(_WORD.findall(name))
-            if parts & OTHER_NAMES and not parts & LAYOUT_NAMES:
-                return True
-    return False
+        kind = m[1].lower()
+        if level and tag == "section" and kind in ("id", "aria-label"):
+            continue  # the title of a part of the content
+        value = _value(m)
+        for name in [value] if kind == "aria-label" else value.split():
+            word = " ".join(value.split()) if kind == "aria-label" else _named(name)
+            if word not in OTHER_NAMES or (word == "header" and (level or name != word)):
+                continue  # a header inside the content, or of an entry, holds its title
+            if word in FIRM_NAMES:
+                return True, False
+            doubt = True
+    return False, doubt
 
 
 def blocks(page: str) -> tuple[list[Block], int]:
@@ -102,26 +137,28 @@ def blocks(page: str) -> tuple[list[Block], int]:
     And the highest level that the page has: 2 with an article, 1 with main, else 0.
     """
     out: list[Block] = []
-    stack: list[tuple[str, bool, str]] = []  # tag, other, name in paths
+    stack: list[tuple[str, bool, str, int]] = []  # tag, other, name in paths, doubt
     text: list[str] = []
-    linked = at = highest = others = links = 0
+    linked = at = highest = others = links = doubts = 0
+
+    def level_here() -> int:
+        open_tags = {tag for tag, *_ in stack}
+        return 2 if "article" in open_tags else 1 if "main" in open_tags else 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                path = "/".join(name for tag, _, name in stack if tag not in INLINE)
-                open_tags = {tag for tag, *_ in stack}
-                level = 2 if "article" in open_tags else 1 if "main" in open_tags else 0
-                out.append(Block(path, whole, min(linked, len(whole)), level))
+                path = "/".join(name for tag, _, name, _ in stack if tag not in INLINE)
+                out.append(Block(path, whole, min(linked, len(whole)), level_here(), stack[-1][3] if stack else 0))
             text.clear()
         linked = 0
 
     def pop(count: int) -> None:
         nonlocal others, links
         for _ in range(count):
-            tag, other, _ = stack.pop()
+            tag, other, *_ = stack.pop()
             others -= other
             links -= tag == "a"
 
@@ -180,13 +217,17 @@ def blocks(page: str) -> tuple[list[Block], int]:
             add(" ")
         if tag in VOID:
             continue
-        other = _other(tag, found[3], any(x[0] == "article" for x in stack))
+        other, doubted = _other(tag, found[3], level_here())
         others += other
         links += tag == "a"
-        if not others and tag in ("article", "main"):
+        doubt = stack[-1][3] if stack else 0
+        if doubted and not doubt:
+            doubts += 1
+            doubt = doubts
+        if not others and not doubt and tag in ("article", "main"):
             highest = max(highest, 2 if tag == "article" else 1)
-        names = [w for m in _NAMES.finditer(found[3]) for w in (m[1] or m[2] or m[3] or "").lower().split()[:1]] if found[3] else []
-        stack.append((tag, other, ".".join([tag, *names[:1]])))
+        names = [w for m in _NAMES.finditer(found[3]) for w in _value(m).split()[:1]] if found[3] else []
+        stack.append((tag, other, ".".join([tag, *names[:1]]), doubt))
     add(page[at:])
     flush()
     return out, highest
@@ -204,6 +245,19 @@ def _passing(found: list[Block]) -> list[bool]:
     return [scores[b.path] >= THRESHOLD * mean and b.linked < 0.5 * len(b.text) for b in found]
 
 
+def _cleared(found: list[Block]) -> list[Block]:
+    """Without subtrees whose name speaks against them, unless their scores and texts speak for them."""
+    if not any(b.doubt for b in found):
+        return found
+    size: dict[int, np.ndarray] = {}
+    for b, passes in zip(found, _passing(found)):
+        if b.doubt:
+            own = (len(b.text) - b.linked) * np.array([passes, 1])
+            size[b.doubt] = size.get(b.doubt, np.zeros(4)) + [*own, _marks(b), b.linked]
+    clear = {d for d, (passing, own, marks, linked) in size.items() if own >= LONG and marks >= MARKS and linked < 0.25 * own and passing >= 0.5 * own}
+    return [b for b in found if not b.doubt or b.doubt in clear]
+
+
 def _chosen_level(found: list[Block], content: list[bool], level: int) -> int:
     """The innermost kind of marked element with the greater part of the content, else 0."""
     for n in range(level, 0, -1):
@@ -245,6 +299,7 @@ def main_blocks(found: list[Block], level: int) -> list[Block]:
     whole, up to paths that are links through and through: its short lists and table
     cells have low ratios.
     """
+    found = _cleared(found)
     if not found:
         return []
     content = _passing(found)

@@ -49,6 +49,23 @@ def test_story_outside_of_a_small_article(around):
     assert main_text(f"<article><h1>T</h1><p>{STORY}</p><ul><li>a</ul></article><div><p>Short, not it.</p></div>") == f"T\n{STORY.strip()}\na"
 
 
+@pytest.mark.parametrize(
+    "attributes",
+    ["id='discussion'", "id='related-work'", "class='social-policy'", "id='search-methods'", "aria-label='Discussion of results'"],
+)
+def test_named_sections_of_the_content_stay(attributes):
+    assert main_text(f"<article><p>{STORY}</p><section {attributes}><p>A part.</p></section></article>") == f"{STORY.strip()}\nA part."
+    assert main_text(f"<article><p>a</p><div {attributes}><p>{STORY}</p></div></article>") == f"a\n{STORY.strip()}"
+
+
+def test_names_are_overruled_by_long_texts_only():
+    assert main_text(f"<article><div class='entry-header'><h1>T</h1></div><p>{STORY}</p></article>") == f"T\n{STORY.strip()}"
+    assert main_text(f"<article><p>{STORY}</p><div class='related'><p>{STORY}</p></div></article>") == f"{STORY.strip()}\n{STORY.strip()}"
+    links = "<li><a href=1>This sentence has words, and marks.</a>" * 9
+    for other in (f"<div class='related'>{links}</div>", "<div class='share-buttons'>Share it</div>", f"<div class='comments'><p>{STORY}</p></div>"):
+        assert main_text(f"<article><p>{STORY}</p>{other}</article>") == STORY.strip()
+
+
 def test_very_long_page():
     words = "word, " * 300_000
     assert main_text(f"<article><p>{words}</p></article>") == words.strip()
