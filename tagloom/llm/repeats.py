@@ -13,6 +13,8 @@
    The longer match with the two neighbours is the matching statistic of the
    window that begins in this column: at ``length`` or more, the window is
    repeated.
+4. An anchor with more distinct contexts than one task should hold is not indexed:
+   the digests of its windows are counted, with sums before the exchange.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ LENGTH = 400
 GRAM = 32
 #: An anchor with more occurrences is dealt out by two more minima of its windows as well.
 HOT = 20_000
+#: An anchor with more distinct contexts is not indexed; its windows are counted.
+WIDE = 20_000
 #: Contexts in one index.
 BATCH = 8192
 _PLACE = U64((1 << 21) - 1)
@@ -272,6 +276,36 @@ def _mark_table(table: pa.Table, length: int, gram: int) -> Iterator[pa.RecordBa
         )
 
 
+def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(t, w, d): place and digest of every window of contexts."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 256):
+            part = batch.slice(begin, 256)
+            first, last = (part[n].to_numpy().astype(np.int64) for n in ("first", "last"))
+            counts = last - first + 1
+            digests = [
+                hashlib.md5(raw[i : i + length]).digest()
+                for raw, n in zip(part["context"].to_pylist(), counts) for i in range(n)
+            ]
+            rows = np.repeat(np.arange(len(counts)), counts)
+            place = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts) + first[rows]
+            yield pa.record_batch(
+                {"t": part["t"].take(pa.array(rows)), "w": pa.array(place.astype(np.int32)), "d": pa.array(digests, pa.binary())}
+            )
+
+
+def _counted_windows(contexts: DataFrame, length: int) -> DataFrame:
+    """(t, first, last) of windows that occur in more than one of these distinct contexts.
+
+    Equal windows have equal anchors at equal places, so their bytes alone tell them apart.
+    """
+    windows = contexts.select("t", "first", "last", "context").mapInArrow(
+        lambda it: _windows(it, length), "t binary, w int, d binary"
+    )
+    twice = windows.groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d")
+    return windows.join(twice, "d", "left_semi").select("t", F.col("w").alias("first"), F.col("w").alias("last"))
+
+
 def _pieces(begins: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of whole groups of about ``most`` rows."""
     at = 0
@@ -338,15 +372,25 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     )
     several = distinct.where("low <> high").select("key", "c", "at")
     whole = contexts.join(several, ["key", "c", "at"]).select("t", "first", "last")
-    shared = distinct.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = store(distinct.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    places = distinct.select("key", "at", "low.t", "low.first", "low.last", "context")
+    wide = shared.where(f"n > {WIDE}").select("key")
+    counted = None
+    if not wide.isEmpty():
+        wide = F.broadcast(store(wide, "wide"))  # fewer than one in WIDE contexts
+        counted = _counted_windows(places.join(wide, "key"), length)
+        places = places.join(wide, "key", "left_anti")
     marked = (
-        distinct.join(shared, "key")
-        .select("key", "at", "low.t", "low.first", "low.last", "context")
+        places.join(shared.where(f"n <= {WIDE}").select("key"), "key")
+        .select("key", "at", "t", "first", "last", "context")
         .repartition("key")
         .sortWithinPartitions("key")
         .mapInArrow(lambda it: _mark(it, length, gram), "t binary, first int, last int")
     )
-    found = whole.union(marked).join(texts.where("copies = 1").select("t"), "t", "left_semi")
+    found = whole.union(marked)
+    if counted is not None:
+        found = found.union(counted)
+    found = found.join(texts.where("copies = 1").select("t"), "t", "left_semi")
     covered = (
         found.groupBy("t")
         .agg(F.array_sort(F.collect_set(F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end")))))
@@ -359,17 +403,19 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Join ranges that overlap or touch; they come in order, and no range lies inside another."""
+    """Join ranges that overlap or touch; they come in order of their starts."""
     for batch in batches:
         lists = batch.column(1)
         rows = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
         start, end = (lists.flatten().field(n).to_numpy() for n in (0, 1))
+        if len(rows):
+            end = np.maximum.accumulate(end + (rows << 32)) - (rows << 32)
         new = np.ones(len(rows), bool)
         new[1:] = (rows[1:] != rows[:-1]) | (start[1:] > end[:-1])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(rows)) - 1
         ends = np.searchsorted(rows[first], np.arange(batch.num_rows + 1)).astype(np.int32)
-        spans = pa.StructArray.from_arrays([pa.array(start[first]), pa.array(end[last])], ["start", "end"])
+        spans = pa.StructArray.from_arrays([pa.array(start[first]), pa.array(end[last].astype(np.int32))], ["start", "end"])
         yield pa.record_batch({"t": batch.column(0), "spans": pa.ListArray.from_arrays(pa.array(ends), spans)})
 
 

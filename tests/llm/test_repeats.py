@@ -40,6 +40,30 @@ def test_equals_brute_force(spark, monkeypatch, length, gram, hot):
     assert [found[n] for n in range(len(texts))] == brute(texts, length)
 
 
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_contexts_of_one_anchor_do_not_meet(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "WIDE", 3)
+    held = []
+    monkeypatch.setattr(repeats, "_counted_windows", lambda *x, made=repeats._counted_windows: held.append(1) or made(*x))
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(60))
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(50)) + passage + rng.choice("xy") * rng.randint(0, 30) for _ in range(40)]
+    texts += corpus(11)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.id: tuple(r)[1:] for r in repeats.removal_report(df, "doc_id", "text", 40, 8).collect()}
+    assert [found[n] for n in range(len(texts))] == brute(texts, 40) and held
+
+
+def test_ranges_inside_others():
+    import pyarrow as pa
+
+    ranges = [[{"start": 0, "end": 700}, {"start": 3, "end": 410}, {"start": 500, "end": 900}], [], [{"start": 2, "end": 5}]]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    (made,) = repeats._merge(iter([pa.record_batch({"t": [b"a", b"b", b"c"], "spans": pa.array(ranges, kind)})]))
+    assert made.column(1).to_pylist() == [[{"start": 0, "end": 900}], [], [{"start": 2, "end": 5}]]
+
+
 def test_small_batches_and_parts(spark, monkeypatch):
     monkeypatch.setattr(repeats, "_MOST", 256)
     texts = corpus(9)
