@@ -23,7 +23,7 @@ RANKED = 100_000
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(tokenizer)
+    encoder = Encoder(tokenizer, added=True)
     end = END.to_bytes(4, "little")
     for batch in batches:
         for begin in range(0, batch.num_rows, 512):

@@ -21,7 +21,7 @@ _SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens l
 
 
 def _count(batches: Iterator[pa.RecordBatch], tokenizers: Mapping[str, str]) -> Iterator[pa.RecordBatch]:
-    encoders = {name: Encoder(file) for name, file in tokenizers.items()}
+    encoders = {name: Encoder(file, added=True) for name, file in tokenizers.items()}
     for batch in batches:
         for begin in range(0, batch.num_rows, 512):
             part = batch.slice(begin, 512)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from array import array
 
 #: Characters encoded at once.
@@ -33,10 +34,23 @@ def byte_ranks(tokenizer_json: str) -> dict[bytes, int]:
     return {bytes(letters[c] for c in token): n for token, n in held["model"]["vocab"].items() if token not in special}
 
 
+def added_ids(tokenizer_json: str) -> dict[str, int]:
+    """String -> id of the added tokens, which are met as they stand."""
+    held = json.loads(tokenizer_json)["added_tokens"]
+    for x in held:
+        if x.get("single_word") or x.get("lstrip") or x.get("rstrip") or x.get("normalized"):
+            raise ValueError(f"added token {x['content']!r} is not met as it stands")
+    return {x["content"]: x["id"] for x in held}
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit numbers; special tokens' strings are ordinary text."""
+    """Ids of texts as little-endian unsigned 32-bit numbers.
 
-    def __init__(self, tokenizer_json: str) -> None:
+    ``added``: strings of the file's added tokens get the ids of these, as in the
+    tokenizer's own library; else they are ordinary text.
+    """
+
+    def __init__(self, tokenizer_json: str, added: bool = False) -> None:
         import tiktoken
 
         ranks = byte_ranks(tokenizer_json)
@@ -44,8 +58,19 @@ class Encoder:
             tiktoken.Encoding("bytes", pat_str=rule, mergeable_ranks=ranks, special_tokens={}) for rule in (PATTERN, _PLAIN)
         )
 
+        self._added = added_ids(tokenizer_json) if added else {}
+        longest = sorted(self._added, key=len, reverse=True)
+        self._split = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self._part, _parts(text))) if text else b""
+        if not text:
+            return b""
+        if self._split is None or not any(x in text for x in self._added):
+            return b"".join(map(self._part, _parts(text)))
+        out = []
+        for n, x in enumerate(self._split.split(text)):
+            out += [array("I", [self._added[x]]).tobytes()] if n % 2 else map(self._part, _parts(x))
+        return b"".join(out)
 
     def _part(self, text: str) -> bytes:
         runs = any(x in text for x in _RUNS) or any(x in text for x in _OTHER_SPACE)

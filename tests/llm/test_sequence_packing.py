@@ -36,6 +36,24 @@ def test_ids_equal_the_library(text):
     assert mine(text) == ids(text)
 
 
+DEFAULT = Tokenizer.from_file(PATH)
+ADDED = tokens.Encoder(Path(PATH).read_text(), added=True)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.lists(st.sampled_from(BITS), max_size=30).map("".join)))
+def test_ids_equal_the_library_as_it_is(text):
+    assert np.frombuffer(ADDED.encode(text), np.uint32).tolist() == DEFAULT.encode(text, add_special_tokens=False).ids
+
+
+def test_pack_knows_added_tokens(spark):
+    text = "a <|endoftext|> b<|endoftext|><|endoftext|>"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = packing.pack(df, "doc_id", "text", PATH, keep_ids=True).collect()
+    assert np.frombuffer(row.ids, "<u4").tolist() == [64, 220, 50256, 275, 50256, 50256, 0]
+    assert DEFAULT.encode(text, add_special_tokens=False).ids == [64, 220, 50256, 275, 50256, 50256]
+
+
 def test_long_texts_are_cut_where_tokens_are(monkeypatch):
     monkeypatch.setattr(tokens, "PART", 16)
     rng = random.Random(3)

@@ -48,6 +48,13 @@ def test_batches(spark, tmp_path):
     assert totals(rollup) == want and rollup.committed() == ["b1", "b2", "b3", "b4"]
 
 
+def test_added_tokens_count_once(spark):
+    text = "a <|endoftext|> b"
+    docs = spark.createDataFrame([(1, text, "a", "en")], "doc_id long, text string, source string, lang string")
+    (row,) = token_counts.counted(docs, {"v1": FILE}).collect()
+    assert row.n_tokens == len(Tokenizer.from_str(FILE).encode(text, add_special_tokens=False).ids) == 4
+
+
 def test_half_written_batch_counts_for_nothing(spark, tmp_path):
     docs = spark.createDataFrame([(1, "one two", "a", "en")], "doc_id long, text string, source string, lang string")
     rollup = token_counts.Rollup(spark, str(tmp_path / "rollup"))
