@@ -41,7 +41,7 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold at least half of the words of a benchmark item go."""
+    """Documents that hold at least half, or 50, of the words of a benchmark item go."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaked = decontaminate.leaks(docs, "doc_id", "text", bench).select(F.col("id").alias("doc_id")).distinct()
     return docs.join(store(leaked, "leaked"), "doc_id", "left_anti").select(docs.columns)

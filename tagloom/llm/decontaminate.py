@@ -25,6 +25,8 @@ from tagloom.workspace import store
 
 LEAST = 5  # words of a tile
 COVERAGE = 0.5
+#: Words under tiles that are enough, however long the item.
+WORDS = 50
 #: Largest benchmark, in bytes of text, that is sent whole to every task.
 BROADCAST_BYTES = 16 << 20
 FOUND = "item_id long, item_words int, matched_words int, n_tiles int, coverage double"
@@ -147,7 +149,7 @@ def _tile(batches: Iterator[pa.RecordBatch], bench: Benchmark, least: int, cover
             out = []
             for row, item, found in _matches(words, ends, bench, least):
                 matched, size = sum(n for _, _, n in found), int(bench.sizes[item])
-                if matched >= coverage * size - 1e-9:
+                if matched >= min(coverage * size - 1e-9, WORDS):
                     out.append((i + row, int(bench.ids[item]), size, matched, len(found), matched / size))
             if out:
                 yield _found_batch(batch, out)
@@ -191,7 +193,7 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], least: int, coverage: float)
             data, offsets = column_bytes(batch.column(1).slice(n, 1))
             for _, _, found in _matches(*word_sequences(data, offsets), bench, least):
                 matched, size = sum(t[2] for t in found), int(bench.sizes[0])
-                if matched >= coverage * size - 1e-9:
+                if matched >= min(coverage * size - 1e-9, WORDS):
                     out.append((n, item, size, matched, len(found), matched / size))
         if out:
             yield _found_batch(batch, out)
@@ -210,7 +212,8 @@ def leaks(
 ) -> DataFrame:
     """(id, item_id, item_words, matched_words, n_tiles, coverage) of documents that hold benchmark items.
 
-    A row for every document and item with a coverage of at least ``coverage``. Null and
+    A row for every document and item with a coverage of at least ``coverage``, or with
+    ``WORDS`` words under tiles. Null and
     empty texts, and items of fewer than ``least`` words, share nothing. Documents
     with null or repeated ids give rows like any other; items with equal ids are
     items of their own, items with a null id are left out. Empty tables give no rows.

@@ -125,7 +125,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold at least half of the words of a benchmark item, in any order of its parts."""
+    """Documents that hold at least half, or 50, of the words of a benchmark item, in any order of its parts."""
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
 

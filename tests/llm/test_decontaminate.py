@@ -61,6 +61,15 @@ def test_leaks(spark, broadcast):
         assert dc.leaks(a, "doc_id", "text", b, broadcast_bytes=broadcast).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [dc.BROADCAST_BYTES, 0])
+def test_many_words_of_a_long_item(spark, broadcast):
+    words = [f"w{n}" for n in range(2000)]
+    docs = spark.createDataFrame([(n, " ".join(words[:n])) for n in (900, 50, 49)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    found = dc.leaks(docs, "doc_id", "text", bench, broadcast_bytes=broadcast).collect()
+    assert sorted((r.id, r.matched_words, r.coverage) for r in found) == [(50, 50, 0.025), (900, 900, 0.45)]
+
+
 def test_both_ways_agree(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     a, b = (
