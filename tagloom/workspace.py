@@ -48,6 +48,21 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Write what ``build`` gives, and delete the tables that it stored on the way.
+
+    The written table stands on its own, so a lost executor needs none of them.
+    """
+    held = _STORED.setdefault(spark.sparkContext.applicationId, [])
+    before = len(held)
+    made = store(build(), name)
+    for path in held[before:-1]:
+        place, files = _file_system(spark, path)
+        files.delete(place, True)
+    del held[before:-1]
+    return made
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused place under the shared folder, which ``clear`` will remove."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

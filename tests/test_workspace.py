@@ -50,3 +50,16 @@ def test_clear_deletes_what_was_stored(spark):
     assert workspace.clear(spark) == 1 and not workspace.exists(spark, path) and workspace.clear(spark) == 0
     workspace._STORED.update(kept[0])
     workspace._BUILT.update(kept[1])
+
+
+def test_settle_keeps_only_the_last_table(spark):
+    held = []
+
+    def build():
+        held.append(workspace.store(spark.range(5), "step"))
+        return held[0].where("id > 2")
+
+    made = workspace.settle(spark, "made", build)
+    assert sorted(r.id for r in made.collect()) == [3, 4]
+    path = held[0].inputFiles()[0].rsplit("/", 1)[0]
+    assert not workspace.exists(spark, path) and workspace.exists(spark, made.inputFiles()[0])
