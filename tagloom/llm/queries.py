@@ -103,8 +103,9 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of every document that belong to 400-byte strings found elsewhere too."""
-    return repeats.removal_report(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    """Bytes of every document in 400-byte strings, and its words in passages of over 50 words, found elsewhere too."""
+    docs = table(spark, sf_dir, "documents")
+    return repeats.removal_report(docs, "doc_id", "text", words=repeats.WORDS).withColumnRenamed("id", "doc_id")
 
 
 def held_out() -> Column:

@@ -15,11 +15,15 @@
    repeated.
 4. An anchor with more distinct contexts than one task should hold is not indexed:
    the digests of its windows are counted, with sums before the exchange.
+
+``repeated_passages`` does the same with words in place of bytes, and so finds passages
+by their number of words whatever the lengths of these.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tagloom.llm.buffers import U64, column_bytes, mix, prefix_hash, slices
-from tagloom.workspace import store
+from tagloom.llm.buffers import U64, column_bytes, mix, prefix_hash, slices, word_hashes
+from tagloom.workspace import settle, store
 
 LENGTH = 400
 GRAM = 32
@@ -40,9 +44,13 @@ HOT = 20_000
 WIDE = 20_000
 #: Contexts in one index.
 BATCH = 8192
+#: Words of a passage, and bytes that stand for each of them.
+WORDS = 51
+WORD = 4
 _PLACE = U64((1 << 21) - 1)
 _MOST = 1 << 20  # bytes hashed at once
 _NONE = 256  # no byte here
+_WORD = re.compile(rb"[^\t-\r ]+")
 
 
 def _window_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -334,7 +342,11 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     equal ids or null ids are rows like any other. Texts shorter than ``length`` and
     empty tables have no spans. Ranges are maximal and in order.
     """
-    keyed = _keyed(docs, id_col, text_col)
+    return _repeated(_keyed(docs, id_col, text_col), length, gram)
+
+
+def _repeated(keyed: DataFrame, length: int, gram: int) -> DataFrame:
+    """The same for rows (k, t, text); ``text`` may be binary and ``t`` is its MD5."""
     parsed = keyed.select("t", "text").mapInArrow(
         lambda it: _parse(it, length, gram),
         "t binary, runs array<struct<h:long,first:int,last:int,anchor:int>>",
@@ -402,6 +414,47 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     return covered.union(copies)
 
 
+def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with every word replaced by four bytes of its hash."""
+    for batch in batches:
+        data, offsets = column_bytes(batch.column(2))
+        for i, j in slices(offsets, _MOST):
+            start, end = offsets[i], offsets[j]
+            hashes, rows = word_hashes(data[start:end], offsets[i : j + 1] - start)
+            ends = (np.searchsorted(rows, np.arange(j - i + 1)) * WORD).astype(np.int32)
+            coded = (hashes >> U64(32)).astype("<u4")
+            symbols = pa.Array.from_buffers(
+                pa.binary(), j - i, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(coded.tobytes())]
+            )
+            yield pa.record_batch({"k": batch.column(0)[i:j], "u": batch.column(1)[i:j], "text": symbols})
+
+
+def repeated_passages(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
+    """(u, spans): ranges ``[start, end)`` of words of every text, by its MD5, that has any.
+
+    A word is in a range when ``words`` words in a row that hold it begin anywhere else
+    too. Words are runs of bytes without ASCII white space, judged as they come in; the
+    kind of white space between them does not count. Words are told apart by 32 bits of
+    a hash, so two passages that differ in one word are taken for equal once in 2^32.
+    Null and shorter texts, and empty tables, have no ranges.
+    """
+    coded = _keyed(docs, id_col, text_col).select("k", F.col("t").alias("u"), "text")
+    coded = store(coded.mapInArrow(_symbols, "k long, u binary, text binary"), "words")
+    keyed = coded.withColumn("t", F.unhex(F.md5("text")))
+    spans = _repeated(keyed, words * WORD, GRAM)
+    spans = spans.select(
+        "t",
+        F.transform(
+            "spans",
+            lambda s: F.struct(
+                F.ceil(s["start"] / WORD).cast("int").alias("start"), F.floor(s["end"] / WORD).cast("int").alias("end")
+            ),
+        ).alias("spans"),
+    )
+    texts = keyed.where(F.octet_length("text") >= words * WORD).select("t", "u").distinct()
+    return texts.join(spans, "t").select("u", "spans")
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Join ranges that overlap or touch; they come in order of their starts."""
     for batch in batches:
@@ -430,21 +483,44 @@ def _cut(text: str | None, spans) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
+def _cut_words(text: str, spans) -> str:
+    """``text`` without ranges of words and the white space after each of them."""
+    raw = text.encode()
+    starts = [m.start() for m in _WORD.finditer(raw)] + [len(raw)]
+    out, at = [], 0
+    for s in spans:
+        out.append(raw[at : starts[s["start"]]])
+        at = starts[s["end"]]
+    return b"".join([*out, raw[at:]]).decode()
+
+
 def _kept_texts(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([_cut(x, s).decode("utf-8", "ignore") for x, s in zip(texts, spans)], dtype=object)
 
 
+def _kept_words(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([x if s is None else _cut_words(x, s) for x, s in zip(texts, spans)], dtype=object)
+
+
 def _kept_digests(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([hashlib.sha256(_cut(x, s)).hexdigest() for x, s in zip(texts, spans)], dtype=object)
 
 
 kept_text = F.pandas_udf(_kept_texts, StringType())
+kept_words = F.pandas_udf(_kept_words, StringType())
 kept_digest = F.pandas_udf(_kept_digests, StringType())
 
 
-def removal_report(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans and SHA-256 of the remaining bytes."""
-    spans = store(repeated_spans(docs, id_col, text_col, length, gram), "spans")
+def removal_report(
+    docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int = GRAM, words: int | None = None
+) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans and SHA-256 of the remaining bytes.
+
+    With ``words`` also ``n_passage_words``: words in passages of so many words or more that
+    occur elsewhere too (``repeated_passages``). They are counted, not removed.
+    """
+    spark = docs.sparkSession
+    spans = settle(spark, "spans", lambda: repeated_spans(docs, id_col, text_col, length, gram))
     keyed = _keyed(docs, id_col, text_col)
     rows = keyed.select(
         "id", "t", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")
@@ -460,23 +536,49 @@ def removal_report(docs: DataFrame, id_col: str, text_col: str, length: int = LE
         .select("t", kept_digest("text", "spans").alias("kept"))
     )
     empty = hashlib.sha256(b"").hexdigest()
+    more = []
+    if words:
+        found = settle(spark, "passages", lambda: repeated_passages(docs, id_col, text_col, words))
+        rows = rows.join(found.select(F.col("u").alias("t"), removed.alias("n")), "t", "left")
+        more = [F.coalesce("n", F.lit(0).cast("long")).alias("n_passage_words")]
     return rows.join(digests, "t", "left").select(
         "id",
         "n_bytes",
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
         F.when(F.col("n_removed") == F.col("n_bytes"), empty).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        *more,
     )
 
 
+def _without(docs: DataFrame, text_col: str, spans: DataFrame, cut) -> DataFrame:
+    """``docs`` with what ``cut`` leaves of the texts that have ``spans`` (u, spans).
+
+    A row travels as one struct, so no column of the table can clash with a helper.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("u"))
+    text = F.col(f"row.`{text_col}`")
+    kept = F.when(F.col("spans").isNull() | text.isNull(), text).otherwise(cut(text.cast("string"), F.col("spans")))
+    columns = [(kept if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    return rows.join(spans, "u", "left").select(columns)
+
+
 def remove_repeats(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` with repeated strings cut out of the texts; all rows and columns stay.
 
     A character that loses some of its bytes goes as a whole. Null texts stay null.
     """
-    spans = repeated_spans(docs, id_col, text_col, length, gram)
-    spans = store(spans.select(F.col("t").alias("_t"), F.col("spans").alias("_spans")), "spans")
-    keyed = docs.withColumn("_t", F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))))
-    joined = keyed.join(spans, "_t", "left")
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(kept_text(text_col, "_spans"))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    spans = settle(
+        docs.sparkSession, "spans", lambda: repeated_spans(docs, id_col, text_col, length, gram).withColumnRenamed("t", "u")
+    )
+    return _without(docs, text_col, spans, kept_text)
+
+
+def remove_passages(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
+    """``docs`` without passages of ``words`` or more words that occur more than once; all rows and columns stay.
+
+    All occurrences go, with the white space after them; see ``repeated_passages``. Null texts stay null.
+    """
+    found = settle(docs.sparkSession, "passages", lambda: repeated_passages(docs, id_col, text_col, words))
+    return _without(docs, text_col, found, kept_words)

@@ -2,27 +2,11 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 from test_decontaminate import naive_tiles
 from test_near_dups import brute as near_classes
+from test_repeats import brute_passages
 from test_sequence_packing import check
 from tagloom.llm import queries
 
 
-def cut(texts, length=400):
-    """Texts without the bytes of strings that begin more than once."""
-    seen = {}
-    raw = [t.encode() for t in texts]
-    for b in raw:
-        for i in range(len(b) - length + 1):
-            seen[b[i : i + length]] = seen.get(b[i : i + length], 0) + 1
-    out = []
-    for b in raw:
-        gone = bytearray(len(b))
-        for i in range(len(b) - length + 1):
-            if seen[b[i : i + length]] > 1:
-                gone[i : i + length] = b"\1" * length
-        out.append(bytes(c for c, g in zip(b, gone) if not g).decode("utf-8", "ignore"))
-    return out
-
-
 def words(text):
     return "".join(c.lower() if c.isalnum() else " " for c in text).split()
 
@@ -43,7 +27,7 @@ def test_stages_equal_brute_force(spark, sf_dir):
     rows = {r.doc_id: r.text for r in docs.collect() if labels[r.doc_id].lang_pred != "und" and labels[r.doc_id].score >= 0.3}
     classes = near_classes(list(rows.items()))
     rows = {i: t for i, t in rows.items() if classes[i] == i}
-    rows = dict(zip(rows, cut(list(rows.values()))))
+    rows = dict(zip(rows, (t for t, _ in brute_passages(list(rows.values()), 51))))
     items = [words(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     rows = {i: t for i, t in rows.items() if not leaks(t, items)}
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -111,3 +112,60 @@ def test_rows_without_ids_and_repeated_ids(spark):
 
 def test_cut_characters_go_as_a_whole():
     assert repeats._kept_texts(__import__("pandas").Series(["aéb"]), [[{"start": 2, "end": 3}]])[0] == "ab"
+
+
+def brute_passages(texts, words):
+    """Texts without runs of words that occur more than once."""
+    split = [list(re.finditer(r"[^\t-\r ]+", t or "")) for t in texts]
+    seen = Counter(tuple(m.group() for m in w[i : i + words]) for w in split for i in range(len(w) - words + 1))
+    out = []
+    for t, w in zip(texts, split):
+        gone = [False] * len(w)
+        for i in range(len(w) - words + 1):
+            if seen[tuple(m.group() for m in w[i : i + words])] > 1:
+                gone[i : i + words] = [True] * words
+        ends = [m.start() for m in w[1:]] + [len(t or "")]
+        head = (t or "")[: w[0].start()] if w else t or ""
+        kept = head + "".join(t[m.start() : e] for m, e, g in zip(w, ends, gone) if not g)
+        out.append((None if t is None else kept if any(gone) else t, sum(gone)))
+    return out
+
+
+def passages_corpus(seed):
+    rng = random.Random(seed)
+    blocks = [[rng.choice(["a", "bé", "the", "of,", "Ünd", "x" * 30]) for _ in range(rng.randint(3, 40))] for _ in range(20)]
+    texts = [rng.choice([" ", "\n", "  "]).join(w for b in rng.choices(blocks, k=rng.randint(0, 5)) for w in b) for _ in range(50)]
+    return [*texts, None, "", " \n ", texts[0], texts[0], "the " * 80, "\u00a0 ".join(["a"] * 60), " lead in " + texts[1] + "\t"]
+
+
+@pytest.mark.parametrize("wide", [20_000, 2])
+def test_passages_equal_brute_force(spark, monkeypatch, wide):
+    monkeypatch.setattr(repeats, "WIDE", wide)
+    texts = passages_corpus(wide)
+    df = spark.createDataFrame([(n, t, n, "s") for n, t in enumerate(texts)], "doc_id long, text string, _t int, _spans string")
+    kept = repeats.remove_passages(df, "doc_id", "text", 12)
+    assert kept.columns == df.columns
+    wanted = brute_passages(texts, 12)
+    got = {r.doc_id: r for r in kept.collect()}
+    assert [got[n].text for n in range(len(texts))] == [t for t, _ in wanted]
+    assert all(r._t == n and r._spans == "s" for n, r in got.items())
+    report = {r.id: r.n_passage_words for r in repeats.removal_report(df, "doc_id", "text", words=12).collect()}
+    assert [report[n] for n in range(len(texts))] == [n for _, n in wanted]
+    assert repeats.remove_passages(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_helper_columns_do_not_clash(spark):
+    text = "".join(random.Random(2).choice("abcdef") for _ in range(600))
+    df = spark.createDataFrame([(1, text, 7, "k", 1), (2, text + "!", 8, None, 2)], "doc_id long, text string, _t int, _spans string, u int")
+    kept = {tuple(r) for r in repeats.remove_repeats(df, "doc_id", "text").collect()}
+    assert kept == {(1, "", 7, "k", 1), (2, "!", 8, None, 2)}
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    from tagloom.llm import queries
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    wanted = dict(zip(texts, zip(brute(list(texts.values()), 400), brute_passages(list(texts.values()), 51))))
+    rows = queries.op5_repeats(spark, sf_dir).collect()
+    assert {r.doc_id: (tuple(r)[1:5], r.n_passage_words) for r in rows} == {i: (b, p[1]) for i, (b, p) in wanted.items()}
+    assert len(rows) == len(texts)
