@@ -30,14 +30,15 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     classes = near_dups.near_groups(docs, "doc_id", "text")
     surplus = store(classes.where("id <> class_id").select(F.col("id").alias("doc_id")), "surplus")
     kept = docs.join(surplus, "doc_id", "left_anti")
-    # Rows that repeat both id and text are one document.
-    kept = kept.withColumn("_t", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return kept.dropDuplicates(["doc_id", "_t"]).select(docs.columns)
+    # Rows that repeat both id and text are one document. A row travels as one struct: no helper column can clash.
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    kept = kept.select("doc_id", text.alias("t"), F.struct(*docs.columns).alias("row"))
+    return kept.dropDuplicates(["doc_id", "t"]).select("row.*")
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur more than once are cut out; every document stays."""
-    return repeats.remove_repeats(docs, "doc_id", "text").withColumn("n_chars", F.length("text").cast("long"))
+    """Passages of over 50 words that occur more than once are cut out; every document stays."""
+    return repeats.remove_passages(docs, "doc_id", "text").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
