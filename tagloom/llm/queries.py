@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tagloom.llm import (
     chat,
     decontaminate,
+    fingerprints,
     html_text,
     language,
     near_dups,
@@ -187,3 +188,10 @@ def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "class_id", "n_links", (F.col("id") == F.col("class_id")).alias("kept")
     )
+
+
+@query
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Additive fingerprints of all documents, and of each with its last half taken from the next one."""
+    found = fingerprints.edit_report(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.withColumnRenamed("id", "doc_id")
