@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tagloom.llm import (
     chat,
     decontaminate,
+    dialogues,
     fingerprints,
     html_text,
     language,
@@ -195,3 +196,10 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Additive fingerprints of all documents, and of each with its last half taken from the next one."""
     found = fingerprints.edit_report(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of all conversations after every twentieth row, in five ways, was damaged."""
+    turns = dialogues.damaged(table(spark, sf_dir, "conversations"))
+    return dialogues.repair_report(turns, F.col("present"))
