@@ -14,6 +14,7 @@ from tagloom.llm import (
     decontaminate,
     dialogues,
     fingerprints,
+    hard_negatives,
     html_text,
     language,
     near_dups,
@@ -203,3 +204,35 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest repair of all conversations after every twentieth row, in five ways, was damaged."""
     turns = dialogues.damaged(table(spark, sf_dir, "conversations"))
     return dialogues.repair_report(turns, F.col("present"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score just below a positive, for every hundredth vector."""
+    rows = table(spark, sf_dir, "embeddings").where(F.col("label").isNotNull() & hard_negatives.usable("embedding"))
+    rows = rows.select(
+        F.col("vec_id").alias("id"),
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vec"),
+    )
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+ORACLE_SQL["op11_hard_negatives"] = """
+WITH usable AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS vec
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and([coalesce(isfinite(x), false) FOR x IN embedding])),
+scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.vec, b.vec) AS BIGINT) AS score
+    FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER w <= 5
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+"""
