@@ -1,4 +1,6 @@
+import bisect
 import random
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -11,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tagloom.llm import packing, tokens
-from tagloom.llm.configurations import _best_fit, configurations
+from tagloom.llm.configurations import _best_fit, configurations, plan
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 EXACT = Tokenizer.from_file(PATH)
@@ -86,6 +88,63 @@ def test_configurations_reach_the_volume_bound():
     assert bins <= -(-int((histogram * np.arange(2049)).sum()) // 2048) + 1
 
 
+def best_fit_piece_by_piece(counts, capacity):
+    rooms = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            at = bisect.bisect_left(rooms, length)
+            room = rooms.pop(at) if at < len(rooms) else capacity
+            bisect.insort(rooms, room - length)
+    return len(rooms)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 60), max_size=20))
+def test_best_fit_in_groups_equals_piece_by_piece(counts):
+    histogram = np.zeros(65, np.int64)
+    for n, c in counts.items():
+        histogram[n] = c
+    made = _best_fit(Counter(), histogram, 64)
+    assert Counter(n for config, times in made for n in config for _ in range(times)) == Counter(counts)
+    assert sum(times for _, times in made) == best_fit_piece_by_piece(counts, 64)
+
+
+@pytest.mark.parametrize(
+    "counts, capacity, most",
+    [
+        ({500: 8000, 1100: 8000}, 2048, 8000),
+        ({512: 8000, 1100: 8000}, 2048, 8000),
+        ({16: 80_000, 33: 80_000}, 64, 80_000),
+        ({22: 100_000, 30: 100_000, 12: 100_000}, 64, 100_000),  # best fit alone: 110,000
+    ],
+)
+def test_few_lengths_reach_the_optimum(counts, capacity, most):
+    histogram = np.zeros(capacity + 1, np.int64)
+    for n, c in counts.items():
+        histogram[n] = c
+    bins, bound = plan(histogram, capacity)
+    assert sum(times for _, times in bins) == most and bound <= most + 1e-6
+
+
+def test_bins_are_near_the_dual_bound():
+    rng = np.random.default_rng(3)
+    for _ in range(12):
+        histogram = np.zeros(65, np.int64)
+        histogram[rng.choice(np.arange(4, 40), 8, replace=False)] = rng.integers(1000, 100_000, 8)
+        bins, bound = plan(histogram, 64)
+        total = sum(times for _, times in bins)
+        assert bound - 1e-6 <= total <= 1.006 * bound + 8
+        assert sum(c * n for c, n in enumerate(histogram)) == sum(sum(config) * times for config, times in bins)
+
+
+def test_no_step_for_each_piece():
+    rng = np.random.default_rng(4)
+    histogram = np.bincount(rng.integers(1030, 1900, 3_000_000), minlength=2049)
+    start = time.process_time()
+    bins = _best_fit(Counter(), histogram * 1000, 2048)
+    assert sum(times for _, times in bins) == 3_000_000_000 and time.process_time() - start < 1
+
+
 def check(rows, docs, capacity):
     """Pieces rebuild every document, places are gapless and within the capacity."""
     by_sequence, by_doc = {}, Counter()
