@@ -56,8 +56,10 @@ OTHER_NAMES = frozenset(
 #: Of these, names of running text by others; its ratios cannot tell it from the main text.
 FIRM_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted comment comments commentlist "
-    "disqus reply replies respond cookie cookies consent gdpr newsletter subscribe hidden".split()
+    "disqus cookie cookies consent gdpr newsletter subscribe hidden".split()
 )
+#: Words that also name a part of the author's own text, when they stand on a section inside the content.
+PART_NAMES = frozenset("discussion notice notices related social form search".split())
 #: Last words of a name that leave its meaning to the first one ("share-buttons").
 SHELL_NAMES = frozenset(
     "area bar block box button buttons container content group holder icon icons inner items link links list outer panel post posts "
@@ -73,8 +75,9 @@ INSIDE = 2
 #: Characters outside links, and marks of punctuation among them, of a long text.
 LONG, MARKS = 200, 3
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S)
-_NAMES = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+NAMED = ("class", "id", "role", "aria-label")
 _WORD = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 
@@ -83,15 +86,20 @@ _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 class Block:
     """Text between two block-level tags."""
 
-    path: str
+    path: int  # number of the path of block-level tags from the root
     text: str
     linked: int  # characters inside links
     level: int  # 2 inside an article, 1 inside main, 0 elsewhere
     doubt: int = 0  # number of the outermost element around it whose name speaks against it
+    heading: bool = False
 
 
-def _value(m: re.Match) -> str:
-    return (m[2] or m[3] or m[4] or "").lower()
+def _attributes(text: str) -> dict[str, str]:
+    """Names, in lower case, and values; the first of equal names counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
 
 
 def _named(name: str) -> str | None:
@@ -105,72 +113,86 @@ def _named(name: str) -> str | None:
     return parts[0] if shell and parts[0] in OTHER_NAMES else None
 
 
-def _other(tag: str, attributes: str, level: int) -> tuple[bool, bool]:
+def _other(tag: str, attributes: dict[str, str], level: int) -> tuple[bool, bool]:
     """Does this element hold something other than the main text: surely, or by its name?"""
     if tag in OTHER_TAGS or (tag == "header" and level < 2):
         return True, False
     if not attributes:
         return False, False
-    if _HIDDEN.search(attributes):
+    hidden = "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true"
+    if hidden or _NO_DISPLAY.search(attributes.get("style", "")):
         return True, False
     if tag in ("html", "body", "main") or tag in HEADINGS:
         return False, False
     doubt = False
-    for m in _NAMES.finditer(attributes):
-        kind = m[1].lower()
-        if level and tag == "section" and kind in ("id", "aria-label"):
+    for kind in NAMED:
+        value = attributes.get(kind, "").lower()
+        part = level and tag == "section"
+        if not value or (part and kind in ("id", "aria-label")):
             continue  # the title of a part of the content
-        value = _value(m)
         for name in [value] if kind == "aria-label" else value.split():
             word = " ".join(value.split()) if kind == "aria-label" else _named(name)
             if word not in OTHER_NAMES or (word == "header" and (level or name != word)):
                 continue  # a header inside the content, or of an entry, holds its title
+            if part and name in PART_NAMES:
+                continue
             if word in FIRM_NAMES:
                 return True, False
             doubt = True
     return False, doubt
 
 
+class _Open:
+    """An open element."""
+
+    __slots__ = ("tag", "other", "path", "doubt", "level")
+
+    def __init__(self, tag: str, other: bool, path: int, doubt: int, level: int) -> None:
+        self.tag, self.other, self.path, self.doubt, self.level = tag, other, path, doubt, level
+
+
 def blocks(page: str) -> tuple[list[Block], int]:
     """All blocks of text outside of elements that hold none of the main text.
 
     And the highest level that the page has: 2 with an article, 1 with main, else 0.
     """
     out: list[Block] = []
-    stack: list[tuple[str, bool, str, int]] = []  # tag, other, name in paths, doubt
+    stack = [_Open("", False, 0, 0, 0)]  # the page itself
+    places: dict[str, list[int]] = {}  # where elements of a tag stand in the stack
+    walls = [0]  # where block-level elements stand
+    paths: dict[tuple[int, str], int] = {}
     text: list[str] = []
     linked = at = highest = others = links = doubts = 0
 
-    def level_here() -> int:
-        open_tags = {tag for tag, *_ in stack}
-        return 2 if "article" in open_tags else 1 if "main" in open_tags else 0
-
     def flush() -> None:
         nonlocal linked
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                path = "/".join(name for tag, _, name, _ in stack if tag not in INLINE)
-                out.append(Block(path, whole, min(linked, len(whole)), level_here(), stack[-1][3] if stack else 0))
+                here, wall = stack[-1], stack[walls[-1]]
+                out.append(Block(here.path, whole, min(linked, len(whole)), here.level, here.doubt, wall.tag in HEADINGS))
             text.clear()
         linked = 0
 
     def pop(count: int) -> None:
         nonlocal others, links
         for _ in range(count):
-            tag, other, *_ = stack.pop()
-            others -= other
-            links -= tag == "a"
+            gone = stack.pop()
+            places[gone.tag].pop()
+            if walls[-1] == len(stack):
+                walls.pop()
+            others -= gone.other
+            links -= gone.tag == "a"
+
+    def innermost(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close(tags: set[str], scope: set[str]) -> None:
         """Close the innermost of ``tags``, unless an element of ``scope`` lies above it."""
-        for n in range(len(stack) - 1, -1, -1):
-            if stack[n][0] in tags:
-                flush()
-                pop(len(stack) - n)
-                return
-            if stack[n][0] in scope:
-                return
+        n = innermost(tags)
+        if n and n > innermost(scope - tags):
+            flush()
+            pop(len(stack) - n)
 
     def add(chunk: str) -> None:
         nonlocal linked
@@ -189,14 +211,11 @@ def blocks(page: str) -> tuple[list[Block], int]:
             continue
         tag = found[2].lower()
         if found[1]:
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == tag:
-                    if tag not in INLINE:
-                        flush()
-                    elif any(x[0] not in INLINE for x in stack[n:]):
-                        break  # an inline end tag does not close blocks
-                    pop(len(stack) - n)
-                    break
+            n = innermost({tag})
+            if n and not (tag in INLINE and walls[-1] > n):  # an inline end tag does not close blocks
+                if tag not in INLINE:
+                    flush()
+                pop(len(stack) - n)
             continue
         if tag in RAW:
             if tag in INLINE or not found[3].endswith("/"):
@@ -211,23 +230,31 @@ def blocks(page: str) -> tuple[list[Block], int]:
             if tag in SAME_LEVEL:
                 for _ in range(3):
                     close(SAME_LEVEL[tag], SCOPE.get(tag, set()))
-                    if not any(x[0] in SAME_LEVEL[tag] for x in stack[-1:]):
+                    if stack[-1].tag not in SAME_LEVEL[tag]:
                         break
         elif tag in ("br", "img"):
             add(" ")
         if tag in VOID:
             continue
-        other, doubted = _other(tag, found[3], level_here())
+        around = stack[-1]
+        attributes = _attributes(found[3]) if found[3] else {}
+        other, doubted = _other(tag, attributes, around.level)
         others += other
         links += tag == "a"
-        doubt = stack[-1][3] if stack else 0
+        doubt = around.doubt
         if doubted and not doubt:
             doubts += 1
             doubt = doubts
+        level = max(around.level, 2 if tag == "article" else 1 if tag == "main" else 0)
         if not others and not doubt and tag in ("article", "main"):
             highest = max(highest, 2 if tag == "article" else 1)
-        names = [w for m in _NAMES.finditer(found[3]) for w in _value(m).split()[:1]] if found[3] else []
-        stack.append((tag, other, ".".join([tag, *names[:1]]), doubt))
+        path = around.path
+        if tag not in INLINE:
+            name = next((w for n in attributes if n in NAMED for w in attributes[n].lower().split()[:1]), "")
+            path = paths.setdefault((path, f"{tag}.{name}"), len(paths) + 1)
+            walls.append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(_Open(tag, other, path, doubt, level))
     add(page[at:])
     flush()
     return out, highest
@@ -272,7 +299,7 @@ def _chosen_level(found: list[Block], content: list[bool], level: int) -> int:
     return 0
 
 
-def fused_scores(found: list[Block]) -> dict[str, float]:
+def fused_scores(found: list[Block]) -> dict[int, float]:
     """Smoothed text ratio times smoothed punctuation ratio of every path."""
     paths = [b.path for b in found]
     kinds = sorted(set(paths))
@@ -306,14 +333,14 @@ def main_blocks(found: list[Block], level: int) -> list[Block]:
     level = _chosen_level(found, content, max(level, *(b.level for b in found), 0))
     if level:
         inside = [b for b in found if b.level >= level]
-        linked: dict[str, list[int]] = {}
+        linked: dict[int, list[int]] = {}
         for b in inside:
             linked.setdefault(b.path, []).append(b.linked >= 0.9 * len(b.text))
         menus = {p for p, x in linked.items() if len(x) > 2 and all(x)}
         return [b for b in inside if b.path not in menus]
     keep = list(content)
     for n, b in enumerate(found[:-1]):
-        if b.path.rpartition("/")[2].partition(".")[0] in HEADINGS and b.linked < len(b.text):
+        if b.heading and b.linked < len(b.text):
             keep[n] = keep[n] or content[n + 1]
     return [b for b, k in zip(found, keep) if k]
 

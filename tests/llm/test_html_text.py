@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 
 from tagloom.llm import html_text, queries
@@ -23,6 +27,13 @@ from tagloom.llm.html_text import main_text
         ("<article><p>a &lt;b&gt; &#233;&#x41; &unknown; &am</p></article>", "a <b> éA &unknown; &am"),
         ("<article><p title='a>b'>c</p><p>1 < 2</p></article>", "c\n1 < 2"),
         ("<ARTICLE><P>Upper</P></ARTICLE>", "Upper"),
+        ("<article><p>one</p><p title='the hidden truth'>two</p></article>", "one\ntwo"),
+        ("<article data-title='A hidden gem' alt=\"display:none id='ad'\"><p>kept</p></article>", "kept"),
+        ("<article><p>a</p><p hidden>b</p><p aria-hidden=true>c</p><p style='color:red; display : none'>d</p></article>", "a"),
+        ("<article><p>a</p><p aria-hidden='false'>b</p><p data-hidden=1>c</p></article>", "a\nb\nc"),
+        ("<article><p>a</p><section class='discussion'><p>Own words.</p></section></article>", "a\nOwn words."),
+        ("<article><b>a<p>b</b>c</p>d</article>", "a\nbc\nd"),
+        ("<article><p>a<i>b</p></i>c<li>d<li>e</article>f", "ab\nc\nd\ne"),
     ],
 )
 def test_main_text(page, text):
@@ -66,6 +77,49 @@ def test_names_are_overruled_by_long_texts_only():
         assert main_text(f"<article><p>{STORY}</p>{other}</article>") == STORY.strip()
 
 
+def test_a_reply_by_the_author_stays():
+    assert main_text(f"<article><p>{STORY}</p><div class='reply'><p>{STORY}</p></div></article>") == f"{STORY.strip()}\n{STORY.strip()}"
+    assert main_text(f"<article><p>{STORY}</p><div class='reply'>I agree</div></article>") == STORY.strip()
+
+
+@pytest.mark.parametrize("opened", ["<div>", "<p><table><td>", "<ul><li>", "<b><p>", "<article><section class=x>"])
+def test_deep_nesting_takes_linear_time(opened):
+    start = time.process_time()
+    page = opened * (100_000 // opened.count("<")) + "text" + "</div>" * 50_000
+    assert html_text.blocks(page)[0][-1].text == "text"
+    assert time.process_time() - start < 3
+
+
+def ratio_blocks(page):
+    """What path ratios alone keep of a page of plain blocks, computed from their definition."""
+    lines = [(m[1], m[2]) for m in re.finditer(r"<(\w+)>([^<]*)</\1>", page)]
+    paths = sorted({tag for tag, _ in lines})
+    scores = dict.fromkeys(paths, 1.0)
+    for measure in (len, lambda x: len(re.findall("[.,;:!?]", x))):
+        ratio = {p: sum(measure(x) for t, x in lines if t == p) / sum(t == p for t, _ in lines) for p in paths}
+        row = [ratio[t] for t, _ in lines]
+        row = [row[0], *row, row[-1]]
+        smooth = [row[n] / 4 + row[n + 1] / 2 + row[n + 2] / 4 for n in range(len(lines))]
+        for p in paths:
+            own = [x for x, (t, _) in zip(smooth, lines) if t == p]
+            scores[p] *= 1 + sum(own) / len(own)
+    mean = sum((scores[t] - 1) * len(x) for t, x in lines) / sum(len(x) for _, x in lines)
+    return [x for t, x in lines if scores[t] - 1 >= html_text.THRESHOLD * mean]
+
+
+def test_ratios_decide_on_pages_without_marks():
+    rng = random.Random(6)
+    differ = 0
+    for _ in range(200):
+        tags = rng.sample(["p", "div", "li", "td", "pre"], 3)
+        rows = [(rng.choice(tags), " ".join(["word,"] * rng.choice([1, 1, 2, 40]))) for _ in range(rng.randint(1, 9))]
+        page = "".join(f"<{t}>{x}</{t}>" for t, x in rows)
+        kept = ratio_blocks(page)
+        assert main_text(page).split("\n") == kept
+        differ += len(kept) < len(rows)
+    assert differ > 20
+
+
 def test_very_long_page():
     words = "word, " * 300_000
     assert main_text(f"<article><p>{words}</p></article>") == words.strip()
