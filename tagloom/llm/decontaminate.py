@@ -100,6 +100,8 @@ class Benchmark:
     seeds: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    #: Words -> sorted seeds and items of items that have no more: these match as one whole run.
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @staticmethod
     def of(ids: list[int], texts: list[str | None], least: int) -> Benchmark:
@@ -113,25 +115,53 @@ class Benchmark:
         item = np.repeat(np.arange(len(ids)), counts)
         place = np.concatenate([*(np.arange(n) for n in counts), np.zeros(0, np.int64)]).astype(np.int64)
         order = np.argsort(seeds, kind="stable")
-        return Benchmark(np.array(ids, np.int64), np.diff(ends), seeds[order], item[order], place[order])
+        sizes, short = np.diff(ends), {}
+        for size in range(1, least):
+            few = np.flatnonzero(sizes == size)
+            if len(few):
+                whole = np.array([running_hashes(words[ends[n] : ends[n + 1]], size)[0] for n in few], np.uint64)
+                by = np.argsort(whole, kind="stable")
+                short[size] = whole[by], few[by]
+        return Benchmark(np.array(ids, np.int64), sizes, seeds[order], item[order], place[order], short)
 
 
-def _matches(words: np.ndarray, ends: np.ndarray, bench: Benchmark, least: int, wanted: set | None = None):
+def _runs_inside(words: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first word and row of every run of ``size`` words inside a row."""
+    runs = running_hashes(words, size)
+    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    inside = np.flatnonzero(row[: len(runs)] == row[size - 1 :]) if len(runs) else np.zeros(0, np.int64)
+    return runs[inside], inside, row[inside]
+
+
+def _shared(runs: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair (run, seed) of equal hashes; ``seeds`` are sorted."""
+    low = np.searchsorted(seeds, runs, "left")
+    hit = np.flatnonzero(seeds[np.minimum(low, len(seeds) - 1)] == runs)
+    times = np.searchsorted(seeds, runs[hit], "right") - low[hit]
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return np.repeat(hit, times), np.repeat(low[hit], times) + nth
+
+
+def _short_matches(words: np.ndarray, ends: np.ndarray, bench: Benchmark):
+    """The same as ``_matches`` for items of fewer words than a seed: their first place in each row."""
+    for size, (seeds, items) in bench.short.items():
+        runs, at, row = _runs_inside(words, ends, size)
+        run, seed = _shared(runs, seeds)
+        _, first = np.unique(np.stack([row[run], items[seed]]), axis=1, return_index=True)
+        for k in first:
+            r = int(row[run[k]])
+            yield r, int(items[seed[k]]), [(int(at[run[k]] - ends[r]), 0, size)]
+
+
+def _matches(words: np.ndarray, ends: np.ndarray, bench: Benchmark, least: int):
     """(row, item, tiles) of every row and item that share a seed."""
+    yield from _short_matches(words, ends, bench)
     if not len(bench.seeds):
         return
-    runs = running_hashes(words, least)
-    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    inside = np.flatnonzero(row[: len(runs)] == row[least - 1 :]) if len(runs) else np.zeros(0, np.int64)
-    runs = runs[inside]
-    low = np.searchsorted(bench.seeds, runs, "left")
-    hit = np.flatnonzero(bench.seeds[np.minimum(low, len(bench.seeds) - 1)] == runs)
-    high = np.searchsorted(bench.seeds, runs[hit], "right")
-    times = high - low[hit]
-    at = np.repeat(inside[hit], times)
-    nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-    seed = np.repeat(low[hit], times) + nth
-    rows, items, places = row[at], bench.item[seed], bench.place[seed]
+    runs, inside, row = _runs_inside(words, ends, least)
+    run, seed = _shared(runs, bench.seeds)
+    at, rows = inside[run], row[run]
+    items, places = bench.item[seed], bench.place[seed]
     order = np.lexsort((items, rows))
     rows, items, places, at = rows[order], items[order], places[order], at[order]
     first = np.flatnonzero((np.diff(rows, prepend=-1) != 0) | (np.diff(items, prepend=-1) != 0))
@@ -165,16 +195,20 @@ def _found_batch(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _seeds(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Distinct seeds of every row."""
+def _seeds(batches: Iterator[pa.RecordBatch], least: int, short: list[int] | None = None) -> Iterator[pa.RecordBatch]:
+    """Distinct seeds of every row, and runs of the ``short`` sizes; without these, a shorter row gives one run of all its words."""
     for batch in batches:
         data, offsets = column_bytes(batch.column(1))
         for i, j in slices(offsets):
             words, ends = word_sequences(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            runs = running_hashes(words, least)
-            row = np.repeat(np.arange(j - i), np.diff(ends))
-            inside = np.flatnonzero(row[: len(runs)] == row[least - 1 :]) if len(runs) else np.zeros(0, np.int64)
-            both = np.unique(np.stack([row[inside].astype(np.uint64), runs[inside]]), axis=1)
+            found = []
+            for size in (*(range(1, least) if short is None else short), least):
+                runs, _, row = _runs_inside(words, ends, size)
+                if short is None and size < least:
+                    whole = np.diff(ends)[row] == size
+                    runs, row = runs[whole], row[whole]
+                found.append(np.stack([row.astype(np.uint64), runs + U64(least - size)]))
+            both = np.unique(np.concatenate(found, axis=1), axis=1)
             yield pa.record_batch(
                 {
                     batch.schema.names[0]: batch.column(0)[i:j].take(pa.array(both[0].astype(np.int64))),
@@ -183,6 +217,13 @@ def _seeds(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
             )
 
 
+def _sizes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Numbers of words below ``least`` that occur."""
+    for batch in batches:
+        sizes = np.diff(word_sequences(*column_bytes(batch.column(0)))[1])
+        yield pa.record_batch({"size": pa.array(np.unique(sizes[(sizes > 0) & (sizes < least)]).astype(np.int32))})
+
+
 def _tile_pairs(batches: Iterator[pa.RecordBatch], least: int, coverage: float) -> Iterator[pa.RecordBatch]:
     """Rows (text key, text, item, its text): the tiles of each pair."""
     for batch in batches:
@@ -213,10 +254,10 @@ def leaks(
     """(id, item_id, item_words, matched_words, n_tiles, coverage) of documents that hold benchmark items.
 
     A row for every document and item with a coverage of at least ``coverage``, or with
-    ``WORDS`` words under tiles. Null and
-    empty texts, and items of fewer than ``least`` words, share nothing. Documents
-    with null or repeated ids give rows like any other; items with equal ids are
-    items of their own, items with a null id are left out. Empty tables give no rows.
+    ``WORDS`` words under tiles. An item of fewer than ``least`` words matches as one
+    whole run. Null and empty texts share nothing. Documents with null or repeated ids
+    give rows like any other; items with equal ids, also with equal texts, are items of
+    their own, items with a null id are left out. Empty tables give no rows.
 
     A benchmark of up to ``broadcast_bytes`` bytes goes to all tasks and documents are
     read once, without an exchange. A larger one meets the documents' seeds in a
@@ -241,14 +282,19 @@ def leaks(
     sought = seeds.select("n", "item_text").mapInArrow(lambda it: _seeds(it, least), "n long, seed long").distinct()
     texts = keyed.groupBy("t").agg(F.min(F.coalesce("id", F.expr("-9223372036854775808L"))).alias("k"))
     first = keyed.withColumn("k", F.coalesce("id", F.expr("-9223372036854775808L"))).join(texts, ["t", "k"], "left_semi")
-    own = first.select("t", "text").mapInArrow(lambda it: _seeds(it, least), "t binary, seed long")
+    sizes = seeds.select("item_text").mapInArrow(lambda it: _sizes(it, least), "size int").distinct()
+    short = sorted(r.size for r in sizes.collect())  # fewer than ``least`` numbers
+    own = first.select("t", "text").mapInArrow(lambda it: _seeds(it, least, short), "t binary, seed long")
     pairs = store(own.join(sought, "seed").select("t", "n").distinct(), "pairs")
     found = (
         first.select("t", "text")
         .join(pairs, "t")
         .join(seeds, "n")
-        .select("t", "text", "item_id", "item_text")
+        .select("t", "text", "n", "item_text")
         .mapInArrow(lambda it: _tile_pairs(it, least, coverage), f"t binary, {FOUND}")
-        .distinct()
+        .withColumnRenamed("item_id", "n")
+        .dropDuplicates(["t", "n"])  # a document that repeats both id and text comes twice
+        .join(seeds.select("n", "item_id"), "n")
     )
-    return keyed.select("id", "t").join(found, "t").drop("t")
+    columns = ["item_id", "item_words", "matched_words", "n_tiles", "coverage"]
+    return keyed.select("id", "t").join(found, "t").select("id", *columns)

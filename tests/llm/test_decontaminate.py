@@ -77,3 +77,14 @@ def test_both_ways_agree(spark, sf_dir):
         for n in (dc.BROADCAST_BYTES, 0)
     )
     assert a == b and a
+
+
+@pytest.mark.parametrize("broadcast", [dc.BROADCAST_BYTES, 0])
+def test_short_and_equal_items(spark, broadcast):
+    rows = [(1, "say: Too  short, really"), (2, "too"), (3, "short too"), (4, "a b c d too short too short"), (4, "a b c d too short too short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = [(1, "too short"), (2, "really"), (3, "a b c d"), (3, "a b c d"), (4, "a b c d too"), (4, "a b c d too")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = sorted(map(tuple, dc.leaks(docs, "doc_id", "text", bench, broadcast_bytes=broadcast).collect()))
+    four = [(4, 1, 2, 2, 1, 1.0), (4, 3, 4, 4, 1, 1.0), (4, 3, 4, 4, 1, 1.0), (4, 4, 5, 5, 1, 1.0), (4, 4, 5, 5, 1, 1.0)]
+    assert found == sorted([(1, 1, 2, 2, 1, 1.0), (1, 2, 1, 1, 1, 1.0), *four, *four])
