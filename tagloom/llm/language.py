@@ -24,8 +24,8 @@ from tagloom.llm.letters import code_points, word_bounds
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
-#: Bounds of the training sample: documents of a language, and characters of a document.
-SAMPLE_DOCS, SAMPLE_CHARS = 120, 20_000
+#: Bounds of the training sample: documents of a language, and characters read of each.
+SAMPLE_DOCS, SAMPLE_CHARS = 200, 4000
 LEXICON = 300  # words of a language
 SEQUENCE = 128  # words of a training sequence
 STEPS = 60
@@ -255,7 +255,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
 def training_sample(
     docs: DataFrame, id_col: str, text_col: str, lang_col: str, where: Column, most: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS
 ) -> DataFrame:
-    """At most ``most`` labelled documents of each language, none longer than ``chars`` characters.
+    """At most ``most`` labelled documents of each language, of each no more than the first ``chars`` characters.
 
     Which ones depends on a hash of the id alone. The first filter leaves a few times
     as many rows a language, so that ranking them is a small task.
@@ -263,9 +263,8 @@ def training_sample(
     rows = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"),
         F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 40)).alias("at"),
-        F.col(text_col).alias("text"),
+        F.substring(text_col, 1, chars).alias("text"),
     )
-    rows = rows.where(F.length("text") <= chars)
     share = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(float(4 * most << 40)) / F.col("n")).alias("below"))
     # One row a language, of which the model holds a square.
     ranked = rows.join(F.broadcast(share), "lang").where("at < below").withColumn(

@@ -24,7 +24,7 @@ def leaks(text, items, least=5):
 def test_stages_equal_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = {r.doc_id: r for r in queries.op6_language(spark, sf_dir).collect()}
-    rows = {r.doc_id: r.text for r in docs.collect() if labels[r.doc_id].lang_pred != "und" and labels[r.doc_id].score >= 0.3}
+    rows = {r.doc_id: r.text for r in docs.collect() if labels[r.doc_id].lang_pred != "und" and labels[r.doc_id].score >= corpus_pipeline.CONFIDENT}
     classes = near_classes(list(rows.items()))
     rows = {i: t for i, t in rows.items() if classes[i] == i}
     rows = dict(zip(rows, (t for t, _ in brute_passages(list(rows.values()), 51))))
@@ -57,3 +57,12 @@ def test_stages_take_edge_rows(spark, sf_dir):
         corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     kept = corpus_pipeline.STAGES[0][1](spark, spark.createDataFrame(rows, schema), sf_dir).select(F.col("doc_id")).collect()
     assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 1, 5]
+
+
+def test_documents_of_an_unlearned_language_go(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    blind = docs.withColumn("lang", F.when(F.col("lang") != "es", F.col("lang")))
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, blind, sf_dir).collect()}
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    share = {x: sum(i in kept for i in lang if lang[i] == x) / list(lang.values()).count(x) for x in set(lang.values())}
+    assert share.pop("es") < 0.35 and min(share.values()) > 0.9
