@@ -9,8 +9,9 @@ from tagloom.llm import decontaminate, language, near_dups, packing, queries, re
 from tagloom.workspace import store
 
 
-#: Least mean probability of a document's language over its words.
-CONFIDENT = 0.3
+#: Least mean probability of a document's language over its words. At sf0.1 it keeps 0.996 of the held-out documents;
+#: of the documents of a language left out of training it keeps 0.01 (en, es, fr) to 0.4 (de, whose words resemble English).
+CONFIDENT = 0.75
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
