@@ -13,6 +13,8 @@ from tagloom.operators.scan import BLOCK, prior_values
 from tagloom.workspace import broadcast_if_small, store
 
 COUNTS = ("gold", "guessed", "correct")
+#: Sequences of a stream in one block.
+SPAN = 256
 
 
 def _split_tags(df: DataFrame) -> DataFrame:
@@ -140,6 +142,90 @@ def _one(cond: Column) -> Column:
     return F.sum(cond.cast("long"))
 
 
+SUMS = ("g", "p", "c", "o", "hits", "tokens")
+
+
+def _counted(rows: DataFrame) -> Column:
+    return ~F.col("is_break") if "is_break" in rows.columns else F.lit(True)
+
+
+def _hit() -> Column:
+    return (F.col("gp") == F.col("pp")) & (F.col("gt") == F.col("pt"))
+
+
+def _stream_cells(tagged: DataFrame, keys: list[str], streams: list[str], by: list[str]) -> DataFrame:
+    """Sums of whole streams per combination of types, without labelling rows.
+
+    A block is a range of sequences (of positions, if the stream has no sequences). In
+    it only two things depend on what comes before: its first row, and whether the first
+    later row that closes a chunk closes a correct one. So a block is a function from
+    the tags and state before it to counts and to the tags and state after it, made of
+    sums, the two rows and its last row. Rows are read once and summed; then the
+    functions are applied block after block by a scan of one row each.
+    """
+    *outer, pos = keys
+    inner = [outer[-1], pos] if outer else [pos]
+    at = [*outer[:-1], "blk"]
+    block = [*streams, *at]
+    rows = _split_tags(tagged).withColumn("blk", F.expr(f"`{inner[0]}` div {SPAN if outer else BLOCK}"))
+    order = W.partitionBy(*block).orderBy(*inner)
+    rows = _with_events(rows.withColumn("prev", F.lag(_parts()).over(order)))
+    head, tail = F.col("prev").isNull(), F.lead(F.lit(1)).over(order).isNull()
+    rows = rows.withColumns({"is_head": head, "is_tail": tail, "effect": F.when(~head, F.col("effect"))})
+    inside = F.last("effect", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("inside", inside)
+    rows = rows.withColumn("opens", ~F.col("is_head") & F.col("inside").isNull() & F.col("effect").isNotNull() & F.col("closes"))
+    kept = F.col("is_head") | F.col("is_tail") | F.col("opens")
+    rows = rows.withColumns(
+        {
+            "own": F.when(kept, F.struct(*inner)),  # these rows stay by themselves
+            "head": F.when(F.col("is_head"), _parts()),
+            "tail": F.when(F.col("is_tail"), _parts()),
+            "state": F.when(F.col("is_tail"), F.coalesce("effect", "inside")),
+            "prev_gt": F.when(F.col("is_head"), "").otherwise(F.col("prev_gt")),
+        }
+    )
+    special = ["own", "head", "tail", "state", "opens"]
+    later = ~F.col("is_head")
+    cells = rows.groupBy(*block, "gt", "pt", "prev_gt", *special).agg(
+        _one(later & F.col("gold_start")).alias("g"),
+        _one(later & F.col("pred_start")).alias("p"),
+        _one(later & F.col("closes") & (F.coalesce("inside", F.lit(0)) == 1)).alias("c"),
+        F.lit(0).cast("long").alias("o"),
+        _one(_counted(rows) & _hit()).alias("hits"),
+        _one(_counted(rows)).alias("tokens"),
+    )
+    cells = store(cells, "cells")
+    summary = cells.where("own IS NOT NULL").groupBy(*block).agg(
+        F.max("head").alias("head"),
+        F.max("tail").alias("tail"),
+        F.max("state").alias("state"),
+        F.max(F.when(F.col("opens"), F.col("prev_gt"))).alias("opened_gt"),
+    )
+    summary = prior_values(store(summary, "summary"), at, {"prev": ("last", F.col("tail"))}, streams)
+    heads = _with_events(summary.select("*", "head.*"))
+    heads = store(heads.drop("head").withColumn("after", F.coalesce("state", "effect")), "heads")
+    heads = prior_values(heads, at, {"before": ("last", F.col("after"))}, streams)
+    last = heads.groupBy(*streams).agg(F.max(F.struct(*at)).alias("k")).select(*streams, "k.*")
+    heads = heads.join(last.withColumn("is_end", F.lit(True)), block, "left")
+    before = F.coalesce("before", F.lit(0))
+    entered = F.coalesce("effect", before) == 1
+
+    def cell(gt: Column, pt: Column, prev_gt: Column, **sums: Column) -> Column:
+        values = [sums.get(n, F.lit(False)).cast("long").alias(n) for n in SUMS]
+        return F.struct(gt.alias("gt"), pt.alias("pt"), prev_gt.alias("prev_gt"), *values)
+
+    none = F.lit("")
+    ends = F.coalesce("is_end", F.lit(False)) & (F.coalesce("after", before) == 1)
+    found = F.array(
+        cell(F.col("gt"), F.col("pt"), F.col("prev_gt"), g=F.col("gold_start"), p=F.col("pred_start"), c=F.col("closes") & (before == 1)),
+        cell(none, none, F.coalesce("opened_gt", none), c=F.col("opened_gt").isNotNull() & entered),
+        cell(F.col("tail.gt"), none, none, o=ends),
+    )
+    names = [*by, "gt", "pt", "prev_gt", *SUMS]
+    return cells.select(names).unionByName(heads.select(*by, F.inline(found)).select(names))
+
+
 def chunk_counts(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Gold, guessed and correct chunks per type and overall, plus token accuracy.
 
@@ -147,16 +233,21 @@ def chunk_counts(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     the split into one row per type happens on those sums.
     """
     by = list(by)
-    counted = ~F.col("is_break") if "is_break" in rows.columns else F.lit(True)
-    hit = counted & (F.col("gp") == F.col("pp")) & (F.col("gt") == F.col("pt"))
     cells = rows.groupBy(*by, "gt", "pt", "prev_gt").agg(
         _one(F.col("gold_start")).alias("g"),
         _one(F.col("pred_start")).alias("p"),
         _one(F.col("closed")).alias("c"),
         _one(F.col("left_open")).alias("o"),
-        _one(hit).alias("hits"),
-        _one(counted).alias("tokens"),
+        _one(_counted(rows) & _hit()).alias("hits"),
+        _one(_counted(rows)).alias("tokens"),
     )
+    return _by_type(cells, by)
+
+
+def _by_type(cells: DataFrame, by: list[str]) -> DataFrame:
+    """One row per type and one overall from sums per combination of types."""
+    sums = [F.sum(c).alias(c) for c in SUMS]
+    cells = cells.groupBy(*by, "gt", "pt", "prev_gt").agg(*sums)
 
     def part(type_, g="0L", p="0L", c="0L", n="0L", h="0L"):
         return (
@@ -221,8 +312,16 @@ def score(
     by: Sequence[str] = (),
     streams: Sequence[str] = (),
 ) -> DataFrame:
-    """Per-type and overall chunk metrics of ``tagged(seq…, pos, gold, pred)``."""
-    return add_metrics(chunk_counts(chunk_rows(tagged, seq, pos, boundary, streams or by), by))
+    """Per-type and overall chunk metrics of ``tagged(seq…, pos, gold, pred)``.
+
+    Streams (``boundary="none"``) are scored in one pass over the rows when ``by`` tells
+    no more apart than streams do; see ``_stream_cells``.
+    """
+    streams = list(streams or by)
+    if boundary == "none" and set(by) <= set(streams):
+        keys = [c for c in seq if c not in streams] + [pos]
+        return add_metrics(_by_type(_stream_cells(tagged, keys, streams, list(by)), list(by)))
+    return add_metrics(chunk_counts(chunk_rows(tagged, seq, pos, boundary, streams), by))
 
 
 def chunk_spans(tagged: DataFrame, seq: Sequence[str], pos: str = "pos", tag: str = "gold") -> DataFrame:

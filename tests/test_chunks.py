@@ -140,3 +140,19 @@ def test_empty_stream_has_an_overall_row(spark):
     (row,) = chunks.score(empty, ["s"]).collect()
     assert (row["level"], row["gold"], row["guessed"], row["tokens"]) == ("overall", 0, 0, 0)
     assert (row["precision"], row["recall"], row["f1"], row["accuracy"]) == (0, 0, 0, 0)
+
+
+@pytest.mark.parametrize("span", [1, 3, 256])
+def test_streams_summed_in_blocks_equal_labelled_rows(spark, monkeypatch, span):
+    monkeypatch.setattr(chunks, "SPAN", span)
+    rng = random.Random(span)
+    tags = ["O", "B-a", "I-a", "B-b", "I-b", "E-a"]
+    rows = [
+        (f, s, p, rng.choice(tags), rng.choice(tags), rng.random() < 0.1)
+        for f in range(3) for s in rng.sample(range(20), 12) for p in range(rng.randint(1, 6))
+    ]
+    df = spark.createDataFrame(rows, "f int, s int, p int, gold string, pred string, is_break boolean")
+    for seq, by, streams in ((["f", "s"], [], []), (["f", "s"], ["f"], []), (["f", "s"], [], ["f"])):
+        labelled = chunks.chunk_counts(chunks.chunk_rows(df, seq, "p", "none", streams or by), by)
+        summed = chunks.score(df, seq, "p", "none", by, streams)
+        assert sorted(map(str, summed.select(labelled.columns).collect())) == sorted(map(str, labelled.collect()))
