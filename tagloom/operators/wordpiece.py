@@ -7,12 +7,14 @@ followed by one pass over the matches of each word.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.arrays import let
 from tagloom.functions.text import basic_tokens
-from tagloom.operators.lookup import lookup
+from tagloom.operators.lookup import lookup, lookup_ids
 from tagloom.workspace import store
 
 UNK = "[UNK]"
@@ -139,23 +141,55 @@ def word_dictionary(
     return store(full.withColumn("pieces", pieces).withColumn("pieces", shaped), "dictionary")
 
 
+Tokenizer = Callable[[DataFrame], DataFrame]
+
+
+def tokenizer_dictionary(
+    words: DataFrame, vocab: DataFrame, tokenizer: Tokenizer, unk_as_word: bool = False
+) -> DataFrame:
+    """The same table as ``word_dictionary`` gives, by any ``(word) -> (word, pieces array<string>)``.
+
+    The tokenizer gets distinct words and must return each of them once; a word it
+    leaves out or repeats, and a piece that is not in ``vocab``, is an error. Words it
+    adds are ignored; a null or empty list of pieces is an empty one.
+    """
+    made = store(tokenizer(words.select("word")).select("word", "pieces"), "tokenizer")
+    held = made.groupBy("word").agg(F.count("*").alias("times"), F.first("pieces").alias("names"))
+    wrong = F.raise_error(
+        F.concat(F.lit("the tokenizer must return every word once: "), F.coalesce("word", F.lit("null")))
+    ).cast("array<string>")
+    asked = words.select("word", "n").join(held, "word", "left")
+    asked = store(asked.withColumn("names", F.when(F.col("times") == 1, F.coalesce("names", F.array().cast("array<string>"))).otherwise(wrong)), "asked")
+    parts = asked.select("word", F.posexplode("names").alias("at", "piece"))
+    pieces = lookup_ids(parts, vocab, strict=True)
+    whole = pieces.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", "piece", F.col("id").cast("bigint").alias("id")))).alias("found"))
+    found = F.transform("found", lambda x: F.struct(x["piece"].alias("piece"), x["id"].alias("id")))
+    full = asked.select("word", "n").join(whole.select("word", found.alias("pieces")), "word", "left")
+    shaped = shape_pieces(F.coalesce("pieces", F.expr(NO_PIECES)), F.col("word"), unk_as_word=unk_as_word)
+    return store(full.withColumn("pieces", shaped), "dictionary")
+
+
 def tokenize(
     words: DataFrame,
     dictionary: DataFrame,
     vocab: DataFrame | None = None,
     lower: bool = True,
     unk_as_word: bool = False,
+    tokenizer: Tokenizer | None = None,
 ) -> DataFrame:
     """Attach ``pieces`` to every word row; a null word has none.
 
-    Words that are not in the dictionary are tokenised with ``vocab`` (and the options
-    the dictionary was made with) and join it; without ``vocab`` such a word is an
-    error.
+    Words that are not in the dictionary are tokenised with ``vocab`` (by ``tokenizer``,
+    if given, and with the options the dictionary was made with) and join it; without
+    ``vocab`` such a word is an error.
     """
     if vocab is not None:
         known = dictionary.select("word")
         unseen = word_counts(words.where("word IS NOT NULL")).join(known, "word", "left_anti")
-        unseen = word_dictionary(unseen, vocab, lower, unk_as_word)
+        if tokenizer is None:
+            unseen = word_dictionary(unseen, vocab, lower, unk_as_word)
+        else:
+            unseen = tokenizer_dictionary(store(unseen, "unseen"), vocab, tokenizer, unk_as_word)
         dictionary = store(dictionary.unionByName(unseen), "dictionary")
     found = lookup(words, dictionary, "word", weight="n")
     kind = found.schema["pieces"].dataType

@@ -400,6 +400,12 @@ def oracle_sql() -> dict[str, str]:
         PIECES,
         "SELECT doc_id, sent_id, count(*) AS n_pieces, sum((word_pos + 1) * id * (piece_idx + 1))::BIGINT AS checksum FROM pieces WHERE split <> 'train' GROUP BY 1, 2",
     )
+    q["tokenize_letters"] = _with(
+        LINES,
+        """SELECT doc_id, sent_id, sum(length(word))::BIGINT AS n_pieces,
+        sum((word_pos + 1) * list_sum([unicode(x)::BIGINT FOR x IN string_split(word, '')]))::BIGINT AS checksum FROM tok GROUP BY 1, 2""",
+        False,
+    )
     q["piece_ids"] = _with(PIECES, "SELECT piece, id, count(*) AS n FROM pieces GROUP BY 1, 2")
     q["ids_to_pieces"] = _with(PIECES, "SELECT id, piece, count(*) AS n FROM pieces GROUP BY 1, 2")
 

@@ -13,7 +13,7 @@ from tagloom.operators import chunks, decode, evaluate, features, labels, lookup
 from tagloom.operators import wordpiece as wp
 from tagloom.plans import corpus
 from tagloom.sources import readers, writers
-from tagloom.workspace import new_path, spread
+from tagloom.workspace import new_path, spread, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -144,10 +144,9 @@ def vocabulary(spark, sf_dir):
 
 @query
 def vocab_from_file(spark, sf_dir):
-    """The vocabulary written as lines in id order and read back by line number."""
+    """The vocabulary written as lines in id order, by several tasks, and read back by line number."""
     path = new_path(spark, "vocab-text")
-    ordered = corpus.vocab(spark, sf_dir).repartition(1).sortWithinPartitions("id")
-    ordered.select(F.col("piece").alias("value")).write.text(path)
+    writers.write_vocab(corpus.vocab(spark, sf_dir), path)
     return readers.read_vocab(spark, path)
 
 
@@ -175,6 +174,26 @@ def tokenize_unseen(spark, sf_dir):
     )
 
 
+def letters(words: DataFrame) -> DataFrame:
+    """A tokenizer of another kind: every character is a piece."""
+    return words.withColumn("pieces", F.filter(F.split("word", ""), lambda x: x != ""))
+
+
+@query
+def tokenize_letters(spark, sf_dir):
+    """All words cut by a tokenizer that is not the library's own."""
+    rows = corpus.words(spark, sf_dir)
+    counts = store(wp.word_counts(rows), "counts")
+    found = letters(counts).select(F.explode("pieces").alias("piece")).distinct()
+    vocab = store(found.select("piece", F.ascii("piece").cast("long").alias("id")), "letters")
+    dictionary = wp.tokenizer_dictionary(counts, vocab, letters)
+    ids = F.transform("pieces", lambda p: p["id"])
+    return wp.tokenize(rows, dictionary).select(*SEQ, "word_pos", ids.alias("ids")).groupBy(*SEQ).agg(
+        F.sum(F.size("ids")).cast("long").alias("n_pieces"),
+        F.sum((F.col("word_pos") + 1) * F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("checksum"),
+    )
+
+
 @query
 def piece_ids(spark, sf_dir):
     """Ids looked up piece by piece, an unknown piece being an error."""

@@ -160,3 +160,39 @@ def test_label_x_in_the_data_and_first_seen_ties(spark):
     words = spark.createDataFrame([(0, [1, 2]), (1, [1]), (2, [1]), (3, [1, 2])], "at int, pieces array<int>")
     top = labels.top_widths(labels.piece_histogram(words, ["at"]), "seen")
     assert [(r["rank"], r["width"]) for r in top.orderBy("rank").collect()] == [(1, 2), (2, 1)]
+
+
+def test_any_tokenizer(spark):
+    words = spark.createDataFrame([("ab", 2), ("", 1), ("cab", 1)], "word string, n long")
+    vocab = spark.createDataFrame([("a", 7), ("b", 8), ("c", 9)], "piece string, id long")
+
+    def letters(df):
+        return df.withColumn("pieces", F.filter(F.split("word", ""), lambda x: x != ""))
+
+    made = wp.tokenizer_dictionary(words, vocab, letters)
+    ids = {r.word: [p.id for p in r.pieces] for r in made.collect()}
+    assert ids == {"ab": [7, 8], "": [], "cab": [9, 7, 8]}
+    (cab,) = made.where("word = 'cab'").collect()
+    assert [(p.start, p.focus) for p in cab.pieces] == [(1, 1), (0, 0), (0, 0)]
+    rows = spark.createDataFrame([("ab",), ("ba",), (None,)], "word string")
+    found = wp.tokenize(rows, made, vocab, tokenizer=letters)
+    assert {r.word: [p.id for p in r.pieces] for r in found.collect()} == {"ab": [7, 8], "ba": [8, 7], None: []}
+    for bad in (lambda df: letters(df).where("word <> 'ab'"), lambda df: letters(df).union(letters(df))):
+        with pytest.raises(Exception, match="every word once"):
+            wp.tokenizer_dictionary(words, vocab, bad)
+    with pytest.raises(Exception, match="unknown"):
+        wp.tokenizer_dictionary(words, vocab.where("id < 9"), letters)
+
+
+def test_vocabulary_in_several_files(spark, tmp_path):
+    from tagloom.sources import readers, writers
+
+    vocab = spark.createDataFrame([(f"p{n}", n) for n in range(1000)], "piece string, id long")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        writers.write_vocab(vocab.repartition(5), str(tmp_path / "vocab"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(list((tmp_path / "vocab").glob("part-*"))) > 1
+    assert sorted(map(tuple, readers.read_vocab(spark, str(tmp_path / "vocab")).collect())) == sorted(map(tuple, vocab.collect()))
