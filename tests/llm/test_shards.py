@@ -78,3 +78,20 @@ def test_query(spark, tmp_path):
     assert sorted((r.doc_id or 0, r.size) for r in found) == [(0, 3), (1, 1), (2, 1), (2, 1), (3, 51)]
     assert {r.law for r in found} == {"bytes"} and all(0 <= r.shard < 8 and r.grown_shard is None for r in found)
     assert [r.text_crc32 for r in found if r.doc_id == 3] == [__import__("zlib").crc32(b"x" * 50)]
+
+
+def test_query_equals_its_law_on_a_whole_table(spark, sf_dir):
+    """Every row once, sizes and checksums from the texts, slots gapless, bytes of shards nearly equal."""
+    import zlib
+    from collections import Counter
+
+    texts = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    found = queries.op2_shards(spark, sf_dir).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in found) == Counter((i, len(t) + 1, zlib.crc32(t)) for i, t in texts)
+    sizes = Counter()
+    for r in found:
+        sizes[r.shard] += r.size
+    for s in range(queries.SHARDS):
+        assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
+    # Bytes of the shards are within two percent of each other.
+    assert max(sizes.values()) - min(sizes.values()) <= 0.02 * sum(sizes.values()) / queries.SHARDS
