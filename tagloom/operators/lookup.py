@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.workspace import BROADCAST_ROWS, is_small, store
 
@@ -93,3 +96,61 @@ def add_vectors(items: DataFrame, others: Sequence[tuple[DataFrame, str]], vecto
         joined = _checked(lookup(items, table.withColumnRenamed("vec", extra), key), extra, key, strict=True)
         items = joined.withColumn(vector, F.zip_with(vector, extra, lambda a, b: a + b)).drop(extra)
     return items
+
+
+def sum_vectors(items: DataFrame, tables: Sequence[tuple[DataFrame, str, str]], vector: str = "embedding") -> DataFrame:
+    """Items with ``vector``, the sum of one vector from each ``(table, key, column)``.
+
+    Tables of few rows and bytes become a matrix that every executor holds; rows then
+    stay where they are and all sums are made in one Arrow pass. A larger table is looked
+    up first. A key that is null, or without a vector, is an error; the sum is of doubles.
+    """
+    held, joined = [], []
+    spark = items.sparkSession
+    for n, (table, key, column) in enumerate(tables):
+        table = table.select(key, F.col(column).cast("array<double>").alias(f"_vec{n}"))
+        if is_small(table):
+            held.append((key, _matrix(table.where(f"_vec{n} IS NOT NULL").toArrow())))
+        else:
+            items = _checked(lookup(items, table, key), f"_vec{n}", key, strict=True)
+            joined.append(f"_vec{n}")
+    shared = spark.sparkContext.broadcast(held)
+    kept = [c for c in items.columns if c not in (*joined, vector)]
+    fields = [items.schema[c] for c in kept] + [T.StructField(vector, T.ArrayType(T.DoubleType()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [rows[_places(ids, batch.column(key), key)] for key, (ids, rows) in shared.value]
+            parts += [_rows(batch.column(c)) for c in joined]
+            total = parts[0]
+            for part in parts[1:]:
+                total = total + part
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * total.shape[1]
+            sums = pa.ListArray.from_arrays(pa.array(offsets), pa.array(total.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], sums], [*kept, vector])
+
+    return items.mapInArrow(run, T.StructType(fields))
+
+
+def _rows(lists: pa.Array) -> np.ndarray:
+    """A list column of one width as a matrix."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
+
+
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their vectors in the same order."""
+    ids = table.column(0).to_numpy()
+    order = np.argsort(ids)
+    return ids[order], _rows(table.column(1).combine_chunks())[order]
+
+
+def _places(ids: np.ndarray, keys: pa.Array, name: str) -> np.ndarray:
+    if keys.null_count:
+        raise ValueError(f"unknown {name}: null")
+    wanted = keys.to_numpy(zero_copy_only=False)
+    at = np.minimum(np.searchsorted(ids, wanted), max(len(ids) - 1, 0))
+    wrong = np.flatnonzero(ids[at] != wanted) if len(ids) else np.arange(len(wanted))
+    if len(wrong):
+        raise ValueError(f"unknown {name}: {wanted[wrong[0]]}")
+    return at

@@ -1,7 +1,8 @@
 """Sub-word tokenising through a dictionary of distinct words.
 
 Only distinct words are tokenised; the corpus then looks its words up. Greedy
-longest-match is an equality join of every possible substring with the vocabulary
+longest-match is one pass over a trie that every executor holds; with a vocabulary too
+large for that it is an equality join of every possible substring with the vocabulary
 followed by one pass over the matches of each word.
 """
 
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.arrays import let
 from tagloom.functions.text import basic_tokens
+from tagloom.operators import lookup as lookups
 from tagloom.operators.lookup import lookup, lookup_ids
+from tagloom.operators.trie import match_pieces
 from tagloom.workspace import store
 
 UNK = "[UNK]"
@@ -32,8 +35,16 @@ def wordpiece(tokens: DataFrame, vocab: DataFrame, unk: str = UNK, max_chars: in
     """``(token, …)`` distinct -> the same rows with ``pieces array<struct<piece,id>>``.
 
     A token with an unmatched position, or longer than ``max_chars``, becomes the
-    unknown piece. An empty token has no pieces.
+    unknown piece, and so does a null one. An empty token has no pieces. The vocabulary
+    becomes a trie if its rows and bytes are few (``is_small``), else it is joined.
     """
+    if lookups.is_small(vocab):
+        return match_pieces(tokens, vocab, unk, max_chars)
+    return _joined_wordpiece(tokens, vocab, unk, max_chars)
+
+
+def _joined_wordpiece(tokens: DataFrame, vocab: DataFrame, unk: str, max_chars: int) -> DataFrame:
+    """The same by a join of all substrings, for vocabularies of any size."""
     longest = vocab.agg(
         F.max(F.length("piece")).alias("m"), F.max(F.when(F.col("piece") == unk, F.col("id"))).alias("u")
     ).first()

@@ -605,6 +605,8 @@ pv AS (SELECT doc_id, pack_id, word_idx, {', '.join(f'round(max(score) FILTER (c
     )
     q["viterbi"] = _viterbi()
     q["seq_loglik"] = _loglik("SELECT doc_id, sent_id, round(ll, 4) AS log_likelihood FROM ll")
+    q["viterbi_long"] = q["viterbi"]
+    q["seq_loglik_long"] = q["seq_loglik"]
     q["mean_loglik"] = _loglik("SELECT round(avg(-ll), 4) AS loss FROM ll")
 
     q["chunk_spans"] = _with(

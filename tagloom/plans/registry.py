@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagloom.functions import arrays, tags, text
-from tagloom.operators import chunks, decode, evaluate, features, labels, lookup, packing, scan, tagger, training
+from tagloom.operators import chunks, decode, evaluate, features, labels, long_paths, lookup, packing, scan, tagger, training
 from tagloom.operators import wordpiece as wp
 from tagloom.plans import corpus
 from tagloom.sources import readers, writers
@@ -564,11 +564,11 @@ def embedding_gather(spark, sf_dir):
 
 @query
 def embedding_sum(spark, sf_dir):
-    vectors = _vectors(spark, sf_dir).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = lookup.gather_vectors(_vector_rows(spark, sf_dir), vectors)
-    types = vectors.where("vec_id < 2").select(F.col("vec_id").cast("int").alias("is_start"), F.col("embedding").alias("vec"))
-    positions = vectors.select(F.col("vec_id").alias("pos_id"), F.col("embedding").alias("vec"))
-    rows = lookup.add_vectors(rows, [(types, "is_start"), (positions, "pos_id")])
+    vectors = _vectors(spark, sf_dir).select("vec_id", "embedding")
+    types = vectors.where("vec_id < 2").select(F.col("vec_id").cast("int").alias("is_start"), "embedding")
+    positions = vectors.withColumnRenamed("vec_id", "pos_id")
+    tables = [(vectors, "vec_id"), (types, "is_start"), (positions, "pos_id")]
+    rows = lookup.sum_vectors(_vector_rows(spark, sf_dir), [(*t, "embedding") for t in tables])
     return _vector_sums(rows)
 
 
@@ -648,6 +648,24 @@ def seq_loglik(spark, sf_dir):
     return _rounded(rows.select(*SEQ, done.alias("log_likelihood")), 4, "log_likelihood")
 
 
+@query
+def viterbi_long(spark, sf_dir):
+    """``viterbi`` from one row a position, in blocks of 32 positions."""
+    rows = long_paths.viterbi_long(corpus.position_scores(spark, sf_dir), corpus.TRANSITIONS, SEQ, block=32)
+    return rows.groupBy(*SEQ).agg(
+        F.count("*").cast("int").alias("n"),
+        F.max_by("score", "pos").alias("score"),
+        F.sum(F.col("pred").cast("long") * (F.col("pos") + 1)).alias("path_sum"),
+    )
+
+
+@query
+def seq_loglik_long(spark, sf_dir):
+    """``seq_loglik`` from one row a position, in blocks of 32 positions."""
+    rows = corpus.position_scores(spark, sf_dir)
+    return _rounded(long_paths.path_log_likelihood_long(rows, corpus.TRANSITIONS, SEQ, block=32), 4, "log_likelihood")
+
+
 @query
 def mean_loglik(spark, sf_dir):
     rows = corpus.sentence_scores(spark, sf_dir)

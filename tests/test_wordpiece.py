@@ -56,6 +56,31 @@ def test_random_words(spark, monkeypatch, small):
     assert got == {t: brute(t, pieces) for t in tokens}
 
 
+def test_trie_and_join_agree(spark):
+    """Nulls, empty and long tokens, marks inside tokens, repeated pieces, wide characters, extra columns."""
+    rnd = random.Random(8)
+    letters = ["a", "b", "#", "é", "\U0001f600"]
+    pieces = ["".join(rnd.choices(letters, k=rnd.randint(1, 4))) for _ in range(40)]
+    pieces = ["[UNK]", "##", "#", *pieces, *["##" + p for p in pieces[::2]], *pieces[:5]]
+    vocab = spark.createDataFrame([(p, i) for i, p in enumerate(pieces)], "piece string, id long")
+    tokens = {"".join(rnd.choices(letters, k=rnd.randint(1, 12))) for _ in range(500)} | {"", "a" * 200, "a" * 201}
+    rows = [(t, i) for i, t in enumerate(sorted(tokens))] + [(None, -1)]
+    df = spark.createDataFrame(rows, "token string, s int").repartition(3)
+    by_trie = {r["token"]: (r["s"], [tuple(p) for p in r["pieces"]]) for r in wp.wordpiece(df, vocab).collect()}
+    first = vocab.groupBy("piece").agg(F.min("id").alias("id"))
+    by_join = wp._joined_wordpiece(df.withColumnRenamed("s", "n0"), first, "[UNK]", 200).collect()
+    assert by_trie == {r["token"]: (r["n0"], [tuple(p) for p in r["pieces"]]) for r in by_join}
+    assert by_trie[""][1] == [] and by_trie[None][1] == [("[UNK]", 0)]
+
+
+def test_trie_of_an_empty_vocabulary(spark):
+    none = spark.createDataFrame([], "piece string, id long")
+    df = spark.createDataFrame([("a",), ("",)], "token string")
+    got = {r["token"]: [tuple(p) for p in r["pieces"]] for r in wp.wordpiece(df, none).collect()}
+    assert got == {"a": [("[UNK]", None)], "": []}
+    assert wp.wordpiece(df.limit(0), none).count() == 0
+
+
 def words_frame(spark, *words):
     return spark.createDataFrame([(w, 1) for w in words], "word string, n long")
 
