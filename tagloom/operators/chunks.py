@@ -324,29 +324,73 @@ def score(
     return add_metrics(chunk_counts(chunk_rows(tagged, seq, pos, boundary, streams), by))
 
 
-def chunk_spans(tagged: DataFrame, seq: Sequence[str], pos: str = "pos", tag: str = "gold") -> DataFrame:
-    """One row per chunk: sequence, first and last position, type.
-
-    Chunks are numbered by their starts. An end mark closes the chunk numbered last
-    before it, at the position before the mark; the sequence's last position closes
-    a chunk that is still open.
-    """
-    order = W.partitionBy(*seq).orderBy(pos)
-    rows = tagged.withColumns({"gp": tag_prefix(F.col(tag)), "gt": tag_type(F.col(tag))})
-    rows = rows.withColumns({"prev": F.lag(F.struct("gp", "gt")).over(order), "before": F.lag(pos).over(order)})
+def _spanned(rows: DataFrame) -> DataFrame:
+    """Add whether a chunk starts at a row and whether one ends before it, from ``prev``."""
     prev_p, prev_t = F.coalesce(F.col("prev.gp"), F.lit("O")), F.coalesce(F.col("prev.gt"), F.lit(""))
-    rows = rows.withColumns(
+    return rows.withColumns(
         {
             "starts": chunk_starts(prev_p, prev_t, F.col("gp"), F.col("gt")),
             "ends": chunk_ends(prev_p, prev_t, F.col("gp"), F.col("gt")),
         }
     )
-    rows = rows.withColumns(
-        {
-            "no": F.sum(F.col("starts").cast("int")).over(order),
-            "is_last": F.lead(F.lit(1)).over(order).isNull(),
-        }
+
+
+def _numbered_blocks(rows: DataFrame, seq: list[str], pos: str, size: int) -> DataFrame:
+    """Rows with ``prev``, starts, ends, chunk numbers and ``is_last``, block by block.
+
+    A block is summed up by its first and last row and by the number of chunks that start
+    after its first row. Scanning those summaries tells each block the row before it and
+    how many chunks started before it.
+    """
+    block = [*seq, "blk"]
+    rows = rows.withColumn("blk", F.expr(f"`{pos}` div {size}"))
+    order = W.partitionBy(*block).orderBy(pos)
+    rows = _spanned(rows.withColumn("prev", F.lag("own").over(order)))
+    later = F.col("prev").isNotNull() & F.col("starts")
+    summary = rows.groupBy(*block).agg(
+        F.min_by("own", pos).alias("own"), F.max_by("own", pos).alias("tail"), F.sum(later.cast("long")).alias("later")
     )
+    heads = prior_values(store(summary, "summary"), ["blk"], {"prev": ("last", F.col("tail"))}, seq)
+    heads = _spanned(heads.select("*", "own.gp", "own.gt"))
+    heads = heads.select(*block, "prev", (F.col("later") + F.col("starts").cast("long")).alias("opened"))
+    heads = prior_values(store(heads, "heads"), ["blk"], {"ahead": ("sum", F.col("opened"))}, seq)
+    last = heads.groupBy(*seq).agg(F.max("blk").alias("blk")).withColumn("is_tail", F.lit(True))
+    heads = heads.join(last, block, "left").select(*block, F.col("prev").alias("earlier"), "ahead", "is_tail")
+    rows = rows.drop("starts", "ends").join(broadcast_if_small(store(heads, "starts")), block)
+    rows = _spanned(rows.withColumn("prev", F.coalesce("prev", "earlier")))
+    is_last = F.coalesce("is_tail", F.lit(False)) & F.lead(F.lit(1)).over(order).isNull()
+    return rows.withColumns({"no": F.col("ahead") + F.sum(F.col("starts").cast("long")).over(order), "is_last": is_last})
+
+
+def chunk_spans(
+    tagged: DataFrame,
+    seq: Sequence[str],
+    pos: str = "pos",
+    tag: str = "gold",
+    boundary: str = "sequence",
+    size: int = BLOCK,
+) -> DataFrame:
+    """One row per chunk: sequence, first and last position, type.
+
+    Chunks are numbered by their starts. An end mark closes the chunk numbered last
+    before it, at the position before the mark; the sequence's last position closes
+    a chunk that is still open. ``boundary="long_sequence"`` does the same in blocks of
+    ``size`` positions, for sequences without a length limit; without ``seq`` all rows are
+    one sequence. Its positions are integers, once each in a sequence, gaps allowed.
+    """
+    seq = list(seq)
+    rows = tagged.withColumns({"gp": tag_prefix(F.col(tag)), "gt": tag_type(F.col(tag))})
+    rows = rows.withColumn("own", F.struct("gp", "gt", F.col(pos).alias("at")))
+    if boundary == "sequence":
+        order = W.partitionBy(*seq).orderBy(pos)
+        rows = _spanned(rows.withColumn("prev", F.lag("own").over(order)))
+        number = F.sum(F.col("starts").cast("int")).over(order)
+        rows = rows.withColumns({"no": number, "is_last": F.lead(F.lit(1)).over(order).isNull()})
+    elif boundary == "long_sequence":
+        rows = _numbered_blocks(rows, seq, pos, size)
+    else:
+        raise ValueError(f"unknown boundary {boundary!r}")
+    rows = rows.withColumn("before", F.col("prev.at"))
 
     def mark(when: Column, no: Column, start: Column, end: Column, kind: Column) -> Column:
         return F.when(
@@ -354,7 +398,7 @@ def chunk_spans(tagged: DataFrame, seq: Sequence[str], pos: str = "pos", tag: st
         )
 
     none, at = F.lit(None), F.col(pos)
-    nothing, no_kind = none.cast("int"), none.cast("string")
+    nothing, no_kind = none.cast(tagged.schema[pos].dataType), none.cast("string")
     marks = F.array(
         mark(F.col("starts"), F.col("no"), at, nothing, F.col("gt")),
         mark(F.col("ends"), F.col("no") - F.col("starts").cast("int"), nothing, F.col("before"), no_kind),

@@ -24,7 +24,7 @@ from tagloom.workspace import broadcast_if_small, store
 #: Positions in one block.
 BLOCK = 4096
 # Blocks that take their steps together.
-TOGETHER = 64
+TOGETHER = 256
 ARROW = {"array<double>": pa.list_(pa.float64()), "int": pa.int32(), "double": pa.float64()}
 
 
@@ -124,16 +124,19 @@ def _enter(state: np.ndarray | None, link: Sequence[float], classes: int, total:
 
 
 def _forward(flat: pd.Series, enter: pd.Series, trans: np.ndarray, joined: np.ndarray):
-    """Best scores and the class before, for every position of blocks with known starts."""
+    """Best scores and the class before, for every position of blocks with known starts.
+
+    The last value holds, for each step, the places of the blocks that reach it.
+    """
     scores, lengths, starts, order, running = _stack(flat, len(trans))
     best, came = np.empty_like(scores), np.empty(scores.shape, dtype=np.int32)
     before = np.stack([np.asarray(enter.iloc[i], dtype=float) for i in order])
-    for t in range(int(lengths[0])):
-        at = starts[: running[t]] + t
+    steps_at = [starts[: running[t]] + t for t in range(int(lengths[0]))]
+    for t, at in enumerate(steps_at):
         steps = before[: len(at), :, None] + (trans if t else joined)
         came[at] = steps.argmax(axis=1)
         best[at] = before = steps.max(axis=1) + scores[at]
-    return best, came, lengths, starts, order
+    return best, came, lengths, starts, order, steps_at
 
 
 def viterbi_long(
@@ -166,13 +169,13 @@ def viterbi_long(
     known = blocks.join(broadcast_if_small(enters), [*seq, "blk"])
 
     def ends(b: pd.DataFrame) -> dict:
-        best, came, lengths, starts, order = _forward(b["v0"], b["enter"], trans, joined)
+        best, came, lengths, starts, order, steps_at = _forward(b["v0"], b["enter"], trans, joined)
+        label = np.tile(np.arange(classes), (len(order), 1))
+        for at in reversed(steps_at):
+            label[: len(at)] = came[at[:, None], label[: len(at)]]
         back, tail = [None] * len(order), [None] * len(order)
         for row, i in enumerate(order):
-            label = np.arange(classes)
-            for at in range(starts[row] + lengths[row] - 1, starts[row] - 1, -1):
-                label = came[at, label]
-            back[i], tail[i] = label.astype(float), best[starts[row] + lengths[row] - 1]
+            back[i], tail[i] = label[row].astype(float), best[starts[row] + lengths[row] - 1]
         return {"back": back, "tail": tail}
 
     tails = _map(known, [*seq, "blk"], [T.StructField("back", numbers), T.StructField("tail", numbers)], ends)
@@ -185,15 +188,16 @@ def viterbi_long(
     known = known.join(broadcast_if_small(last), [*seq, "blk"])
 
     def paths(b: pd.DataFrame) -> dict:
-        best, came, lengths, starts, order = _forward(b["v0"], b["enter"], trans, joined)
+        best, came, lengths, starts, order, steps_at = _forward(b["v0"], b["enter"], trans, joined)
+        label, path = b["last"].to_numpy()[order].copy(), np.empty(len(best), dtype=np.int32)
+        for at in reversed(steps_at):
+            path[at] = label[: len(at)]
+            label[: len(at)] = came[at, label[: len(at)]]
+        along = best[np.arange(len(best)), path]
         pred, score = [None] * len(order), [None] * len(order)
         for row, i in enumerate(order):
-            first, label = starts[row], int(b["last"].iloc[i])
-            path = np.empty(lengths[row], dtype=np.int32)
-            for t in range(lengths[row] - 1, -1, -1):
-                path[t] = label
-                label = came[first + t, label]
-            pred[i], score[i] = path, best[np.arange(first, first + lengths[row]), path]
+            own = slice(starts[row], starts[row] + lengths[row])
+            pred[i], score[i] = path[own], along[own]
         return {"pred": pred, "score": score}
 
     found = _map(known, [*seq, "at"], [T.StructField("pred", T.ArrayType(whole)), T.StructField("score", numbers)], paths)

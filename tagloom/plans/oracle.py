@@ -609,16 +609,22 @@ pv AS (SELECT doc_id, pack_id, word_idx, {', '.join(f'round(max(score) FILTER (c
     q["seq_loglik_long"] = q["seq_loglik"]
     q["mean_loglik"] = _loglik("SELECT round(avg(-ll), 4) AS loss FROM ll")
 
-    q["chunk_spans"] = _with(
-        TAGGED
-        + """,
-g0 AS (SELECT doc_id, sent_id, word_pos, split_part(gold, '-', 1) AS gp, CASE WHEN contains(gold, '-') THEN substr(gold, instr(gold, '-') + 1) ELSE '' END AS gt FROM tagged),
-g1 AS (SELECT *, coalesce(lag(gp) OVER w, 'O') AS lp, coalesce(lag(gt) OVER w, '') AS lt FROM g0 WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY word_pos)),
+    def spans(place: str, within: str) -> str:
+        apart = f"PARTITION BY {within}" if within else ""
+        keys = f"{within}, " if within else ""
+        return _with(
+            TAGGED
+            + f""",
+g0 AS (SELECT doc_id, sent_id, {place} AS at, split_part(gold, '-', 1) AS gp, CASE WHEN contains(gold, '-') THEN substr(gold, instr(gold, '-') + 1) ELSE '' END AS gt FROM tagged),
+g1 AS (SELECT *, coalesce(lag(gp) OVER w, 'O') AS lp, coalesce(lag(gt) OVER w, '') AS lt FROM g0 WINDOW w AS ({apart} ORDER BY at)),
 g2 AS (SELECT *, gp IN ('B','S','[',']') OR (lp IN ('E','S','O') AND gp IN ('E','I')) OR (gp NOT IN ('O','.') AND lt <> gt) AS s FROM g1),
-g3 AS (SELECT *, sum(s::INT) OVER (PARTITION BY doc_id, sent_id ORDER BY word_pos) AS grp FROM g2 WHERE gp <> 'O')""",
-        'SELECT doc_id, sent_id, min(word_pos)::INT AS "start", max(word_pos)::INT AS "end", min(gt) AS type FROM g3 GROUP BY doc_id, sent_id, grp',
-        False,
-    )
+g3 AS (SELECT *, sum(s::INT) OVER ({apart} ORDER BY at) AS grp FROM g2 WHERE gp <> 'O')""",
+            f'SELECT {keys}min(at) AS "start", max(at) AS "end", min(gt) AS type FROM g3 GROUP BY {keys}grp',
+            False,
+        )
+
+    q["chunk_spans"] = spans("word_pos::INT", "doc_id, sent_id")
+    q["chunk_spans_long"] = spans("((doc_id * 65536 + sent_id) * 65536 + word_pos)::BIGINT", "")
     seq = _score("tagged", "doc_id, sent_id", "word_pos")
     q["conll_score"] = _with(TAGGED + ",\n" + seq, _out(), False)
     q["conll_file_score"] = q["conll_score"]

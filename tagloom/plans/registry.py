@@ -681,6 +681,17 @@ def chunk_spans(spark, sf_dir):
     return chunks.chunk_spans(corpus.tagged(spark, sf_dir), SEQ)
 
 
+# A place in the whole corpus: document, line and word in one number.
+_PLACE = "(doc_id * 65536 + sent_id) * 65536 + pos"
+
+
+@query
+def chunk_spans_long(spark, sf_dir):
+    """Chunks of the whole corpus read as one sequence, in blocks of 64 documents."""
+    rows = corpus.tagged(spark, sf_dir).select(F.expr(_PLACE).alias("place"), "gold")
+    return chunks.chunk_spans(rows, [], "place", boundary="long_sequence", size=64 << 32)
+
+
 @query
 def conll_score(spark, sf_dir):
     return _metrics(chunks.score(corpus.tagged(spark, sf_dir), SEQ))

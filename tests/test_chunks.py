@@ -156,3 +156,26 @@ def test_streams_summed_in_blocks_equal_labelled_rows(spark, monkeypatch, span):
         labelled = chunks.chunk_counts(chunks.chunk_rows(df, seq, "p", "none", streams or by), by)
         summed = chunks.score(df, seq, "p", "none", by, streams)
         assert sorted(map(str, summed.select(labelled.columns).collect())) == sorted(map(str, labelled.collect()))
+
+
+@pytest.mark.parametrize("size", [1, 3, 8, 1 << 16])
+def test_spans_in_blocks(spark, size):
+    """Blocks of any size, gaps between positions and an empty table give what one window a sequence gives."""
+    rnd = random.Random(size)
+    seqs = [random_tags(rnd, "BIES", n) for n in (1, 2, 5, 30, 90)]
+    rows = [(s, i + (i // 7) * 20, g) for s, tags in enumerate(seqs) for i, g in enumerate(tags)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "s int, pos long, gold string").repartition(4)
+    plain = chunks.chunk_spans(df, ["s"])
+    cut = chunks.chunk_spans(df, ["s"], boundary="long_sequence", size=size)
+    assert cut.columns == plain.columns
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, plain.collect()))
+    assert chunks.chunk_spans(df.limit(0), ["s"], boundary="long_sequence", size=size).count() == 0
+
+
+def test_spans_of_one_sequence_without_keys(spark):
+    df = spark.createDataFrame([(i, g) for i, g in enumerate(["B-X", "I-X", "O", "S-Y", "I-X", "E-X"])], "pos int, gold string")
+    got = chunks.chunk_spans(df, [], boundary="long_sequence", size=2)
+    assert sorted(map(tuple, got.collect())) == [(0, 1, "X"), (3, 3, "Y"), (4, 5, "X")]
+    with pytest.raises(ValueError, match="unknown boundary"):
+        chunks.chunk_spans(df, [], boundary="other")

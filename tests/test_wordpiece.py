@@ -165,6 +165,25 @@ def test_missing_vectors_are_errors(spark):
         lookup.add_vectors(lookup.gather_vectors(items, vectors), [(places, "pos")]).collect()
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_vector_sums(spark, monkeypatch, small):
+    """Held matrices and joined tables give the same sums; missing, null and repeated keys, no rows."""
+    real = lookup.is_small
+    monkeypatch.setattr(lookup, "is_small", lambda table, *a: small and real(table, *a))
+    items = spark.createDataFrame([(1, 0, "p"), (2, 1, "q"), (2, 0, "r")], "vec_id int, pos int, embedding string")
+    words = spark.createDataFrame([(2, [3.0, 4.0]), (1, [1.0, 2.0])], "vec_id int, v array<float>")
+    places = spark.createDataFrame([(0, [0.5, 0.25]), (1, [8.0, 8.0])], "pos int, w array<double>")
+    tables = [(words, "vec_id", "v"), (places, "pos", "w")]
+    got = lookup.sum_vectors(items, tables, "total")
+    assert got.columns == ["vec_id", "pos", "embedding", "total"] or not small
+    assert {r["embedding"]: r["total"] for r in got.collect()} == {"p": [1.5, 2.25], "q": [11.0, 12.0], "r": [3.5, 4.25]}
+    assert lookup.sum_vectors(items.limit(0), tables).count() == 0
+    with pytest.raises(Exception, match="unknown pos: 1"):
+        lookup.sum_vectors(items, [tables[0], (places.where("pos = 0"), "pos", "w")]).collect()
+    with pytest.raises(Exception, match="unknown pos: null"):
+        lookup.sum_vectors(items.withColumn("pos", F.lit(None).cast("int")), tables).collect()
+
+
 @pytest.mark.parametrize("weight", [None, "n"])
 def test_heavy_keys_are_spread(spark, weight):
     rows = spark.createDataFrame([(n, "hot" if n % 3 == 0 else f"k{n % 50}") for n in range(900)] + [(901, None)], "at int, word string")
