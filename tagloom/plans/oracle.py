@@ -615,11 +615,11 @@ pv AS (SELECT doc_id, pack_id, word_idx, {', '.join(f'round(max(score) FILTER (c
         return _with(
             TAGGED
             + f""",
-g0 AS (SELECT doc_id, sent_id, {place} AS at, split_part(gold, '-', 1) AS gp, CASE WHEN contains(gold, '-') THEN substr(gold, instr(gold, '-') + 1) ELSE '' END AS gt FROM tagged),
-g1 AS (SELECT *, coalesce(lag(gp) OVER w, 'O') AS lp, coalesce(lag(gt) OVER w, '') AS lt FROM g0 WINDOW w AS ({apart} ORDER BY at)),
+g0 AS (SELECT doc_id, sent_id, {place} AS k, split_part(gold, '-', 1) AS gp, CASE WHEN contains(gold, '-') THEN substr(gold, instr(gold, '-') + 1) ELSE '' END AS gt FROM tagged),
+g1 AS (SELECT *, coalesce(lag(gp) OVER w, 'O') AS lp, coalesce(lag(gt) OVER w, '') AS lt FROM g0 WINDOW w AS ({apart} ORDER BY k)),
 g2 AS (SELECT *, gp IN ('B','S','[',']') OR (lp IN ('E','S','O') AND gp IN ('E','I')) OR (gp NOT IN ('O','.') AND lt <> gt) AS s FROM g1),
-g3 AS (SELECT *, sum(s::INT) OVER ({apart} ORDER BY at) AS grp FROM g2 WHERE gp <> 'O')""",
-            f'SELECT {keys}min(at) AS "start", max(at) AS "end", min(gt) AS type FROM g3 GROUP BY {keys}grp',
+g3 AS (SELECT *, sum(s::INT) OVER ({apart} ORDER BY k) AS grp FROM g2 WHERE gp <> 'O')""",
+            f'SELECT {keys}min(k) AS "start", max(k) AS "end", min(gt) AS type FROM g3 GROUP BY {keys}grp',
             False,
         )
 
