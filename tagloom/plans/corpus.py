@@ -267,10 +267,12 @@ def position_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tag rows of ten runs: each run disturbs the gold tags at its own rate."""
-    rows = tagged_sentences(spark, sf_dir, by_doc=True).drop("pred")
-    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(100), F.lit(1000), F.lit(100))))
-    rows = rows.selectExpr("*", f"{_pred('(11 + step div 100)')} AS pred")
-    return rows.select(
-        "step", "doc_id", "sent_id", F.posexplode(F.arrays_zip("gold", "pred")).alias("pos", "t")
-    ).select("step", "doc_id", "sent_id", "pos", "t.gold", "t.pred")
+    """``(doc_id, sent_id, step, tags)``: gold tags (null step) and those of ten runs.
+
+    Each run disturbs the gold tags at its own rate.
+    """
+    rows = tagged_sentences(spark, sf_dir, by_doc=True).select("doc_id", "sent_id", "gold")
+    steps = F.expr("concat(array(cast(NULL AS int)), sequence(100, 1000, 100))")
+    rows = rows.withColumn("step", F.explode(steps))
+    pred = _pred("(11 + step div 100)")
+    return rows.selectExpr("doc_id", "sent_id", "step", f"CASE WHEN step IS NULL THEN gold ELSE {pred} END AS tags")

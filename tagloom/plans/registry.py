@@ -9,7 +9,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagloom.functions import arrays, tags, text
-from tagloom.operators import chunks, decode, evaluate, features, labels, long_paths, lookup, packing, scan, tagger, training
+from tagloom.operators import (
+    chunks,
+    decode,
+    evaluate,
+    features,
+    labels,
+    long_paths,
+    lookup,
+    packing,
+    run_scoring,
+    scan,
+    tagger,
+    training,
+)
 from tagloom.operators import wordpiece as wp
 from tagloom.plans import corpus
 from tagloom.sources import readers, writers
@@ -737,8 +750,8 @@ def score_report(spark, sf_dir):
 
 @query
 def score_by_run(spark, sf_dir):
-    rows = corpus.run_predictions(spark, sf_dir)
-    return _metrics(chunks.score(rows, ["step", *SEQ], by=["step"]), "step")
+    """Ten runs against gold tags that are read once."""
+    return _metrics(run_scoring.score_runs(corpus.run_predictions(spark, sf_dir), SEQ, "step"), "step")
 
 
 def _runs(spark, sf_dir):
