@@ -29,19 +29,67 @@ FAN = 1024
 SPARSE = 64
 
 
+class _Links:
+    """Where the next pack starts, for every sentence at which a pack can start.
+
+    ``firsts`` are the first rows of consecutive groups of sentences, each packed on its
+    own. A group has a node for each of its sentences (an empty buffer before it) and one
+    for its end. The sentences that still fit are found in the running total by binary
+    search, for all nodes at once. ``to`` is the next node, or the node itself if all that
+    follows fits; ``cost`` is the number of pack ids used on the way.
+    """
+
+    def __init__(self, sizes: np.ndarray, firsts: np.ndarray, limit: int, keep_empty: bool):
+        self.sizes, self.firsts, self.limit = sizes, firsts, limit
+        self.ends = np.append(firsts[1:], len(sizes))
+        # A sentence above the limit makes the total jump too far to be passed over.
+        self.total = np.concatenate([[0], np.cumsum(sizes)])
+        self.over, self.parts = sizes > limit, -(-sizes // limit)
+        group = np.repeat(np.arange(len(firsts)), self.ends - firsts)
+        rows = np.arange(len(sizes))
+        self.node = rows + group
+        nodes = len(sizes) + len(firsts)
+        self.row = np.empty(nodes, np.int64)  # the row a node stands before
+        self.row[self.node] = rows
+        self.row[self.ends + np.arange(len(firsts))] = self.ends
+        self.to, self.cost = np.arange(nodes), np.zeros(nodes, np.int64)
+        to, cost = self._next(group, rows, np.zeros(len(sizes), np.int64))
+        self.to[self.node] = np.where(to < 0, self.node, to)
+        self.cost[self.node] = np.where(self.over, self.parts + keep_empty, cost)
+
+    def _next(self, group: np.ndarray, rows: np.ndarray, fill: np.ndarray):
+        """Next node after a pack that holds ``fill`` before ``rows``, -1 if all fits, and ids used."""
+        reach = np.searchsorted(self.total, self.total[rows] + self.limit - fill, "right") - 1
+        done = reach >= self.ends[group]
+        reach = np.where(done, self.firsts[group], reach)
+        flushed = self.over[reach]
+        cost = np.where(done, 0, 1 + np.where(flushed, self.parts[reach], 0))
+        return np.where(done, -1, reach + group + flushed), cost
+
+    def enter(self, group: np.ndarray, fill: np.ndarray):
+        """First node with an empty buffer for groups that begin with ``fill``, and ids used."""
+        to, cost = self._next(group, self.firsts[group], fill)
+        empty = fill == 0
+        return np.where(empty, self.firsts[group] + group, to), np.where(empty, 0, cost)
+
+
 def _block_table(sizes: np.ndarray, limit: int, keep_empty: bool):
-    """Outgoing fill and pack ids used, for each incoming fill 0..limit."""
+    """Outgoing fill and pack ids used, for each incoming fill 0..limit.
+
+    Links are doubled until all of them lead to the last pack of the block.
+    """
+    links = _Links(sizes, np.zeros(1, np.int64), limit, keep_empty)
+    to, used = links.to, links.cost
+    while True:
+        further = to[to]
+        if (further == to).all():
+            break
+        to, used = further, used + used[to]
     fill = np.arange(limit + 1)
-    used = np.zeros(limit + 1, dtype=np.int64)
-    for n in sizes:
-        if n > limit:
-            used += (1 if keep_empty else (fill > 0)) + -(-n // limit)
-            fill = np.zeros_like(fill)
-        else:
-            over = fill + n > limit
-            used += over
-            fill = np.where(over, n, fill + n)
-    return fill, used
+    node, cost = links.enter(np.zeros(limit + 1, np.int64), fill)
+    total = links.total
+    left = total[-1] - total[links.row[to]]
+    return np.where(node < 0, fill + total[-1], left[node]), np.where(node < 0, 0, cost + used[node])
 
 
 def _walk(tables: pd.DataFrame, fill: int, pack: int) -> list[tuple[int, int]]:
@@ -107,32 +155,41 @@ def _block_starts(rows: DataFrame, shard: list[str], limit: int, keep_empty: boo
     return starts
 
 
-def _fill(sizes: np.ndarray, fill: int, pack: int, limit: int, keep_empty: bool):
-    """Pack, offset and empty-buffer flag of consecutive sentences, and the state after them.
+def _fill(sizes: np.ndarray, firsts: np.ndarray, fill: np.ndarray, pack: np.ndarray, limit: int, keep_empty: bool):
+    """Pack, offset and empty-buffer flag of the sentences of consecutive groups, all at once.
 
-    One step for each pack or oversize sentence: the sentences that still fit are
-    found in the running total by binary search.
+    A group starts at its row in ``firsts`` with its ``fill`` and ``pack``. Also gives the fill
+    and pack after the last group. Starts of packs are found by doubling the links.
     """
-    packs, offsets = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
-    empties = np.zeros(len(sizes), bool)
-    total = np.concatenate([[0], np.cumsum(sizes)])
-    # A sentence above the limit makes the total jump too far to be passed over.
-    at = 0
-    while at < len(sizes):
-        n = int(sizes[at])
-        if n > limit:
-            empties[at] = fill == 0
-            pack += 1 if keep_empty or fill else 0
-            packs[at], offsets[at] = pack, 0
-            pack, fill, at = pack - (-n // limit), 0, at + 1
-            continue
-        if fill + n > limit:
-            pack, fill = pack + 1, 0
-        to = int(np.searchsorted(total, total[at] + limit - fill, "right")) - 1
-        packs[at:to] = pack
-        offsets[at:to] = fill + total[at:to] - total[at]
-        fill, at = fill + int(total[to] - total[at]), to
-    return packs, offsets, empties, fill, pack
+    links = _Links(sizes, firsts, limit, keep_empty)
+    groups = np.arange(len(firsts))
+    node, cost = links.enter(groups, fill)
+    reached = np.zeros(len(links.to), bool)
+    reached[node[node >= 0]] = True
+    jump = links.to
+    while True:
+        reached[jump[reached]] = True
+        further = jump[jump]
+        if (further == jump).all():
+            break
+        jump = further
+    starts = np.flatnonzero(reached)
+    # A group's opening pack comes first, at the fill it starts with; then its reached nodes.
+    of = np.searchsorted(links.ends + groups, starts)
+    # A group's opening pack comes first, at the fill it starts with; then its reached nodes.
+    keys = np.concatenate([2 * (firsts + groups), 2 * starts + 1])
+    order = np.argsort(keys)
+    owner = np.concatenate([groups, of])[order]
+    fresh = order >= len(groups)
+    base = np.concatenate([links.total[firsts] - fill, links.total[links.row[starts]]])[order]
+    used = np.cumsum(np.concatenate([cost, links.cost[starts]])[order])
+    ahead = np.append(0, used[:-1])
+    number = pack[owner] + ahead - ahead[~fresh][owner]
+    segment = np.searchsorted(keys[order], 2 * links.node + 1, "right") - 1
+    own = fresh[segment] & (keys[order][segment] == 2 * links.node + 1)
+    packs = number[segment] + np.where(links.over, np.where(own, int(keep_empty), 1), 0)
+    offsets = np.where(links.over, 0, links.total[:-1] - base[segment])
+    return packs, offsets, links.over & own, int(links.total[-1] - base[-1]), int(number[-1])
 
 
 def pack_sentences(
@@ -187,15 +244,13 @@ def pack_sentences(
             if pdf.empty:
                 continue
             keys = pdf[[*shard, "block"]]
-            new = np.flatnonzero(np.append(True, (keys.iloc[1:].to_numpy() != keys.iloc[:-1].to_numpy()).any(axis=1)))
-            parts = []
-            for a, b in zip(new, np.append(new[1:], len(pdf))):
-                key = tuple(keys.iloc[a])
-                if key != at:
-                    at, fill, pack = key, int(pdf["fill_in"].iloc[a]), int(pdf["pack_in"].iloc[a])
-                *found, fill, pack = _fill(pdf["n"].to_numpy()[a:b], fill, pack, limit, keep_empty)
-                parts.append(found)
-            packs, offsets, empties = (np.concatenate(x) for x in zip(*parts))
+            firsts = np.flatnonzero(np.append(True, (keys.iloc[1:].to_numpy() != keys.iloc[:-1].to_numpy()).any(axis=1)))
+            fills, opened = (pdf[c].to_numpy()[firsts].astype(np.int64) for c in ("fill_in", "pack_in"))
+            if tuple(keys.iloc[0]) == at:  # the block goes on from the batch before
+                fills[0], opened[0] = fill, pack
+            at = tuple(keys.iloc[-1])
+            *found, fill, pack = _fill(pdf["n"].to_numpy(), firsts, fills, opened, limit, keep_empty)
+            packs, offsets, empties = found
             out = pdf[[*shard, "sent_id", "n"]].copy()
             yield out.assign(pack_id=packs, offset=offsets.astype(np.int32), empty_before=empties)
 

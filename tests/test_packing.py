@@ -187,3 +187,40 @@ def test_sparse_ids_and_deep_levels(spark, keep_empty, shard):
         for x, b, f in ((df, 4, 3), (dense, 1000, 1000))
     )
     assert got == plain
+
+
+def step_by_step(sizes, fill, pack, limit, keep_empty):
+    out = []
+    for n in sizes:
+        if n > limit:
+            first = pack + (1 if keep_empty or fill else 0)
+            out.append((first, 0, fill == 0))
+            fill, pack = 0, first - (-n // limit)
+        else:
+            if fill + n > limit:
+                fill, pack = 0, pack + 1
+            out.append((pack, fill, False))
+            fill += n
+    return out, fill, pack
+
+
+@pytest.mark.parametrize("keep_empty", [True, False])
+def test_linked_packs_equal_single_steps(keep_empty):
+    """Several groups at once, from any fill; and the table of all fills."""
+    rnd = random.Random(4)
+    for _ in range(300):
+        limit = rnd.randint(1, 12)
+        groups = [[rnd.choice([1, 1, 2, 3, 5, 9, 13, 30]) for _ in range(rnd.randint(1, 12))] for _ in range(rnd.randint(1, 4))]
+        fills = [rnd.randint(0, limit) for _ in groups]
+        opened = [rnd.randint(0, 50) for _ in groups]
+        sizes = np.array([n for g in groups for n in g])
+        firsts = np.cumsum([0, *map(len, groups)])[:-1]
+        packs, offsets, empties, fill, pack = packing._fill(
+            sizes, firsts, np.array(fills), np.array(opened), limit, keep_empty
+        )
+        wanted = [step_by_step(*g, limit, keep_empty) for g in zip(groups, fills, opened)]
+        assert list(zip(packs, offsets, empties)) == [x for out, _, _ in wanted for x in out]
+        assert (fill, pack) == wanted[-1][1:]
+        table, used = packing._block_table(np.array(groups[0]), limit, keep_empty)
+        for f in range(limit + 1):
+            assert (table[f], used[f]) == step_by_step(groups[0], f, 0, limit, keep_empty)[1:]
