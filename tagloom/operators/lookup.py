@@ -60,9 +60,15 @@ def lookup(
     return spread.join(copies.drop("_copies"), [key, "_copy"], how).drop("_copy")
 
 
-def lookup_ids(items: DataFrame, vocab: DataFrame, strict: bool = False) -> DataFrame:
-    """Piece to id; in strict mode a piece missing from the vocabulary is an error."""
-    return _checked(lookup(items, vocab.select("piece", "id"), "piece"), "id", "piece", strict)
+def lookup_ids(
+    items: DataFrame, vocab: DataFrame, strict: bool = False, weight: str | None = None, **limits: int
+) -> DataFrame:
+    """Piece to id; in strict mode a piece missing from the vocabulary is an error.
+
+    ``weight`` and ``limits`` are those of :func:`lookup`.
+    """
+    table = vocab.select("piece", "id", *([weight] if weight else []))
+    return _checked(lookup(items, table, "piece", weight=weight, **limits), "id", "piece", strict)
 
 
 def lookup_pieces(items: DataFrame, vocab: DataFrame, strict: bool = False) -> DataFrame:

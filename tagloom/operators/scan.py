@@ -10,13 +10,16 @@ and go through the same steps under these.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tagloom.workspace import store
+from tagloom.workspace import broadcast_if_small, store
 
 BLOCK = 1 << 16
 # Totals that one window may hold.
@@ -124,3 +127,64 @@ def rank_ids(df: DataFrame, order: Sequence[Column | str], name: str = "id") ->
     return placed.join(F.broadcast(offsets), "_part").select(
         *df.columns, (F.col("_ahead") + F.col("_at")).alias(name)
     )
+
+
+def count_in_place(rows: DataFrame, group: str, segment: str, flag: Column) -> DataFrame:
+    """Number rows where they are read: adds ``idx``, ``flags`` and ``last_flag``.
+
+    ``idx`` is the 0-based number of a row in its ``group`` (text), ``flags`` the number of
+    rows before it for which ``flag`` holds, ``last_flag`` the ``idx`` of the latest of them
+    (null without one). The rows of one integer ``segment`` of a group must come one after
+    another in one task, in their order, as the splits of a text file do.
+
+    Counts run inside the reading task and are written with the rows, so the input is read
+    once and no row is exchanged; only one total a segment is, to start each segment.
+    """
+    counted = rows.withColumn("_flag", F.coalesce(flag, F.lit(False)))
+    added = [T.StructField(c, T.LongType()) for c in ("_at", "_flags", "_last")]
+    schema = T.StructType([*counted.schema.fields, *added])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, at, flags, last = None, 0, 0, -1  # the open segment, and its counts so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(group).dictionary_encode()
+            name, part = names.indices.to_numpy(), batch.column(segment).to_numpy()
+            on = batch.column("_flag").to_numpy(zero_copy_only=False)
+            row = np.arange(len(part))
+            new = np.append(True, (name[1:] != name[:-1]) | (part[1:] != part[:-1]))
+            goes_on = (names.dictionary[name[0]].as_py(), part[0]) == place
+            start = np.maximum.accumulate(np.where(new, row, 0))
+            opened = goes_on & (start == 0)
+            total = np.append(0, np.cumsum(on))
+            own_at = row - start + np.where(opened, at, 0)
+            own_flags = total[:-1] - total[start] + np.where(opened, flags, 0)
+            latest = np.append(-1, np.maximum.accumulate(np.where(on, row, -1))[:-1])
+            own_last = np.where(latest >= start, own_at[latest], np.where(opened, last, -1))
+            place = (names.dictionary[name[-1]].as_py(), part[-1])
+            at, flags = int(own_at[-1]) + 1, int(own_flags[-1]) + int(on[-1])
+            last = int(own_at[-1] if on[-1] else own_last[-1])
+            more = [pa.array(own_at), pa.array(own_flags), pa.array(own_last, mask=own_last < 0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema.names)
+
+    counted = store(counted.mapInArrow(count, schema), "counted")
+    totals = counted.groupBy(group, segment).agg(
+        F.count("*").alias("_n"),
+        F.sum(F.col("_flag").cast("long")).alias("_on"),
+        F.max(F.when(F.col("_flag"), F.col("_at"))).alias("_final"),
+    )
+    before = W.partitionBy(group).orderBy(segment).rowsBetween(W.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    totals = totals.withColumns(
+        {"_rows": F.coalesce(F.sum("_n").over(before), none), "_on": F.coalesce(F.sum("_on").over(before), none)}
+    )
+    latest = F.last(F.col("_rows") + F.col("_final"), ignorenulls=True).over(before)
+    starts = store(totals.select(group, segment, "_rows", "_on", latest.alias("_early")), "starts")
+    placed = counted.join(broadcast_if_small(starts), [group, segment])
+    return placed.select(
+        *rows.columns,
+        (F.col("_rows") + F.col("_at")).alias("idx"),
+        (F.col("_on") + F.col("_flags")).alias("flags"),
+        F.coalesce(F.col("_rows") + F.col("_last"), "_early").alias("last_flag"),
+    )

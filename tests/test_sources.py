@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,8 @@ from tagloom.functions import text
 from tagloom.operators import chunks, training
 from tagloom.schemas import FEATURES
 from tagloom.sources import readers, writers
-from tagloom.streaming.rows import stream_tokens
+from tagloom.streaming.rows import stream_ids, stream_tokens
+from tagloom.workspace import store
 
 
 def put(path, text):
@@ -34,6 +37,34 @@ def test_line_numbers_over_many_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_sentences_over_many_blocks(spark, tmp_path, batch):
+    """Sentence and word numbers where blocks, batches and runs of blank lines meet."""
+    rnd = random.Random(3)
+    wanted = set()
+    for name in ("a.tsv", "b.tsv", "c.tsv"):
+        lines = [rnd.choice(["", "", f"w{i}\tO", f"word{i}\tB-X"]) for i in range(900)]
+        put(tmp_path / name, "\n".join(lines[: 0 if name == "b.tsv" else 900]))
+        sent = pos = 0
+        for line in lines if name != "b.tsv" else []:
+            if line:
+                wanted.add((name, sent, pos, line.split("\t")[0]))
+                pos += 1
+            else:
+                sent, pos = sent + 1, 0
+    sizes = {"spark.sql.files.maxPartitionBytes": "800", "spark.sql.execution.arrow.maxRecordsPerBatch": batch}
+    old = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        rows = readers.read_tokens(spark, str(tmp_path / "*.tsv")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(rows) == len(wanted)
+    assert {(r["file"].rsplit("/", 1)[1], r["sent_id"], r["word_pos"], r["word"]) for r in rows} == wanted
+
+
 def test_vocab_keeps_last_id(spark, tmp_path):
     path = put(tmp_path / "vocab.txt", "a\n b \nc\na\n")
     assert {r["piece"]: r["id"] for r in readers.read_vocab(spark, path).collect()} == {"a": 3, "b": 1, "c": 2}
@@ -154,6 +185,28 @@ def test_stream_tokens(spark, tmp_path):
     assert sorted(r["token"] for r in spark.table("tokens_out").collect()) == sorted(["hello", ",", "you", "x"])
 
 
+@pytest.mark.parametrize("small,heavy", [(10, False), (0, True)])
+def test_stream_ids(spark, tmp_path, small, heavy):
+    """A file stream against a vocabulary that is broadcast, or too large and with a hot piece."""
+    src = tmp_path / "in"
+    src.mkdir()
+    put(src / "a.txt", "the cat the dog\nthe emu\n")
+    vocab = [("the", 4, 90), ("cat", 5, 9), ("dog", 6, 1), ("rare", 7, 0)]
+    vocab = store(spark.createDataFrame(vocab, "piece string, id long, n long"), "vocab")
+    items = stream_tokens(spark.readStream.text(str(src))).withColumnRenamed("token", "piece")
+    found = stream_ids(items, vocab, "n", batch_rows=1000, small=small, task_rows=300)
+    name = f"ids_out_{small}"
+    run = found.writeStream.format("memory").queryName(name).start()
+    run.processAllAvailable()
+    plan = run._jsq.explainInternal(False)
+    put(src / "b.txt", "cat the\n")
+    run.processAllAvailable()
+    run.stop()
+    ids = sorted((r["piece"], r["id"]) for r in spark.table(name).select("piece", F.coalesce("id", F.lit(-1)).alias("id")).collect())
+    assert ids == [("cat", 5)] * 2 + [("dog", 6), ("emu", -1)] + [("the", 4)] * 4
+    assert ("_copy" in plan) == heavy
+
+
 def test_context_across_blocks(spark):
     df = spark.createDataFrame([(s, i, i * 3 % 7) for s in (0, 1) for i in range(50)], "s int, pos int, v int")
     whole = training.context_features(df, F.col("v"), (3, 7, 2), ["s"], "pos")
