@@ -407,6 +407,11 @@ def oracle_sql() -> dict[str, str]:
         False,
     )
     q["piece_ids"] = _with(PIECES, "SELECT piece, id, count(*) AS n FROM pieces GROUP BY 1, 2")
+    q["stream_piece_ids"] = _with(
+        PIECES,
+        f"""SELECT piece, id, count(*) AS n FROM (SELECT unnest({_basic('text')}) AS piece FROM documents) t
+        LEFT JOIN (SELECT DISTINCT piece, id FROM pieces) v USING (piece) GROUP BY 1, 2""",
+    )
     q["ids_to_pieces"] = _with(PIECES, "SELECT id, piece, count(*) AS n FROM pieces GROUP BY 1, 2")
 
     q["parse_tag"] = _with(

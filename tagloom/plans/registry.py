@@ -26,6 +26,7 @@ from tagloom.operators import (
 from tagloom.operators import wordpiece as wp
 from tagloom.plans import corpus
 from tagloom.sources import readers, writers
+from tagloom.streaming import rows as streams
 from tagloom.workspace import new_path, spread, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,6 +215,21 @@ def piece_ids(spark, sf_dir):
     return lookup.lookup_ids(rows, corpus.vocab(spark, sf_dir), strict=True).select("piece", "id", "n")
 
 
+@query
+def stream_piece_ids(spark, sf_dir):
+    """Documents read as a stream of files: ids of their tokens, spread by stored piece counts."""
+    vocab = store(piece_ids(spark, sf_dir), "weighted_vocab")
+    kind = corpus.documents(spark, sf_dir).select("doc_id", "text").schema
+    # A pattern, because a stream's path is a folder or a pattern.
+    docs = spark.readStream.schema(kind).parquet(f"{sf_dir}/documents.parquet*")
+    items = streams.stream_tokens(docs, "text").withColumnRenamed("token", "piece")
+    out = new_path(spark, "stream_ids")
+    sink = streams.stream_ids(items, vocab, "n").writeStream.format("parquet")
+    sink = sink.option("checkpointLocation", new_path(spark, "stream_state")).trigger(availableNow=True)
+    sink.start(out).awaitTermination()
+    return spark.read.parquet(out).groupBy("piece", "id").agg(F.count("*").alias("n"))
+
+
 @query
 def ids_to_pieces(spark, sf_dir):
     rows = corpus.pieces(spark, sf_dir).groupBy("id").agg(F.count("*").alias("n"))
