@@ -14,6 +14,8 @@ from tagloom.workspace import BROADCAST_ROWS, is_small, store
 
 # Rows of one key that a task may get; a key with more is spread over several tasks.
 TASK_ROWS = 1_000_000
+# Bytes of the largest table of vectors that executors hold whole.
+VECTOR_BYTES = 192 << 20
 
 
 def lookup(
@@ -86,10 +88,23 @@ def _checked(joined: DataFrame, found: str, key: str, strict: bool) -> DataFrame
 
 
 def gather_vectors(items: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Attach to every item the vector with its id; an id without one is an error."""
+    """Attach to every item the vector with its id; an id without one is an error.
+
+    A table of up to ``VECTOR_BYTES`` goes to every executor, and items stay where they are.
+    """
+    if _held(vectors, vector):
+        values = vectors.select(key, *[c for c in vectors.columns if c != key])
+        return _checked(items.join(F.broadcast(values), key, "left"), vector, key, strict=True)
     return _checked(lookup(items, vectors, key), vector, key, strict=True)
 
 
+def _held(vectors: DataFrame, vector: str) -> bool:
+    """True when a table of numeric vectors takes at most ``VECTOR_BYTES``, its key included."""
+    size = 4 if vectors.schema[vector].dataType.elementType == T.FloatType() else 8
+    sums = vectors.agg(F.count("*").alias("rows"), F.sum(F.size(vector)).alias("cells")).first()
+    return sums["rows"] * 8 + (sums["cells"] or 0) * size <= VECTOR_BYTES
+
+
 def add_vectors(items: DataFrame, others: Sequence[tuple[DataFrame, str]], vector: str = "embedding") -> DataFrame:
     """Add further vectors, each found by its own key column, to ``vector``.
 
@@ -107,15 +122,17 @@ def add_vectors(items: DataFrame, others: Sequence[tuple[DataFrame, str]], vecto
 def sum_vectors(items: DataFrame, tables: Sequence[tuple[DataFrame, str, str]], vector: str = "embedding") -> DataFrame:
     """Items with ``vector``, the sum of one vector from each ``(table, key, column)``.
 
-    Tables of few rows and bytes become a matrix that every executor holds; rows then
+    Tables of up to ``VECTOR_BYTES`` become a matrix that every executor holds; rows then
     stay where they are and all sums are made in one Arrow pass. A larger table is looked
     up first. A key that is null, or without a vector, is an error; the sum is of doubles.
     """
     held, joined = [], []
     spark = items.sparkSession
     for n, (table, key, column) in enumerate(tables):
-        table = table.select(key, F.col(column).cast("array<double>").alias(f"_vec{n}"))
-        if is_small(table):
+        table = table.select(key, F.col(column).alias(f"_vec{n}"))
+        if table.schema[f"_vec{n}"].dataType.elementType != T.FloatType():
+            table = table.withColumn(f"_vec{n}", F.col(f"_vec{n}").cast("array<double>"))
+        if _held(table, f"_vec{n}"):
             held.append((key, _matrix(table.where(f"_vec{n} IS NOT NULL").toArrow())))
         else:
             items = _checked(lookup(items, table, key), f"_vec{n}", key, strict=True)
@@ -128,7 +145,7 @@ def sum_vectors(items: DataFrame, tables: Sequence[tuple[DataFrame, str, str]],
         for batch in batches:
             parts = [rows[_places(ids, batch.column(key), key)] for key, (ids, rows) in shared.value]
             parts += [_rows(batch.column(c)) for c in joined]
-            total = parts[0]
+            total = parts[0].astype(np.float64)
             for part in parts[1:]:
                 total = total + part
             offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * total.shape[1]

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.functions import arrays, tags, text
 from tagloom.operators import (
@@ -577,10 +581,24 @@ def _vector_rows(spark, sf_dir):
     )
 
 
+@F.arrow_udf(T.DoubleType())
+def _placed_sum(vectors: pa.Array) -> pa.Array:
+    """Sum of each vector's components times their places; null where the vector or a component is."""
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
+    cells = vectors.flatten()
+    values = cells.to_numpy(zero_copy_only=False).astype(np.float64)
+    if cells.null_count == 0 and len(sizes) and sizes[0] and (sizes == sizes[0]).all():
+        return pa.array(values.reshape(len(sizes), -1) @ np.arange(1.0, sizes[0] + 1))
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1.0
+    total = np.bincount(own, weights=values * place, minlength=len(sizes))
+    gaps = np.bincount(own, weights=cells.is_null().to_numpy(zero_copy_only=False), minlength=len(sizes)) > 0
+    return pa.array(total, mask=gaps | vectors.is_null().to_numpy(zero_copy_only=False))
+
+
 def _vector_sums(rows: DataFrame) -> DataFrame:
     """Sum over a document's vectors, each component weighted by its place."""
-    weighted = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
-    total = F.aggregate(weighted, F.lit(0.0), lambda acc, x: acc + x)
+    total = _placed_sum(F.col("embedding"))
     done = rows.select("doc_id", total.alias("t")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("t").alias("total"))
     return _rounded(done, 3, "total")
 
