@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.functions.arrays import as_ints, ones_then_zeros, pad_to
 from tagloom.operators.packing import pack_sentences
@@ -16,6 +20,8 @@ from tagloom.workspace import is_small, store
 
 # Words of one sentence kept in one row.
 PART_WORDS = 4096
+# Bytes of dense matrices made at once.
+DENSE_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -246,20 +252,30 @@ def weight_matrix(packs: DataFrame, seq: Sequence[str], parity: bool = False) ->
 
 
 def dense_matrix(weights: DataFrame, seq: Sequence[str], size: int) -> DataFrame:
-    """Flattened ``size * size`` view of the sparse weights, for export only."""
-    at = (F.col("word_idx") * size + F.col("piece_pos")).alias("k")
-    held = weights.groupBy(*seq).agg(
-        F.array_sort(F.collect_list(F.struct(at, F.col("w").cast("float").alias("v")))).alias("cells")
-    )
-    zero = F.lit(0.0).cast("float")
-
-    def with_gap(cell: Column, i: Column) -> Column:
-        before = F.coalesce(F.get("cells", i - 1)["k"], F.lit(-1))
-        return F.concat(F.array_repeat(zero, cell["k"] - before - 1), F.array(cell["v"]))
+    """Flattened ``size * size`` view of the sparse weights, for export only.
 
-    tail = F.array_repeat(zero, size * size - 1 - F.element_at("cells", -1)["k"])
-    flat = F.concat(F.flatten(F.transform("cells", with_gap)), tail)
-    return held.select(*seq, flat.alias("weight_matrix"))
+    Cells are set in place on Arrow batches, ``DENSE_BYTES`` of matrices at a time.
+    """
+    at = (F.col("word_idx").cast("long") * size + F.col("piece_pos")).alias("k")
+    cells = F.collect_list(F.struct(at, F.col("w").cast("float").alias("v"))).alias("cells")
+    held = weights.groupBy(*seq).agg(cells)
+    area = size * size
+    step = max(1, DENSE_BYTES // (4 * area))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+                lists = part.column("cells")
+                rows, found = part.num_rows, lists.flatten()
+                own = np.repeat(np.arange(rows), pc.list_value_length(lists).to_numpy())
+                flat = np.zeros(rows * area, np.float32)
+                flat[own * area + found.field("k").to_numpy()] = found.field("v").to_numpy(zero_copy_only=False)
+                offsets = np.arange(rows + 1, dtype=np.int32) * area
+                dense = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in seq], dense], [*seq, "weight_matrix"])
+
+    kind = T.StructField("weight_matrix", T.ArrayType(T.FloatType()))
+    return held.mapInArrow(fill, T.StructType([*[held.schema[c] for c in seq], kind]))
 
 
 def length_violations(rows: DataFrame, keys: Sequence[str], fields: Sequence[str], size: int) -> DataFrame:

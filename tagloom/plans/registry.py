@@ -503,19 +503,27 @@ def feature_violations(spark, sf_dir):
     return found.groupBy("field", "size").agg(F.count("*").alias("n"))
 
 
+_SUMS = T.StructType([T.StructField("n", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("total", "marked")]])
+
+
+@F.arrow_udf(_SUMS)
+def _matrix_sums(matrices: pa.Array) -> pa.Array:
+    """Length, sum and a sum weighted by place of each flat matrix."""
+    sizes = pc.list_value_length(matrices).to_numpy()
+    flat, total, marked = matrices.flatten().to_numpy(), np.zeros(len(sizes)), np.zeros(len(sizes))
+    marks = np.arange(sizes.max(initial=0)) % 97 + 1.0
+    for i, first in enumerate(np.cumsum(sizes, dtype=np.int64) - sizes):
+        row = flat[first : first + sizes[i]].astype(np.float64)
+        total[i], marked[i] = row.sum(), row @ marks[: sizes[i]]
+    return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(total), pa.array(marked)], ["n", "total", "marked"])
+
+
 @query
 def dense_matrix(spark, sf_dir):
     """The word-by-piece weights as flat 128 x 128 matrices: length, sum and a checksum of each."""
     cells = features.weight_matrix(corpus.packs(spark, sf_dir, CFG), PACK)
     rows = features.dense_matrix(cells, PACK, CFG.max_len)
-    marked = F.transform("weight_matrix", lambda x, i: x.cast("double") * (i % 97 + 1))
-    zero = F.lit(0.0)
-    done = rows.select(
-        *PACK,
-        F.size("weight_matrix").alias("n"),
-        F.aggregate("weight_matrix", zero, lambda a, x: a + x).alias("total"),
-        F.aggregate(marked, zero, lambda a, x: a + x).alias("marked"),
-    )
+    done = rows.select(*PACK, _matrix_sums(F.col("weight_matrix")).alias("s")).select(*PACK, "s.*")
     return _rounded(done, 3, "total", "marked")
 
 
