@@ -48,7 +48,7 @@ BATCH = 8192
 WORDS = 51
 WORD = 4
 _PLACE = U64((1 << 21) - 1)
-_MOST = 1 << 20  # bytes hashed at once
+_MOST = 1 << 18  # bytes hashed or aligned at once
 _NONE = 256  # no byte here
 _WORD = re.compile(rb"[^\t-\r ]+")
 
@@ -95,19 +95,24 @@ def _runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     )
 
 
-def _parse(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Key of a text -> its runs of windows."""
+def _parse(
+    batches: Iterator[pa.RecordBatch], length: int, gram: int, only: np.ndarray | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Key of a text -> its runs of windows, each with the MD5 of its bytes; ``only`` those with these anchors."""
     for batch in batches:
         data, offsets = column_bytes(batch.column(1))
         for i, j in slices(offsets, _MOST):
             start, end = offsets[i], offsets[j]
             if end - start <= _MOST or j > i + 1:
-                parts = [_runs(data[start:end], offsets[i : j + 1] - start, length, gram)]
+                parts = [_kept(_runs(data[start:end], offsets[i : j + 1] - start, length, gram), only)]
+                digests = _digests(data[start:end], parts[0], length)
             else:  # one very long text, in overlapping parts
-                parts = []
+                parts, digests = [], []
                 for at in range(start, end - length + 1, _MOST):
                     cut = data[at : min(end, at + _MOST + length - 1)]
-                    row, first, last, anchor, key = _runs(cut, np.array([0, len(cut)]), length, gram)
+                    runs = _kept(_runs(cut, np.array([0, len(cut)]), length, gram), only)
+                    digests += _digests(cut, runs, length)
+                    row, first, last, anchor, key = runs
                     parts.append((row, first + at - start, last + at - start, anchor + at - start, key))
             row, first, last, anchor, key = (np.concatenate(x) for x in zip(*parts))
             base = offsets[i:j][row] - start
@@ -116,14 +121,28 @@ def _parse(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterato
                 [
                     pa.array(key.astype(np.int64)),
                     *(pa.array((x - base).astype(np.int32)) for x in (first, last, anchor)),
+                    pa.array(digests, pa.binary()),
                 ],
-                ["h", "first", "last", "anchor"],
+                ["h", "first", "last", "anchor", "c"],
             )
             yield pa.record_batch(
                 {"t": batch.column(0)[i:j], "runs": pa.ListArray.from_arrays(pa.array(ends), runs)}
             )
 
 
+def _kept(runs: tuple, only: np.ndarray | None) -> tuple:
+    if only is None:
+        return runs
+    found = np.isin(runs[4].astype(np.int64), only)
+    return tuple(x[found] for x in runs)
+
+
+def _digests(data: np.ndarray, runs: tuple, length: int) -> list[bytes]:
+    """MD5 of the bytes of each run of windows."""
+    raw = data.tobytes()
+    return [hashlib.md5(raw[a : b + length]).digest() for a, b in zip(runs[1].tolist(), runs[2].tolist())]
+
+
 def _split_hot(text: np.ndarray, run: tuple, length: int, gram: int) -> list[tuple]:
     """Parts of a run of windows with two more minima in common: (key, first, last)."""
     first, last, key = run
@@ -135,40 +154,42 @@ def _split_hot(text: np.ndarray, run: tuple, length: int, gram: int) -> list[tup
     return [(int(finer[b].astype(np.int64)), first + b, first + e) for b, e in zip(begin, end)]
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Bytes of the windows around every repeated anchor."""
+def _finer(batches: Iterator[pa.RecordBatch], length: int, gram: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Places and digests of the contexts of hot anchors, dealt out by more minima."""
+    names = ["key", "c", "at", "t", "first", "last"]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+    for batch in batches:
+        data, offsets = column_bytes(batch.column(1))
+        done = 0
+        for parsed in _parse(iter([batch]), length, gram, hot):
+            lists = parsed.column("runs")
+            rows = np.repeat(np.arange(done, done + len(lists)), lists.value_lengths().to_numpy())
+            done += len(lists)
+            out = []
+            for i, r in zip(rows.tolist(), lists.flatten().to_pylist()):
+                text, t = data[offsets[i] : offsets[i + 1]], batch.column(0)[i].as_py()
+                for key, a, b in _split_hot(text, (r["first"], r["last"], r["h"]), length, gram):
+                    out.append((key, hashlib.md5(text[a : b + length].tobytes()).digest(), r["anchor"] - int(a), t, int(a), int(b)))
+            if out:
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=names)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Bytes of the wanted places of every text."""
+    names = ["key", "at", "t", "first", "last"]
     for batch in batches:
-        keys = batch.column(0).to_pylist()
         data, offsets = column_bytes(batch.column(1))
         lists = batch.column(2)
         fields = lists.flatten()
-        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        h, first, last, anchor, hot = (fields.field(n).to_numpy(zero_copy_only=False) for n in range(5))
-        out: list[tuple] = []
-        size = 0
-        for n, t in enumerate(keys):
-            text = data[offsets[n] : offsets[n + 1]]
-            raw = text.tobytes()
-            for r in range(ends[n], ends[n + 1]):
-                parts = [(int(h[r]), int(first[r]), int(last[r]))]
-                if hot[r]:
-                    parts = _split_hot(text, (int(first[r]), int(last[r]), int(h[r])), length, gram)
-                for key, a, b in parts:
-                    context = raw[a : b + length]
-                    at = int(anchor[r]) - a
-                    size += len(context)
-                    out.append((key, hashlib.md5(context).digest(), at, t, int(a), int(b), context))
-            if size >= 1 << 22:
-                yield _context_batch(out)
-                out, size = [], 0
-        if out:
-            yield _context_batch(out)
-
-
-def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-    names = ["key", "c", "at", "t", "first", "last", "context"]
-    return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+        rows = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+        first, last = (fields.field(n).to_numpy().astype(np.int64) for n in (2, 3))
+        starts, stops = offsets[rows] + first, offsets[rows] + last + length
+        sizes = np.append(0, np.cumsum(stops - starts))
+        for i, j in slices(sizes, 1 << 22):
+            some = fields.slice(i, j - i)
+            context = pa.array([data[a:b].tobytes() for a, b in zip(starts[i:j].tolist(), stops[i:j].tolist())], pa.binary())
+            t = batch.column(0).take(pa.array(rows[i:j]))
+            yield pa.record_batch([some.field(0), some.field(1), t, some.field(2), some.field(3), context], names=[*names, "context"])
 
 
 class RunLengthIndex:
@@ -221,9 +242,11 @@ def repeated_windows(
     left = length - gram
     lengths = np.diff(ends)
     columns = np.full((left + length, len(group)), _NONE, np.int16)
-    rows = np.repeat(np.arange(len(group)), lengths)
-    place = np.arange(len(data)) - np.repeat(ends[:-1], lengths) + np.repeat(left - at, lengths)
-    columns[place, rows] = data
+    shift = left - at - ends[:-1]
+    for i, j in slices(ends, _MOST):  # places of all bytes at once would be many times the bytes
+        rows = np.repeat(np.arange(i, j), lengths[i:j])
+        place = np.arange(ends[i], ends[j]) + np.repeat(shift[i:j], lengths[i:j])
+        columns[place, rows] = data[ends[i] : ends[j]]
     found = np.zeros((left + 1, len(group)), bool)
     index = RunLengthIndex(group)
     for c in range(left + length - 1, -1, -1):
@@ -327,7 +350,6 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("id"),
-        F.coalesce(F.col(id_col).cast("long"), F.expr("-9223372036854775808L")).alias("k"),
         F.unhex(F.md5(text.cast("binary"))).alias("t"),
         text.alias("text"),
     )
@@ -346,55 +368,50 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
 
 
 def _repeated(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for rows (k, t, text); ``text`` may be binary and ``t`` is its MD5."""
+    """The same for rows (t, text); ``text`` may be binary and ``t`` is its MD5."""
     parsed = keyed.select("t", "text").mapInArrow(
         lambda it: _parse(it, length, gram),
-        "t binary, runs array<struct<h:long,first:int,last:int,anchor:int>>",
+        "t binary, runs array<struct<h:long,first:int,last:int,anchor:int,c:binary>>",
     )
     # A text that has copies is repeated all over; one of them stands for it below.
     texts = keyed.where(f"octet_length(text) >= {length}").groupBy("t").agg(
-        F.count("*").alias("copies"), F.min("k").alias("k"), F.max(F.octet_length("text")).alias("n")
+        F.count("*").alias("copies"), F.max(F.octet_length("text")).alias("n")
     )
     texts = store(texts, "texts")
-    parsed = store(parsed.where("size(runs) > 0"), "runs")
-    runs = parsed.groupBy("t").agg(F.first("runs").alias("runs")).select("t", F.inline("runs"))
+    runs = parsed.where("size(runs) > 0").groupBy("t").agg(F.first("runs").alias("runs")).select("t", F.inline("runs"))
+    runs = store(runs, "runs")
     counts = store(runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
-    wanted = (
-        runs.join(counts.select("h", (F.col("n") > HOT).alias("hot")), "h")
-        .groupBy("t")
-        .agg(F.collect_list(F.struct("h", "first", "last", "anchor", "hot")).alias("runs"))
-        .join(texts.select("t", "k"), "t")
+    held = runs.join(counts.where(f"n <= {HOT}").select("h"), "h").select(
+        F.col("h").alias("key"), "c", (F.col("anchor") - F.col("first")).alias("at"), "t", "first", "last"
     )
-    contexts = (
-        keyed.select("t", "k", "text")
-        .join(wanted, ["t", "k"])
-        .select("t", "text", "runs")
-        .mapInArrow(
-            lambda it: _contexts(it, length, gram),
-            "key long, c binary, at int, t binary, first int, last int, context binary",
+    hot = counts.where(f"n > {HOT}").select("h")
+    if not hot.isEmpty():
+        hot = hot.toArrow()["h"].to_numpy()  # fewer than one in HOT runs
+        finer = keyed.select("t", "text").mapInArrow(
+            lambda it: _finer(it, length, gram, hot), "key long, c binary, at int, t binary, first int, last int"
         )
-    )
-    contexts = store(contexts, "contexts")
-    place = F.struct("t", "first", "last")
-    distinct = store(
-        contexts.groupBy("key", "c", "at").agg(
-            F.min(place).alias("low"), F.max(place).alias("high"), F.first("context").alias("context")
-        ),
-        "distinct",
-    )
-    several = distinct.where("low <> high").select("key", "c", "at")
+        held = held.union(finer.dropDuplicates(["t", "first"]))  # copies of a text give the same places
+    contexts = store(held, "contexts")
+    # Contexts are told apart by their MD5s; bytes are read again only for those of shared anchors, equal ones once.
+    low = F.min(F.struct("t", "first", "last")).alias("low")
+    distinct = store(contexts.groupBy("key", "c", "at").agg(low, F.count("*").alias("n")), "distinct")
+    several = distinct.where("n > 1").select("key", "c", "at")
     whole = contexts.join(several, ["key", "c", "at"]).select("t", "first", "last")
     shared = store(distinct.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    places = distinct.select("key", "at", "low.t", "low.first", "low.last", "context")
+    places = distinct.select("key", "at", "low.t", "low.first", "low.last")
+
+    def aligned(some: DataFrame) -> DataFrame:
+        return _with_text(keyed, some, length).mapInArrow(
+            lambda it: _contexts(it, length), "key long, at int, t binary, first int, last int, context binary"
+        )
+
     wide = shared.where(f"n > {WIDE}").select("key")
     counted = None
     if not wide.isEmpty():
         wide = F.broadcast(store(wide, "wide"))  # fewer than one in WIDE contexts
-        counted = _counted_windows(places.join(wide, "key"), length)
-        places = places.join(wide, "key", "left_anti")
+        counted = _counted_windows(store(aligned(places.join(wide, "key")), "wide_contexts"), length)
     marked = (
-        places.join(shared.where(f"n <= {WIDE}").select("key"), "key")
-        .select("key", "at", "t", "first", "last", "context")
+        aligned(places.join(shared.where(f"n <= {WIDE}").select("key"), "key"))
         .repartition("key")
         .sortWithinPartitions("key")
         .mapInArrow(lambda it: _mark(it, length, gram), "t binary, first int, last int")
@@ -414,10 +431,17 @@ def _repeated(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     return covered.union(copies)
 
 
+def _with_text(keyed: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """(t, text, places) of the texts that have any of the ``places``; a text that has copies comes once."""
+    lists = places.groupBy("t").agg(F.collect_list(F.struct("key", "at", "first", "last")).alias("places"))
+    once = keyed.where(F.octet_length("text") >= length).groupBy("t").agg(F.first("text").alias("text"))
+    return once.join(lists.hint("merge"), "t").select("t", "text", "places")
+
+
 def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with every word replaced by four bytes of its hash."""
     for batch in batches:
-        data, offsets = column_bytes(batch.column(2))
+        data, offsets = column_bytes(batch.column(1))
         for i, j in slices(offsets, _MOST):
             start, end = offsets[i], offsets[j]
             hashes, rows = word_hashes(data[start:end], offsets[i : j + 1] - start)
@@ -426,7 +450,7 @@ def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             symbols = pa.Array.from_buffers(
                 pa.binary(), j - i, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(coded.tobytes())]
             )
-            yield pa.record_batch({"k": batch.column(0)[i:j], "u": batch.column(1)[i:j], "text": symbols})
+            yield pa.record_batch({"u": batch.column(0)[i:j], "text": symbols})
 
 
 def repeated_passages(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
@@ -438,8 +462,8 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, words: int =
     a hash, so two passages that differ in one word are taken for equal once in 2^32.
     Null and shorter texts, and empty tables, have no ranges.
     """
-    coded = _keyed(docs, id_col, text_col).select("k", F.col("t").alias("u"), "text")
-    coded = store(coded.mapInArrow(_symbols, "k long, u binary, text binary"), "words")
+    coded = _keyed(docs, id_col, text_col).select(F.col("t").alias("u"), "text")
+    coded = store(coded.mapInArrow(_symbols, "u binary, text binary"), "words")
     keyed = coded.withColumn("t", F.unhex(F.md5("text")))
     spans = _repeated(keyed, words * WORD, GRAM)
     spans = spans.select(
@@ -532,7 +556,7 @@ def removal_report(
     partly = rows.where("n_removed < n_bytes").select("t").distinct()
     digests = (
         keyed.select("t", "text")
-        .join(spans.join(partly, "t", "left_semi"), "t")
+        .join(spans.join(partly, "t", "left_semi").hint("merge"), "t")
         .select("t", kept_digest("text", "spans").alias("kept"))
     )
     empty = hashlib.sha256(b"").hexdigest()

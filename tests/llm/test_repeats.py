@@ -169,3 +169,25 @@ def test_query_equals_brute_force(spark, sf_dir):
     rows = queries.op5_repeats(spark, sf_dir).collect()
     assert {r.doc_id: (tuple(r)[1:5], r.n_passage_words) for r in rows} == {i: (b, p[1]) for i, (b, p) in wanted.items()}
     assert len(rows) == len(texts)
+
+
+def test_no_bytes_of_contexts_are_stored(spark, monkeypatch):
+    stored = {}
+    monkeypatch.setattr(repeats, "store", lambda df, name, made=repeats.store: stored.update({name: df.columns}) or made(df, name))
+    texts = corpus(3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    repeats.repeated_spans(df, "doc_id", "text", 40, 8).collect()
+    assert stored and not [name for name, columns in stored.items() if {"context", "text"} & set(columns)]
+
+
+def test_contexts_are_aligned_in_small_parts(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(repeats, "_MOST", 1 << 14)
+    n, size = 1500, 500
+    data = np.random.default_rng(2).integers(0, 4, n * size).astype(np.uint8)
+    tracemalloc.start()
+    repeats.repeated_windows(np.zeros(n), data, np.arange(n + 1) * size, np.full(n, 100), 400, 32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(data)
