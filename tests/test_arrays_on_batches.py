@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.functions import arrays
-from tagloom.operators import features
+from tagloom.operators import decode, features
 from tagloom.plans import registry
 
 
@@ -43,3 +43,25 @@ def test_rows_are_framed_without_lambdas(spark, sf_dir):
     assert "lambda" not in plan(rows)
     got = rows.first()
     assert got["input_ids"] == [3, 4, 0, 0] and got["weight_matrix_mask"] == [1, 1, 0, 0] and got["piece_weights"] == []
+
+
+def test_words_are_pooled_on_batches(spark):
+    """Words are summed without a lambda for every piece and class, with the same sums and nulls."""
+    kind = "r int, ps array<struct<start:int,weight:double>>, s array<array<double>>"
+    values = [
+        (1, [(0, 9.0), (1, 0.5), (0, 0.25), (1, 1.0)], [[1.0, 1.0], [2.0, 4.0], [4.0, 8.0], [1.0, None]]),
+        (2, [], []),
+        (3, [(0, 1.0)], [[1.0, 1.0]]),
+        (4, [(1, None), (1, 1.0), (1, 1.0)], [[1.0, 1.0], [3.0], None]),
+        (None, [(1, 2.0), (1, 2.0)], [[1.0, 2.0]]),
+        (5, [(1, 2.0)], [[1.0, 2.0], [1.0, 2.0]]),
+    ]
+    rows = decode.pool_records(spark.createDataFrame(values, kind).coalesce(1), ["r"], F.col("s"), 2)
+    assert "MapInArrow" in plan(rows) and "lambda" not in plan(rows)
+    got = [tuple(r) for r in rows.collect()]
+    assert got == [
+        (1, 1, [2.0, 4.0]), (1, 2, [1.0, None]),
+        (4, 1, [None, None]), (4, 2, [3.0, None]), (4, 3, [None, None]),
+        (None, 1, [2.0, 4.0]), (None, 2, [None, None]),
+        (5, 1, [None, None]),
+    ]
