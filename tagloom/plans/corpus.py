@@ -268,15 +268,17 @@ TRANSITIONS = [[((i * 5 + j * 3) % 7) / 4.0 for j in range(CLASSES)] for i in ra
 
 def position_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, sent_id, pos, scores, label_id, mask)``: one row per word."""
-    rows = sentence_scores(spark, sf_dir).selectExpr(
-        "doc_id", "sent_id", "flat", "posexplode(tags) AS (pos, label_id)"
+    rows = sentences(spark, sf_dir).selectExpr("doc_id", "sent_id", "posexplode(words) AS (pos, word)")
+    # The cells of ``sentence_scores``, from numbers alone and without a list of the sentence.
+    cells = ", ".join(
+        f"cast((doc_id * 3 + sent_id * 7 + pos * 13 + {k * 29}) % 17 / 4.0D AS double)" for k in range(CLASSES)
     )
     return rows.selectExpr(
         "doc_id",
         "sent_id",
         "pos",
-        f"slice(flat, pos * {CLASSES} + 1, {CLASSES}) AS scores",
-        "label_id",
+        f"array({cells}) AS scores",
+        f"cast((length(word) + pos) % {CLASSES} AS int) AS label_id",
         "CASE WHEN pos % 4 = 3 THEN 0 ELSE 1 END AS mask",
     )
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 _CONF = "spark.checkpoint.dir"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _LOCAL: dict[str, str] = {}
 _STORED: dict[str, list[str]] = {}
 _BUILT: dict[tuple, object] = {}
@@ -41,19 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[context.applicationId]
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` under the shared folder and return the written table.
 
     The shuffle files of the write are deleted when it is done: its stages are never run again.
+    ``narrow`` says that no Arrow batch of the job can be large: its bytes, else measured
+    again after every row, are not measured.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    wanted = {_CLEAN: "true"} | ({_BATCH: str(2**31 - 1)} if narrow else {})
+    before = {key: spark.conf.getAll.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
     return spark.read.schema(df.schema).parquet(path)
 
 

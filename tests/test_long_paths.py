@@ -61,3 +61,28 @@ def test_empty_and_no_sequence_columns(spark):
     df = frame(spark, [([[1.0, 0.0], [0.0, 2.0], [3.0, 0.0]], [0, 1, 0])]).drop("s")
     rows = long_paths.viterbi_long(df, [[0.0, 0.0], [0.0, 0.0]], [], block=2).orderBy("pos").collect()
     assert [r["pred"] for r in rows] == [0, 1, 0] and rows[-1]["score"] == 6.0
+
+
+def test_sequences_of_one_lot_need_no_links(spark, monkeypatch):
+    """Rows in order are exchanged as one row a sequence; only longer sequences are joined block by block."""
+    rnd = random.Random(8)
+    trans = [[rnd.randrange(-3, 4) / 4 for _ in range(3)] for _ in range(3)]
+    sequences = [([[rnd.randrange(4) / 4 for _ in range(3)] for _ in range(n)], [0] * n) for n in (1, 40, 33, 64)]
+    rows = [(s, t, x) for s, (xs, _) in enumerate(sequences) for t, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "s int, pos long, scores array<double>").coalesce(1)
+    stored, real = [], long_paths.store
+    monkeypatch.setattr(long_paths, "store", lambda made, name, **how: stored.append((name, real(made, name, **how))) or stored[-1][1])
+    want = in_rows(spark, sequences, trans)
+    got = {}
+    for r in long_paths.viterbi_long(df, trans, ["s"], block=8).orderBy("s", "pos").collect():
+        got.setdefault(r["s"], []).append((r["pred"], r["score"]))
+    assert [n for n, _ in stored] == ["lots", "long_sequences"]
+    assert [len(r["runs"]) for r in stored[0][1].collect()] == [1] * 4
+    assert {s: ([c for c, _ in v], v[-1][1]) for s, v in got.items()} == {s: v[:2] for s, v in want.items()}
+
+
+def test_short_and_long_sequences_together(spark):
+    rnd = random.Random(9)
+    trans = [[rnd.randrange(-3, 4) / 4 for _ in range(2)] for _ in range(2)]
+    sequences = [([[rnd.randrange(4) / 4 for _ in range(2)] for _ in range(n)], [0] * n) for n in (5, 9000, 4096, 4097)]
+    check(spark, sequences, trans, 64)
