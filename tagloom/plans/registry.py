@@ -979,9 +979,9 @@ def shuffled_records(spark, sf_dir):
     return training.shuffle_order(_records(spark, sf_dir), SEQ, 42, key, "place")
 
 
-def _context(spark, sf_dir):
+def _context(spark, sf_dir, seq=SEQ):
     rows = corpus.tagged(spark, sf_dir)
-    return training.context_features(rows, F.length("word"), (1, 3, 5, 7, 2), SEQ, "pos")
+    return training.context_features(rows, F.length("word"), (1, 3, 5, 7, 2), seq, "pos")
 
 
 @query
@@ -996,7 +996,8 @@ def context_window_features(spark, sf_dir):
 def tagger_scores(spark, sf_dir):
     """A tagger learnt on the train split, scored on the devel split: rows of each true
     tag, and whether more of all rows are right than the commonest tag alone would get."""
-    rows = _context(spark, sf_dir).withColumn(
+    # A sentence is of one split: as a part of its key, a chosen split is taken before the windows are made.
+    rows = _context(spark, sf_dir, ["split", *SEQ]).withColumn(
         "tag", F.when(F.col("gold") == "O", 0).otherwise(F.when(F.col("gold").startswith("S-"), 1).otherwise(2))
     )
     names = ["ctx_1", "ctx_3", "ctx_5", "ctx_7"]
