@@ -228,15 +228,14 @@ def weight_matrix(packs: DataFrame, seq: Sequence[str], parity: bool = False) ->
     continuations form a row, and the last row is kept only if it is such a piece.
     """
     seq = list(seq)
+    if not parity:
+        return _word_cells(packs, seq)
     opening = F.struct(F.lit(0).alias("start"), F.lit(1.0).alias("weight"))
     cells = F.transform("ps", lambda p: F.struct(p["start"].alias("start"), p["weight"].alias("weight")))
     rows = packs.select(*seq, F.posexplode(F.array_prepend(cells, opening)).alias("piece_pos", "p"))
     rows = rows.select(*seq, "piece_pos", "p.start", F.col("p.weight").alias("w"))
     order = W.partitionBy(*seq).orderBy("piece_pos")
     rows = rows.withColumn("word_no", F.sum("start").over(order).cast("int"))
-    if not parity:
-        kept = rows.where("word_no > 0 OR piece_pos = 0")
-        return kept.select(*seq, F.col("word_no").alias("word_idx"), "piece_pos", "w")
     in_word = W.partitionBy(*seq, "word_no").orderBy("piece_pos").rowsBetween(W.unboundedPreceding, -1)
     broken = F.coalesce(F.max((F.col("w") != 1.0).cast("int")).over(in_word), F.lit(0))
     rows = rows.withColumn("opens", ((F.col("start") == 1) | (broken == 0)).cast("int"))
@@ -251,6 +250,33 @@ def weight_matrix(packs: DataFrame, seq: Sequence[str], parity: bool = False) ->
     return rows.where("word_idx < last OR whole = 1").select(*seq, "word_idx", "piece_pos", "w")
 
 
+def _word_cells(packs: DataFrame, seq: list[str]) -> DataFrame:
+    """Words are numbered inside the record, on Arrow batches; nothing is exchanged or sorted."""
+    ps = F.col("ps")
+    lists = [ps["start"].cast("array<int>").alias("_start"), ps["weight"].cast("array<double>").alias("_w")]
+    rows = packs.where(ps.isNotNull()).select(*seq, *lists)
+    cells = [T.StructField("word_idx", T.IntegerType()), T.StructField("piece_pos", T.IntegerType()), T.StructField("w", T.DoubleType())]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("_start")).to_numpy()
+            own = np.repeat(np.arange(len(sizes)), sizes)
+            first = np.cumsum(sizes) - sizes
+            place = np.arange(len(own)) - first[own] + 1
+            opened = np.append(0, np.cumsum(pc.fill_null(batch.column("_start").flatten(), 0).to_numpy()))
+            word = opened[1:] - opened[first][own]
+            kept = np.flatnonzero(word > 0)
+            # The opening mark of each record, then its words.
+            order = np.argsort(np.append(np.arange(len(sizes)), own[kept]), kind="stable")
+            of = np.append(np.arange(len(sizes)), own[kept])[order]
+            at, word = (np.append(np.zeros(len(sizes), int), v[kept])[order] for v in (place, word))
+            w = pa.concat_arrays([pa.array(np.ones(len(sizes))), batch.column("_w").flatten().take(pa.array(kept))]).take(pa.array(order))
+            made = [pa.array(word, pa.int32()), pa.array(at, pa.int32()), w]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(of)) for c in seq], *made], [*seq, "word_idx", "piece_pos", "w"])
+
+    return rows.mapInArrow(number, T.StructType([*[rows.schema[c] for c in seq], *cells]))
+
+
 def dense_matrix(weights: DataFrame, seq: Sequence[str], size: int) -> DataFrame:
     """Flattened ``size * size`` view of the sparse weights, for export only.
 

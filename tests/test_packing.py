@@ -224,3 +224,14 @@ def test_linked_packs_equal_single_steps(keep_empty):
         table, used = packing._block_table(np.array(groups[0]), limit, keep_empty)
         for f in range(limit + 1):
             assert (table[f], used[f]) == step_by_step(groups[0], f, 0, limit, keep_empty)[1:]
+
+
+def test_weight_matrix_numbers_words_inside_the_record(spark):
+    """No exchange or sort for the words of a record; a record without pieces has its opening mark."""
+    kind = "s int, ps array<struct<start:int,weight:double>>"
+    df = spark.createDataFrame([(1, [(0, 0.5), (1, 0.25), (0, None), (1, 1.0)]), (2, []), (3, None), (None, [(1, 1.0)])], kind)
+    cells = features.weight_matrix(df, ["s"])
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    got = sorted((r["s"] or 0, r["word_idx"], r["piece_pos"], r["w"]) for r in cells.collect())
+    assert got == [(0, 0, 0, 1.0), (0, 1, 1, 1.0), (1, 0, 0, 1.0), (1, 1, 2, 0.25), (1, 1, 3, None), (1, 2, 4, 1.0), (2, 0, 0, 1.0)]
